@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import find_contamination
+from .quality import quality_verdicts
 from .sharding import assign_shards
 
 
@@ -20,7 +21,12 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_verdicts(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_quality_rules": op4_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
 }

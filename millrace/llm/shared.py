@@ -6,8 +6,10 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,3 +48,18 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch],
                 yield step(batch)
 
     return df.mapInArrow(run, schema)
+
+
+def bitmap(df: DataFrame, slot: str, bits: int) -> np.ndarray:
+    """A boolean table of ``2 ** bits`` entries, true at the values of the column ``slot``.
+
+    Built by Spark's bitmap aggregates; at most ``2 ** bits / 32768`` rows of
+    4 KB reach the driver, whatever the input.
+    """
+    at = F.col(slot).cast("long") + 1
+    rows = df.where(F.col(slot).isNotNull()).groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).collect()
+    out = np.zeros(max(1 << bits, 32768), bool)
+    for r in rows:
+        own = np.unpackbits(np.frombuffer(bytes(r.m), np.uint8), bitorder="little").astype(bool)
+        out[(r.b - 1) * 32768 : (r.b - 1) * 32768 + len(own)] = own
+    return out
