@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import find_contamination
 from .quality import quality_verdicts
+from .pii import find_pii
 from .sharding import assign_shards
 
 
@@ -25,7 +26,12 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(_table(spark, sf_dir, "documents"))
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_pii": op1_pii,
     "op4_quality_rules": op4_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
