@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import find_contamination
 from .quality import quality_verdicts
+from .language import fit_documents, identify
 from .pii import find_pii
 from .sharding import assign_shards
 
@@ -30,7 +31,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(_table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _table(spark, sf_dir, "documents")
+    return identify(documents, fit_documents(documents))
+
+
 QUERIES = {
+    "op2_language_id": op2_language_id,
     "op1_pii": op1_pii,
     "op4_quality_rules": op4_quality_rules,
     "op9_decontamination": op9_decontamination,
