@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import find_contamination
@@ -9,6 +11,10 @@ from .quality import quality_verdicts
 from .language import fit_documents, identify
 from .pii import find_pii
 from .sharding import assign_shards
+from .tokencount import count_tokens
+
+#: Folder of the public tokenizers' files.
+TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,7 +42,12 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents, fit_documents(documents))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 QUERIES = {
+    "op6_token_counts": op6_token_counts,
     "op2_language_id": op2_language_id,
     "op1_pii": op1_pii,
     "op4_quality_rules": op4_quality_rules,
