@@ -12,6 +12,7 @@ from .language import fit_documents, identify
 from .pii import find_pii
 from .sharding import assign_shards
 from .tokencount import count_tokens
+from .warc import round_trip
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
@@ -46,7 +47,12 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "pages"), min_bytes=0)
+
+
 QUERIES = {
+    "op7_warc": op7_warc,
     "op6_token_counts": op6_token_counts,
     "op2_language_id": op2_language_id,
     "op1_pii": op1_pii,
