@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import find_contamination
 from .quality import quality_verdicts
 from .language import fit_documents, identify
 from .pii import find_pii
+from .sentencepieces import encode
 from .sharding import assign_shards
 from .tokencount import count_tokens
 from .warc import round_trip
 
-#: Folder of the public tokenizers' files.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+
+def _tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file, the same on every machine."""
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,14 +46,19 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(_table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return count_tokens(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages"), min_bytes=0)
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
+
+
 QUERIES = {
+    "op8_sentencepiece": op8_sentencepiece,
     "op7_warc": op7_warc,
     "op6_token_counts": op6_token_counts,
     "op2_language_id": op2_language_id,
