@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import find_contamination
 from .quality import quality_verdicts
+from .jaccard import near_duplicates
 from .language import fit_documents, identify
 from .pii import find_pii
 from .sentencepieces import encode
@@ -57,7 +58,12 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_table(spark, sf_dir, "documents"), _tokenizer("piece_bpe_32k.model"))
 
 
+def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), width=5, percent=80)
+
+
 QUERIES = {
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op8_sentencepiece": op8_sentencepiece,
     "op7_warc": op7_warc,
     "op6_token_counts": op6_token_counts,
