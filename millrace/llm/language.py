@@ -136,7 +136,7 @@ def fit(samples: dict[str, list[str]], clusters: int = 4, share: float = 0.4) ->
     return model
 
 
-def sample(documents: DataFrame, usable: Column, per_language: int, id_col: str, text_col: str, lang_col: str, least_chars: int = 50, most_chars: int = 50_000) -> dict[str, list[str]]:
+def sample(documents: DataFrame, usable: Column, per_language: int, id_col: str, text_col: str, lang_col: str, least_chars: int = 50, most_chars: int = 50_000, most_languages: int = 1000) -> dict[str, list[str]]:
     """At most ``per_language`` texts of each label, those with the smallest hashes of their ids.
 
     Only texts of ``least_chars`` to ``most_chars`` are learnt from, which
@@ -145,9 +145,14 @@ def sample(documents: DataFrame, usable: Column, per_language: int, id_col: str,
     rows = documents.where(usable & F.col(lang_col).isNotNull() & F.char_length(F.col(text_col)).between(least_chars, most_chars)).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), (F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")), 11) / F.lit(float(1 << 53))).alias("u")
     )
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    # thinned to about twice the bound before anything is ordered
-    thin = rows.join(counts, "lang").where(F.col("u") * F.col("n") < 2.0 * per_language + 50)
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()}
+    if len(counts) > most_languages:
+        raise ValueError(f"more than {most_languages} labels")
+    if not counts:
+        return {}
+    # thinned to about twice the bound where the rows are read, before anything is moved
+    number = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])
+    thin = rows.where(F.col("u") * number[F.col("lang")] < 2.0 * per_language + 50)
     order = Window.partitionBy("lang").orderBy("u", "text")
     got = thin.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("lang", "text")
     out: dict[str, list[str]] = {}

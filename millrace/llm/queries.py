@@ -12,6 +12,7 @@ from .language import fit_documents, identify
 from .pii import find_pii
 from .sentencepieces import encode
 from .sharding import assign_shards
+from .suffixdedup import remove_repeats
 from .tokencount import count_tokens
 from .warc import round_trip
 
@@ -62,7 +63,12 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=5, percent=80)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), length=200)
+
+
 QUERIES = {
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
     "op8_sentencepiece": op8_sentencepiece,
     "op7_warc": op7_warc,
