@@ -1,21 +1,23 @@
-"""Registry of the library's queries over the test tables."""
+"""Registry of the library's queries over the test tables, and their DuckDB SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from .plans import finance, forecast, quality, scenario, utilisation, views
+
+_PARTS = (utilisation, quality, forecast, finance, scenario, views)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return items.groupBy("l_suppkey", F.date_format("l_shipdate", "yyyy-MM").alias("period")).agg(F.sum("l_quantity").alias("used"))
+    return utilisation.QUERIES["unit_utilisation"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: f for part in _PARTS for k, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: q for part in _PARTS for k, q in part.ORACLE_SQL.items()}

@@ -59,8 +59,6 @@ def _describe(batch: pa.RecordBatch, width: int, percent: int, frequent: np.ndar
     for _, values, cut in _sets(batch.column("text"), width):
         n = np.diff(cut)
         rare = ~frequent[_slots(values, FREQUENT_BITS)]
-        mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values), dtype=np.uint64)])
-        total = mixed[cut[1:]] - mixed[cut[:-1]]
         length = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
         chosen = []
         for a, b, p in zip(cut[:-1].tolist(), cut[1:].tolist(), length.tolist()):
@@ -71,40 +69,74 @@ def _describe(batch: pa.RecordBatch, width: int, percent: int, frequent: np.ndar
         ends = np.cumsum(length)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tops ^ np.uint64(0x5BD1E995)), dtype=np.uint64)])
         size.append(n)
-        own.append(mix(total + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        own.append(_class_names(values, cut))
         group.append(mix(sums[ends] - sums[ends - length] + n.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
         prefix.append(tops)
         cuts.append(cuts[-1][-1] + ends)
     join = lambda parts: np.concatenate(parts)
     offsets = pa.array(join(cuts).astype(np.int32))
     lists = pa.ListArray.from_arrays(offsets, pa.array(join(prefix).view(np.int64)))
-    arrays = [batch.column("doc_id"), pa.array(join(size)), pa.array(join(own).view(np.int64)), pa.array(join(group).view(np.int64)), lists]
-    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "cid", "gid", "prefix"])
+    arrays = [batch.column("doc_id"), batch.column("slot"), pa.array(join(size)), pa.array(join(own).view(np.int64)), pa.array(join(group).view(np.int64)), lists]
+    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "slot", "n", "cid", "gid", "prefix"])
 
 
-def _whole_sets(batch: pa.RecordBatch, width: int, wanted: np.ndarray) -> pa.RecordBatch:
-    """Class and set of each wanted document."""
+def _class_names(values: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """A hash of each set, which names its class."""
+    mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values), dtype=np.uint64)])
+    return mix(mixed[cut[1:]] - mixed[cut[:-1]] + np.diff(cut).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def _entries(batch: pa.RecordBatch, wanted: np.ndarray) -> pa.RecordBatch:
+    """(shingle, group) for the prefixes of wanted documents."""
     batch = batch.filter(pa.array(wanted[batch.column("slot").to_numpy()]))
-    own, sets = [], []
-    for _, values, cut in _sets(batch.column("text"), width):
-        n = np.diff(cut)
-        mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values), dtype=np.uint64)])
-        own.append(mix(mixed[cut[1:]] - mixed[cut[:-1]] + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        sets += [values[a:b].tobytes() for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
-    cid = np.concatenate(own) if own else np.zeros(0, np.uint64)
-    return pa.RecordBatch.from_arrays([pa.array(cid.view(np.int64)), pa.array(sets, pa.binary())], ["cid", "members"])
+    lists = batch.column("prefix")
+    groups = np.repeat(batch.column("gid").to_numpy(), np.diff(lists.offsets.to_numpy()))
+    return pa.RecordBatch.from_arrays([lists.flatten(), pa.array(groups)], ["s", "gid"])
+
+
+def _wanted_prefixes(batch: pa.RecordBatch, wanted: np.ndarray, involved: np.ndarray) -> pa.RecordBatch:
+    at = involved[_slots(batch.column("gid").to_numpy().view(np.uint64), WANTED_BITS)]
+    return batch.filter(pa.array(wanted[batch.column("slot").to_numpy()] & at)).select(["gid", "n", "prefix"])
 
 
-def _verify(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
-    left, right, keep = batch.column("x"), batch.column("y"), np.zeros(batch.num_rows, bool)
+def _possible(batch: pa.RecordBatch, percent: int, frequent: np.ndarray) -> pa.RecordBatch:
+    """Pairs of groups whose whole prefixes leave enough overlap possible.
+
+    Of the prefix that ends first in the global order, whatever matches lies
+    in both prefixes or behind it.
+    """
+    size = [batch.column(c).to_numpy() for c in ("n", "o")]
+    left, right = batch.column("x"), batch.column("y")
+    cuts = [c.offsets.to_numpy() for c in (left, right)]
+    flat = [c.values.to_numpy().view(np.uint64) for c in (left, right)]
+    keep = np.zeros(batch.num_rows, bool)
+    place = lambda x: (bool(frequent[int(x) >> (64 - FREQUENT_BITS)]), int(x))
     for i in range(batch.num_rows):
-        a, b = np.frombuffer(left[i].as_buffer(), np.uint64), np.frombuffer(right[i].as_buffer(), np.uint64)
-        if len(a) > len(b):
-            a, b = b, a
-        at = np.searchsorted(b, a)
-        at[at == len(b)] = 0
-        same = int((b[at] == a).sum()) if len(b) else 0
-        keep[i] = 100 * same >= percent * (len(a) + len(b) - same)
+        a, b = (f[c[i] : c[i + 1]] for f, c in zip(flat, cuts))
+        n, o = int(size[0][i]), int(size[1][i])
+        same = len(np.intersect1d(a, b, assume_unique=True))
+        behind = n - len(a) if place(a[-1]) <= place(b[-1]) else o - len(b)
+        keep[i] = (100 + percent) * (same + behind) >= percent * (n + o)
+    return batch.select(["g", "h"]).filter(pa.array(keep))
+
+
+def _wanted_texts(batch: pa.RecordBatch, width: int, wanted: np.ndarray) -> pa.RecordBatch:
+    """Class and text of each wanted document."""
+    batch = batch.filter(pa.array(wanted[batch.column("slot").to_numpy()]))
+    names = [_class_names(values, cut) for _, values, cut in _sets(batch.column("text"), width)]
+    cid = np.concatenate(names) if names else np.zeros(0, np.uint64)
+    return pa.RecordBatch.from_arrays([pa.array(cid.view(np.int64)), batch.column("text")], ["cid", "text"])
+
+
+def _verify(batch: pa.RecordBatch, width: int, percent: int) -> pa.RecordBatch:
+    keep = np.zeros(batch.num_rows, bool)
+    for first, left, left_cut in _sets(batch.column("x"), width):
+        n = len(left_cut) - 1
+        for at, right, cut in _sets(batch.column("y").slice(first, n), width):
+            for i in range(len(cut) - 1):
+                a, b = left[left_cut[at + i] : left_cut[at + i + 1]], right[cut[i] : cut[i + 1]]
+                same = len(np.intersect1d(a, b, assume_unique=True))
+                keep[first + at + i] = 100 * same >= percent * (len(a) + len(b) - same)
     return batch.select(["a", "b"]).filter(pa.array(keep))
 
 
@@ -133,10 +165,10 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 81
     return out
 
 
-def _compare_blocks(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _compare_blocks(rows: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
     """Links between the two blocks of a long list (or within one): as many as connect what is linked."""
     rows = rows.drop_duplicates("cid")
-    sets = [np.frombuffer(x, np.uint64) for x in rows["members"]]
+    sets = [values[a:b] for _, values, cut in _sets(pa.array(rows["text"], pa.string()), width) for a, b in zip(cut[:-1], cut[1:])]
     block, cid = rows["block"].to_numpy(), rows["cid"].to_numpy()
     one, two = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
     left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
@@ -163,20 +195,33 @@ def _compare_blocks(rows: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
 
-def _links(texts: DataFrame, described: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
-    groups = described.where("n > 0").groupBy("gid", "cid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).groupBy("gid").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("k"))
-    entries = groups.select("gid", "n", "k", F.posexplode("prefix").alias("pos", "s"))
-    counted = entries.groupBy("s").agg(F.sum("k").alias("m"), F.count(F.lit(1)).alias("lists"))
-    entries = written(entries.join(counted.where("lists > 1"), "s").select("s", "gid", "n", "k", "pos", "m"), "jaccard-index")
-    members = written(described.where("n > 0").select("gid", "cid").distinct(), "jaccard-groups")
-    crowds = members.groupBy("gid").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+def _links(texts: DataFrame, described: DataFrame, classes: DataFrame, frequent, width: int, percent: int) -> DataFrame:
+    """Pairs of classes that connect all that link.
 
-    # short lists: pairs of groups that size and position leave possible, then of their classes
+    ``classes`` has gid, cid, n, and the slot of one document of each.
+    """
+    share = texts.sparkSession.sparkContext.broadcast
+    groups = classes.groupBy("gid").agg(F.min(F.struct("cid", "slot")).alias("one"), F.first("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    groups = written(groups.select("gid", F.col("one.slot").alias("slot"), "n", "k"), "jaccard-groups")
+    chosen = share(bitmap(groups, "slot", WANTED_BITS))
+    # the index: only shingles in the prefixes of two groups or more
+    raw = map_batches(described.select("slot", "gid", "prefix"), lambda b: _entries(b, chosen.value), "s long, gid long")
+    twice = raw.groupBy("s").agg(F.count(F.lit(1)).alias("lists")).where("lists > 1").select("s")
+    index = written(raw.join(twice, "s", "left_semi"), "jaccard-index").distinct().join(groups.select("gid", "n", "k"), "gid")
+    entries = written(index.join(index.groupBy("s").agg(F.sum("k").alias("m")), "s"), "jaccard-entries")
+    members, crowds = classes.select("gid", "cid"), groups.where("k > 1")
+
+    # short lists: pairs of groups that sizes, then whole prefixes leave possible, then pairs of their classes
     short = entries.where(F.col("m") <= LIGHT)
     x, y = short.alias("x"), short.alias("y")
-    n, o, i, j = F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos")
-    possible = (100 * F.least(n, o) >= percent * F.greatest(n, o)) & ((100 + percent) * (F.least(i, j) + F.least(n - i, o - j)) >= percent * (n + o))
-    pairs = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.gid") < F.col("y.gid")) & possible).select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h")).distinct()
+    n, o = F.col("x.n"), F.col("y.n")
+    near = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.gid") < F.col("y.gid")) & (100 * F.least(n, o) >= percent * F.greatest(n, o)))
+    pairs = written(near.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h")).distinct(), "jaccard-group-pairs")
+    of_pairs = pairs.select(F.explode(F.array("g", "h")).alias("gid"))
+    paired = share(bitmap(of_pairs.select(F.shiftrightunsigned("gid", 64 - WANTED_BITS).alias("slot")), "slot", WANTED_BITS))
+    prefixes = map_batches(described.select("slot", "gid", "n", "prefix"), lambda b: _wanted_prefixes(b, chosen.value, paired.value), "gid long, n long, prefix array<long>").dropDuplicates(["gid"])
+    both = pairs.join(prefixes.select(F.col("gid").alias("g"), "n", F.col("prefix").alias("x")), "g").join(prefixes.select(F.col("gid").alias("h"), F.col("n").alias("o"), F.col("prefix").alias("y")), "h")
+    pairs = map_batches(both.select("g", "h", "n", "o", "x", "y"), lambda b: _possible(b, percent, frequent.value), "g long, h long")
     pairs = pairs.union(crowds.where(F.col("k") <= LIGHT).select(F.col("gid").alias("g"), F.col("gid").alias("h")))
     expanded = pairs.join(members.select(F.col("gid").alias("g"), F.col("cid").alias("a")), "g").join(members.select(F.col("gid").alias("h"), F.col("cid").alias("b")), "h")
     expanded = written(expanded.where("g <> h or a < b").select("a", "b"), "jaccard-pairs")
@@ -187,19 +232,17 @@ def _links(texts: DataFrame, described: DataFrame, classes: DataFrame, width: in
     long = long.join(members, "gid").select("s", "cid", parts.alias("parts"), F.pmod(F.xxhash64("cid"), parts).cast("int").alias("block"))
     long = written(long, "jaccard-long")
 
-    involved = expanded.select(F.explode(F.array("a", "b")).alias("cid")).union(long.select("cid")).distinct()
-    slot = F.shiftrightunsigned(F.xxhash64(F.col("doc_id").cast("string")), 64 - WANTED_BITS)
-    wanted = involved.join(classes, "cid").select(slot.alias("slot"))
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap(wanted, "slot", WANTED_BITS))
-    sets = map_batches(texts.select(slot.alias("slot"), "text"), lambda b: _whole_sets(b, width, shared.value), "cid long, members binary")
-    sets = written(sets.join(involved, "cid", "left_semi").dropDuplicates(["cid"]), "jaccard-sets")
+    involved = written(expanded.select(F.explode(F.array("a", "b")).alias("cid")).union(long.select("cid")).distinct(), "jaccard-involved")
+    wanted = share(bitmap(involved.join(classes, "cid"), "slot", WANTED_BITS))
+    whole = map_batches(texts, lambda b: _wanted_texts(b, width, wanted.value), "cid long, text string")
+    whole = written(whole.join(involved, "cid", "left_semi").dropDuplicates(["cid"]), "jaccard-texts")
 
-    first = expanded.join(sets.select(F.col("cid").alias("a"), F.col("members").alias("x")), "a")
-    verified = first.join(sets.select(F.col("cid").alias("b"), F.col("members").alias("y")), "b")
-    links = map_batches(verified.select("a", "b", "x", "y"), lambda b: _verify(b, percent), "a long, b long")
+    first = expanded.join(whole.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a")
+    second = first.join(whole.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b")
+    links = map_batches(second.select("a", "b", "x", "y"), lambda b: _verify(b, width, percent), "a long, b long")
     each = long.select("s", "cid", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     each = each.select("s", "cid", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    blocked = each.join(sets, "cid").groupBy("s", "i", "j").applyInPandas(lambda rows: _compare_blocks(rows, percent), "a long, b long")
+    blocked = each.join(whole, "cid").groupBy("s", "i", "j").applyInPandas(lambda rows: _compare_blocks(rows, width, percent), "a long, b long")
     return links.union(blocked)
 
 
@@ -219,17 +262,18 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_
     gives no rows; other columns are ignored.  Shingles and classes are told
     apart by 64-bit hashes.  Returns doc_id, n_shingles, component_id.
     """
-    texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    slot = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string")), 64 - WANTED_BITS)
+    texts = documents.select(F.col(id_col).alias("doc_id"), slot.alias("slot"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     spark = documents.sparkSession
     often = map_batches(texts.select("text"), lambda b: _frequent(b, width), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     frequent = spark.sparkContext.broadcast(bitmap(often.select(F.shiftrightunsigned("shingle", 64 - FREQUENT_BITS).alias("slot")), "slot", FREQUENT_BITS))
-    described = map_batches(texts, lambda b: _describe(b, width, percent, frequent.value), f"doc_id {kind}, n long, cid long, gid long, prefix array<long>")
+    described = map_batches(texts, lambda b: _describe(b, width, percent, frequent.value), f"doc_id {kind}, slot long, n long, cid long, gid long, prefix array<long>")
     described = written(described, "jaccard-sets")
-    classes = described.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("doc_id"))
-    roots = written(components(_links(texts, described, classes, width, percent)), "jaccard-components")
+    classes = described.where("n > 0").groupBy("gid", "cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("slot").alias("slot"))
+    classes = written(classes, "jaccard-classes")
+    roots = written(components(_links(texts, described, classes, frequent, width, percent)), "jaccard-components")
     named = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "doc_id", F.coalesce("root", "cid").alias("root"))
-    named = written(named, "jaccard-named")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     by_class = named.join(least, "root").select("cid", "component_id")
     some = described.where("n > 0").select("doc_id", "n", "cid").join(by_class, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")

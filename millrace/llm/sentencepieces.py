@@ -14,6 +14,7 @@ import heapq
 import re
 from dataclasses import dataclass
 from functools import cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -63,10 +64,11 @@ class Model:
         place = {s: k for k, s in enumerate(order)}
         self.ranks = np.array([place[s] for s in self.scores[self.ids].tolist()], np.int32)
         # space signs only lead in pieces, so that a word and those before it are a segment;
-        # an ASCII character that stands in no longer piece is one by itself
-        self.space_leads = all(SPACE not in t.lstrip(SPACE) for t in texts)
+        # an ASCII character that stands in no longer piece is one by itself, unless stretches
+        # of unknown characters are one token
+        self.space_leads = all(SPACE not in t.lstrip(SPACE) for t in texts) and (self.byte_fallback or SPACE in texts)
         inner = {c for t in texts if len(t) > 1 for c in t}
-        alone = "".join(re.escape(chr(i)) for i in range(128) if chr(i) not in inner)
+        alone = "".join(re.escape(chr(i)) for i in range(128) if chr(i) not in inner) if self.byte_fallback else ""
         self.cut = re.compile(f"[{alone}]|{SPACE}*[^{SPACE}{alone}]+|{SPACE}+" if alone else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         raw = [b"" if self.types[i] in (CONTROL, UNKNOWN) else bytes([int(p[3:5], 16)]) if self.types[i] == BYTE else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
         raw[self.unknown] = " ⁇ ".encode()
@@ -96,22 +98,31 @@ def load(path: str) -> Model:
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of ``text`` in the order of their first ``depth`` characters, by prefix doubling."""
+    """Suffixes of ``text`` in the order of their first ``depth`` characters.
+
+    The first sort takes as many characters as fit 62 bits; further ones double.
+    """
     n = len(text)
     symbols = np.zeros(int(text.max(initial=0)) + 1, np.int64)
     symbols[text] = 1
-    rank = np.cumsum(symbols)[text]
-    width = 1
+    rank = np.cumsum(symbols)
+    bits = int(rank[-1]).bit_length()
+    width = min(max(1, 62 // bits), depth)
+    rank = np.concatenate([rank[text], np.zeros(width, np.int64)])
+    key = np.zeros(n, np.int64)
+    for k in range(width):
+        key <<= np.int64(bits)
+        key |= rank[k : n + k]
     while True:
-        key = rank << np.int64(32)
-        key[: max(0, n - width)] |= rank[width:]
-        order = np.argsort(key, kind="stable")
-        width *= 2
+        order = np.argsort(key)
         if width >= depth:
             return order
         ranked = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate([[1], 1 + np.cumsum(ranked[1:] != ranked[:-1])])
+        key = rank << np.int64(32)
+        key[: max(0, n - width)] |= rank[width:]
+        width *= 2
 
 
 def occurrences(text: np.ndarray, order: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -142,33 +153,30 @@ def occurrences(text: np.ndarray, order: np.ndarray, model: Model) -> tuple[np.n
     return bounds[0], bounds[1]
 
 
-def edges(text: np.ndarray, ends: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Edges within segments, sorted by position: start, length, piece (a place in ``model.ids``).
+class Lattice:
+    """The edges, sorted by position: ``piece[start, length]`` is a place in ``model.ids``, or -1.
 
-    ``ends[i]`` is where the segment of position ``i`` ends.
+    ``ends[i]`` is where the segment of position ``i`` ends; no edge crosses it.
     """
-    order = suffix_order(text, model.longest)
-    low, high = occurrences(text, order, model)
-    count = high - low
-    piece = np.repeat(np.arange(len(count)), count)
-    start = order[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())]
-    size = model.lengths[piece]
-    keep = start + size <= ends[start]
-    start, size, piece = start[keep], size[keep], piece[keep]
-    by = np.argsort(start * np.int64(model.longest + 1) + size, kind="stable")
-    return start[by], size[by], piece[by]
 
+    def __init__(self, text: np.ndarray, ends: np.ndarray, model: Model):
+        order = suffix_order(text, model.longest)
+        low, high = occurrences(text, order, model)
+        count = high - low
+        piece = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        start = order[np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())]
+        size = model.lengths[piece]
+        keep = start + size <= ends[start]
+        self.piece = np.full((len(text), model.longest + 1), -1, np.int32)
+        self.piece[start[keep], size[keep]] = piece[keep]  # a bucket for each position and length
 
-class _Lattice:
-    """Pieces by start and length."""
+    def edges(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start, length and piece of each edge, by position and length."""
+        start, size = np.nonzero(self.piece >= 0)
+        return start, size, self.piece[start, size]
 
-    def __init__(self, n: int, longest: int, edge: tuple[np.ndarray, np.ndarray, np.ndarray]):
-        self.longest = longest
-        self.piece = np.full((n, longest + 1), -1, np.int32)
-        self.piece[edge[0], edge[1]] = edge[2]
 
-
-def _relax_merges(n: int, begins: np.ndarray, ends: np.ndarray, lattice: _Lattice, model: Model) -> np.ndarray:
+def _relax_merges(n: int, begins: np.ndarray, ends: np.ndarray, lattice: Lattice, model: Model) -> np.ndarray:
     """True where a token starts, after all merges of all segments."""
     none = np.iinfo(np.int32).max
     token = np.ones(n, bool)
@@ -206,7 +214,7 @@ def _relax_merges(n: int, begins: np.ndarray, ends: np.ndarray, lattice: _Lattic
         owner, start = owner[keep], start[keep]
 
 
-def _merge_long(begin: int, end: int, token: np.ndarray, lattice: _Lattice, model: Model) -> None:
+def _merge_long(begin: int, end: int, token: np.ndarray, lattice: Lattice, model: Model) -> None:
     """The same merges for one long segment, in the order of a heap."""
     n = end - begin
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
@@ -270,27 +278,30 @@ def _relax_path(n: int, begins: np.ndarray, ends: np.ndarray, edge: tuple[np.nda
     return token[slot]
 
 
-def encode_segments(segments: list[str], model: Model) -> list[np.ndarray]:
-    """Token ids of each segment (escaped text)."""
-    if not segments:
-        return []
+def encode_segments(segments: list[str], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all segments (escaped text), and their offsets."""
     text = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32)
     size = np.array([len(s) for s in segments], np.int64)
     ends = np.cumsum(size)
     begins, n = ends - size, len(text)
-    edge = edges(text, np.repeat(ends, size), model)
-    lattice = _Lattice(n, model.longest, edge)
+    lattice = Lattice(text, np.repeat(ends, size), model)
     full = begins[size > 0], ends[size > 0]
-    token = _relax_merges(n, *full, lattice, model) if model.kind == BPE else _relax_path(n, *full, edge, model)
+    token = _relax_merges(n, *full, lattice, model) if model.kind == BPE else _relax_path(n, *full, lattice.edges(), model)
     at = np.flatnonzero(token)
     first = np.searchsorted(at, np.append(begins, n))
     width = np.diff(np.append(at, n))
     found = np.where(width <= model.longest, lattice.piece[at, np.minimum(width, model.longest)], -1)
     ids = np.where(found >= 0, model.ids[found], -1)
-    out = [ids[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
-    for i in np.unique(np.searchsorted(first, np.flatnonzero(ids < 0), "right") - 1).tolist():
-        out[i] = _with_unknown(out[i], segments[i], at[first[i] : first[i + 1]] - begins[i], model)
-    return out
+    odd = np.unique(np.searchsorted(first, np.flatnonzero(ids < 0), "right") - 1).tolist()
+    if odd:
+        parts, done = [], 0
+        size = np.diff(first)
+        for i in odd:
+            own = _with_unknown(ids[first[i] : first[i + 1]], segments[i], at[first[i] : first[i + 1]] - begins[i], model)
+            parts += [ids[done : first[i]], own]
+            done, size[i] = first[i + 1], len(own)
+        ids, first = np.concatenate([*parts, ids[done:]]), np.concatenate([[0], np.cumsum(size)])
+    return ids, first
 
 
 def _with_unknown(ids: np.ndarray, segment: str, at: np.ndarray, model: Model) -> np.ndarray:
@@ -315,29 +326,47 @@ class Encoder:
     """Encodes texts; remembers the segments of former batches up to a bound."""
 
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model = model
+        self._forget()
 
-    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, concatenated, and their offsets."""
-        model, known = self.model, self.known
-        cuts = [split((SPACE if model.dummy_prefix and t else "") + t.replace(" ", SPACE), model) for t in texts]
-        fresh = list({s for c in cuts for s in c if s not in known})
-        if len(known) + len(fresh) > REMEMBERED:
-            known.clear()
-            fresh = list({s for c in cuts for s in c})
-        a = 0
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.ids, self.size = np.zeros(0, np.int32), np.zeros(0, np.int64)
+
+    def _learn(self, fresh: list[str]) -> None:
+        ids, sizes, a = [self.ids], [self.size], 0
         while a < len(fresh):
             b, held = a, 0
             while b < len(fresh) and (b == a or held + len(fresh[b]) <= INDEX_CHARS):
                 held += len(fresh[b])
                 b += 1
-            known.update(zip(fresh[a:b], (x.astype(np.int32) for x in encode_segments(fresh[a:b], model))))
+            own, first = encode_segments(fresh[a:b], self.model)
+            ids.append(own.astype(np.int32))
+            sizes.append(np.diff(first))
             a = b
-        parts = [known[s] for c in cuts for s in c]
-        ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        return ids, ends[np.concatenate([[0], np.cumsum([len(c) for c in cuts], dtype=np.int64)])]
+        self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
+        self.ids, self.size = np.concatenate(ids), np.concatenate(sizes)
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, concatenated, and their offsets."""
+        model, segments, counts = self.model, [], [0]
+        lead = SPACE if model.dummy_prefix else ""
+        for t in texts:
+            segments += split(lead + t.replace(" ", SPACE), model) if t else []
+            counts.append(len(segments))
+        if len(self.known) > REMEMBERED:
+            self._forget()
+        place = np.fromiter(map(self.known.get, segments, repeat(-1)), np.int64, len(segments))
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            unknown = [segments[i] for i in missing.tolist()]
+            self._learn(list(dict.fromkeys(unknown)))
+            place[missing] = np.fromiter(map(self.known.__getitem__, unknown), np.int64, len(unknown))
+        size = self.size[place]
+        begin = (np.cumsum(self.size) - self.size)[place]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(begin - ends[:-1], size) + np.arange(ends[-1])]
+        return ids, ends[np.array(counts)]
 
 
 def decode_bytes(ids: np.ndarray, off: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray]:

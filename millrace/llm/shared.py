@@ -50,16 +50,29 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
-def bitmap(df: DataFrame, slot: str, bits: int) -> np.ndarray:
-    """A boolean table of ``2 ** bits`` entries, true at the values of the column ``slot``.
+class Bits:
+    """A table of bits that is indexed like an array of booleans."""
+
+    def __init__(self, data: np.ndarray):
+        self.data = data
+
+    def __getitem__(self, at):
+        return (self.data[at >> 3] >> (at & 7) & 1).astype(bool)
+
+    def any(self) -> bool:
+        return bool(self.data.any())
+
+
+def bitmap(df: DataFrame, slot: str, bits: int) -> Bits:
+    """A table of ``2 ** bits`` bits, set at the values of the column ``slot``.
 
     Built by Spark's bitmap aggregates; at most ``2 ** bits / 32768`` rows of
     4 KB reach the driver, whatever the input.
     """
     at = F.col(slot).cast("long") + 1
-    rows = df.where(F.col(slot).isNotNull()).groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).collect()
-    out = np.zeros(max(1 << bits, 32768), bool)
-    for r in rows:
-        own = np.unpackbits(np.frombuffer(bytes(r.m), np.uint8), bitorder="little").astype(bool)
-        out[(r.b - 1) * 32768 : (r.b - 1) * 32768 + len(own)] = own
-    return out
+    rows = df.where(F.col(slot).isNotNull()).groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m"))
+    out = np.zeros(max(1 << bits, 32768) >> 3, np.uint8)
+    for r in rows.toLocalIterator():
+        own = np.frombuffer(bytes(r.m), np.uint8)
+        out[(r.b - 1) * 4096 : (r.b - 1) * 4096 + len(own)] = own
+    return Bits(out)

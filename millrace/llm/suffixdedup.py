@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import repeated_starts
-from .shared import bitmap, map_batches, written
-from .textnp import BLOCK_BYTES, blocks, mix, rolling, span_hashes, string_bytes
+from .shared import Bits, bitmap, map_batches, written
+from .textnp import BLOCK_BYTES, blocks, neighbour_hashes, rolling, span_hashes, string_bytes
 
 #: Bytes of a gram.
 GRAM = 32
 #: Sizes of the tables that tasks hold, as powers of two in bits.
-FREQUENT_BITS, WANTED_BITS = 25, 25
+FREQUENT_BITS, TEXT_BITS, ANCHOR_BITS = 25, 25, 27
 LOCAL, FREQUENT = 3, 24
 #: Bytes of strips whose transforms are merged at once; larger anchors are taken two parts at a time.
 CHUNK_BYTES = 1 << 20
@@ -36,8 +36,7 @@ _LOCAL_BYTES = 4 << 20
 def _grams(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Prefix hashes of the block, and the hashes of all its grams."""
     h = rolling(part)
-    at = np.arange(max(0, len(part) - GRAM + 1))
-    return h, span_hashes(h, at, at + GRAM)
+    return h, neighbour_hashes(h, GRAM)
 
 
 def _frequent(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -69,7 +68,7 @@ def _least(key: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(left[: n - width + 1], right[width - 1 : n])
 
 
-def _strips(part: np.ndarray, own: np.ndarray, length: int, frequent: np.ndarray) -> tuple[np.ndarray, ...]:
+def _strips(part: np.ndarray, own: np.ndarray, length: int, frequent: Bits) -> tuple[np.ndarray, ...]:
     """Strips of a block: document, start, end, anchor and content hash of each.
 
     A long document is taken in pieces: a strip may end anywhere, as each
@@ -86,24 +85,31 @@ def _strips(part: np.ndarray, own: np.ndarray, length: int, frequent: np.ndarray
     none = np.zeros(0, np.int64)
     if len(part) < length:
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    chosen = grams & np.uint64(3) == 0
-    odd = ~chosen
-    odd[chosen] = frequent[(grams[chosen] >> np.uint64(64 - FREQUENT_BITS)).astype(np.int64)]
-    high = (~chosen).astype(np.uint64) << np.uint64(63) | odd.astype(np.uint64) << np.uint64(62) | (mix(grams ^ np.uint64(0xA5A5A5A5)) >> np.uint64(2))
-    position = np.arange(len(grams), dtype=np.uint64)
-    bits = np.uint64(32)  # the rest orders grams, equal ones by place
-    spot = (_least((high >> bits << bits) | position, length - GRAM + 1) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-    doc = np.repeat(np.arange(len(own) - 1), np.diff(own))
-    starts = np.arange(len(part) - length + 1)
-    starts = starts[doc[starts] == doc[starts + length - 1]]
+    # the order: one gram in four before the others, and of those, rare before frequent; then by hash
+    order = grams >> np.uint64(2)
+    chosen = np.flatnonzero(grams & np.uint64(3) == 0)
+    often = chosen[frequent[(grams[chosen] >> np.uint64(64 - FREQUENT_BITS)).astype(np.int64)]]
+    order |= np.uint64(1 << 63)
+    order[chosen] ^= np.uint64(1 << 63)
+    order[often] |= np.uint64(1 << 62)
+    order &= np.uint64(0xFFFFFFFF00000000)  # equal ones by place
+    order |= np.arange(len(grams), dtype=np.uint64)
+    spot = _least(order, length - GRAM + 1) & np.uint64(0xFFFFFFFF)
+    size = np.diff(own)
+    inside = np.flatnonzero(size >= length)
+    edge = np.zeros(len(part) + 1, np.int8)
+    edge[own[inside]] += 1
+    edge[own[inside + 1] - length + 1] -= 1
+    starts = np.flatnonzero(np.cumsum(edge[: len(part) - length + 1], dtype=np.int8))
     if not len(starts):
         return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    spot = spot[starts]
-    new = np.append(True, (spot[1:] != spot[:-1]) | (doc[starts[1:]] != doc[starts[:-1]]))
+    spot = spot[starts].astype(np.int64)
+    new = np.append(True, (spot[1:] != spot[:-1]) | (starts[1:] != starts[:-1] + 1))
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
     begin, end = starts[first], starts[last] + length
-    return doc[begin], begin - own[doc[begin]], end - own[doc[begin]], grams[spot[first]], span_hashes(h, begin, end)
+    doc = np.searchsorted(own, begin, "right") - 1
+    return doc, begin - own[doc], end - own[doc], grams[spot[first]], span_hashes(h, begin, end)
 
 
 def _text_keys(part: np.ndarray, own: np.ndarray) -> np.ndarray:
@@ -117,35 +123,40 @@ def _parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
         yield a, b, buf[off[a] : off[b]], off[a : b + 1] - off[a]
 
 
-def _strip_rows(batch: pa.RecordBatch, length: int, frequent: np.ndarray) -> pa.RecordBatch:
-    columns: list[list] = [[], [], [], [], []]
+def _strip_rows(batch: pa.RecordBatch, length: int, frequent: Bits) -> pa.RecordBatch:
+    columns: list[list] = [[], [], [], []]
     for _, _, part, own in _parts(batch.column("text")):
-        doc, begin, end, anchor, content = _strips(part, own, length, frequent)
-        for column, x in zip(columns, (anchor.view(np.int64), content.view(np.int64), _text_keys(part, own)[doc].view(np.int64), begin.astype(np.int32), (end - begin).astype(np.int32))):
+        doc, begin, _, anchor, content = _strips(part, own, length, frequent)
+        for column, x in zip(columns, (anchor.view(np.int64), content.view(np.int64), _text_keys(part, own)[doc].view(np.int64), begin.astype(np.int32))):
             column.append(x)
-    kinds = (np.int64, np.int64, np.int64, np.int32, np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, k)) for c, k in zip(columns, kinds)], ["anchor", "content", "text_key", "start", "size"])
+    kinds = (np.int64, np.int64, np.int64, np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, k)) for c, k in zip(columns, kinds)], ["anchor", "content", "text_key", "start"])
 
 
-def _strip_bytes(batch: pa.RecordBatch, length: int, frequent: np.ndarray, wanted: np.ndarray) -> pa.RecordBatch:
-    """The bytes of wanted strips, by the slot of their anchor and content."""
-    anchors, contents, data = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], []
-    seen: set[int] = set()
-    for _, _, part, own in _parts(batch.column("text")):
-        doc, begin, end, anchor, content = _strips(part, own, length, frequent)
-        for i in np.flatnonzero(wanted[_slot(anchor, content)]).tolist():
-            if (name := int(anchor[i] ^ content[i])) in seen:
-                continue
-            seen.add(name)
-            anchors.append(anchor[i : i + 1])
-            contents.append(content[i : i + 1])
-            data.append(part[own[doc[i]] + begin[i] : own[doc[i]] + end[i]].tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(anchors).view(np.int64)), pa.array(np.concatenate(contents).view(np.int64)), pa.array(data, pa.binary())], ["anchor", "content", "bytes"])
+def _slots(values: np.ndarray, bits: int) -> np.ndarray:
+    return (values >> np.uint64(64 - bits)).astype(np.int64)
+
 
+def _anchored(batch: pa.RecordBatch, repeated: Bits) -> pa.RecordBatch:
+    return batch.filter(pa.array(repeated[_slots(batch.column("anchor").to_numpy().view(np.uint64), ANCHOR_BITS)]))
 
-def _slot(anchor: np.ndarray, content: np.ndarray) -> np.ndarray:
-    """Of a strip, by the name that Spark computes as ``anchor ^ content``."""
-    return ((anchor ^ content) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)
+
+def _strip_bytes(batch: pa.RecordBatch, length: int, frequent: Bits, repeated: Bits, involved: Bits) -> pa.RecordBatch:
+    """The bytes of strips with repeated anchors, equal ones of a batch as one with a weight."""
+    found: dict[tuple[int, int], list] = {}
+    for _, _, part, own in _parts(batch.column("text")):
+        for j in np.flatnonzero(involved[_slots(_text_keys(part, own), TEXT_BITS)]).tolist():
+            text = part[own[j] : own[j + 1]]
+            _, begin, end, anchor, content = _strips(text, np.array([0, len(text)]), length, frequent)
+            for i in np.flatnonzero(repeated[_slots(anchor, ANCHOR_BITS)]).tolist():
+                strip = found.get(name := (int(anchor[i]), int(content[i])))
+                if strip:
+                    strip[0] += 1
+                else:
+                    found[name] = [1, text[begin[i] : end[i]].tobytes()]
+    names = np.array(list(found), np.uint64).reshape(-1, 2).view(np.int64)
+    arrays = [pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, ["anchor", "content", "weight", "bytes"])
 
 
 def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -158,7 +169,7 @@ def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
 
 def _repeats(strips: list[bytes], weights: list[int], groups: list[int], length: int) -> list[np.ndarray]:
     """Starts of repeated substrings in each strip.  ``groups`` numbers the anchors, in order."""
-    arrays, weight = [np.frombuffer(x, np.uint8) for x in strips], np.array(weights, np.int64)
+    arrays, weight = [np.frombuffer(x, np.uint8) for x in strips], np.minimum(np.array(weights, np.int64), 2)
     size = np.cumsum([len(x) for x in strips])
     if size[-1] <= 2 * CHUNK_BYTES or groups[0] != groups[-1]:
         return repeated_starts(arrays, weight, length)
@@ -190,6 +201,9 @@ def _merge_parts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
 
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "content", "weight", "bytes"))):
+            if held and row[:2] == held[-1][:2]:
+                held[-1] = (*row[:2], held[-1][2] + row[2], row[3])
+                continue
             if held and row[0] != held[-1][0]:
                 if size >= CHUNK_BYTES:
                     yield done(held)
@@ -247,20 +261,19 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
     spark = texts.sparkSession
     often = map_batches(texts.select("text"), _frequent, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     frequent = spark.sparkContext.broadcast(bitmap(often.select(F.shiftrightunsigned("gram", 64 - FREQUENT_BITS).alias("slot")), "slot", FREQUENT_BITS))
-    strips = map_batches(texts.select("text"), lambda b: _strip_rows(b, length, frequent.value), "anchor long, content long, text_key long, start int, size int")
+    strips = map_batches(texts.select("text"), lambda b: _strip_rows(b, length, frequent.value), "anchor long, content long, text_key long, start int")
     strips = written(strips, "repeats-strips")
-    twice = strips.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
-    strips = written(strips.join(twice, "anchor", "left_semi"), "repeats-anchored")
-    distinct = written(strips.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("weight")), "repeats-distinct")
-    slot = F.shiftrightunsigned(F.col("anchor").bitwiseXOR(F.col("content")), 64 - WANTED_BITS)
-    wanted = spark.sparkContext.broadcast(bitmap(distinct.select(slot.alias("slot")), "slot", WANTED_BITS))
-    data = map_batches(texts.select("text"), lambda b: _strip_bytes(b, length, frequent.value, wanted.value), "anchor long, content long, bytes binary")
-    gathered = data.groupBy("anchor", "content").agg(F.first("bytes").alias("bytes")).join(distinct, ["anchor", "content"])
-    ordered = gathered.select("anchor", "content", F.least("weight", F.lit(2)).alias("weight"), "bytes").repartition("anchor").sortWithinPartitions("anchor")
+    twice = written(strips.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "repeats-anchors")
+    share = spark.sparkContext.broadcast
+    repeated = share(bitmap(twice.select(F.shiftrightunsigned("anchor", 64 - ANCHOR_BITS).alias("slot")), "slot", ANCHOR_BITS))
+    placed = map_batches(strips, lambda b: _anchored(b, repeated.value), strips.schema).distinct()
+    placed = written(placed.join(twice, "anchor", "left_semi"), "repeats-anchored")
+    involved = share(bitmap(placed.select(F.shiftrightunsigned("text_key", 64 - TEXT_BITS).alias("slot")), "slot", TEXT_BITS))
+    data = map_batches(texts.select("text"), lambda b: _strip_bytes(b, length, frequent.value, repeated.value, involved.value), "anchor long, content long, weight long, bytes binary")
+    ordered = data.repartition("anchor").sortWithinPartitions("anchor", "content")
     merged = ordered.mapInArrow(lambda batches: _merge_parts(batches, length), "anchor long, content long, runs array<struct<a:int,b:int>>")
     merged = written(merged, "repeats-merged")
-    placed = strips.select("anchor", "content", "text_key", "start").distinct().join(merged, ["anchor", "content"])
-    ranges = placed.select("text_key", F.explode(F.transform("runs", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b")))).alias("r"))
+    ranges = placed.join(merged, ["anchor", "content"]).select("text_key", F.explode(F.transform("runs", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b")))).alias("r"))
     return written(ranges.groupBy("text_key").agg(F.collect_list("r").alias("spans")), "repeats-spans")
 
 
@@ -279,13 +292,12 @@ def remove_repeats(documents: DataFrame, length: int = 200, id_col: str = "doc_i
     kind = texts.schema["doc_id"].dataType.simpleString()
     spans = repeated_spans(texts, length)
     spark = documents.sparkSession
-    flagged = spark.sparkContext.broadcast(bitmap(spans.select(F.shiftrightunsigned("text_key", 64 - WANTED_BITS).alias("slot")), "slot", WANTED_BITS))
+    flagged = spark.sparkContext.broadcast(bitmap(spans.select(F.shiftrightunsigned("text_key", 64 - TEXT_BITS).alias("slot")), "slot", TEXT_BITS))
     keyed = f"doc_id {kind}, text string, text_key long"
 
     def some(batch: pa.RecordBatch, which: bool) -> pa.RecordBatch:
         keys = _keyed(batch)
-        slot = (keys.column("text_key").to_numpy().view(np.uint64) >> np.uint64(64 - WANTED_BITS)).astype(np.int64)
-        return keys.filter(pa.array(flagged.value[slot] == which))
+        return keys.filter(pa.array(flagged.value[_slots(keys.column("text_key").to_numpy().view(np.uint64), TEXT_BITS)] == which))
 
     result = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     empty = F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans")

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are handled at once (a longer document is a block of its own).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -82,11 +82,11 @@ def word_spans(buf: np.ndarray, off: np.ndarray, inside: np.ndarray) -> tuple[np
 def _power(which: str, base: int, n: int) -> np.ndarray:
     kept = _powers.get(which)
     if kept is None or len(kept) < n:
-        size = max(n, BLOCK_BYTES + 1)
+        size = max(n, 4 * BLOCK_BYTES)
         kept = np.full(size, base & _MASK, np.uint64)
         kept[0] = 1
         kept = np.multiply.accumulate(kept)
-        if size <= 4 * BLOCK_BYTES:
+        if size <= 16 * BLOCK_BYTES:
             _powers[which] = kept
     return kept[:n]
 
@@ -94,10 +94,11 @@ def _power(which: str, base: int, n: int) -> np.ndarray:
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def rolling(buf: np.ndarray) -> np.ndarray:
@@ -112,6 +113,16 @@ def span_hashes(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     return mix((h[ends] - h[starts]) * _power("down", _INV, len(h))[starts] + (ends - starts).astype(np.uint64))
 
 
+def neighbour_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of all byte spans of one width, as :func:`span_hashes` gives them."""
+    if len(h) <= width:
+        return np.zeros(0, np.uint64)
+    out = h[width:] - h[:-width]
+    out *= _power("down", _INV, len(h))[: len(out)]
+    out += np.uint64(width)
+    return mix(out)
+
+
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of each ``width`` consecutive word hashes."""
     n = len(words) - width + 1
