@@ -9,27 +9,37 @@ from ..functions.scalar import normalise_text
 from ..operators import quality as q
 from ..sources.tables import census, table
 
-CUSTOMER = [
-    q.Rule("balance_negative", "customer", "validity", "medium", F.col("c_acctbal") < 0),
-    q.Rule("segment_missing", "customer", "completeness", "high", F.col("c_mktsegment").isNull()),
-    q.Rule("name_missing", "customer", "completeness", "high", F.col("c_name").isNull() | (F.trim("c_name") == "")),
-]
-ITEMS = [
-    q.Rule("shipped_late", "lineitem", "consistency", "low", F.col("l_discount") > F.col("l_tax") + 0.05),
-    q.Rule("quantity_range", "lineitem", "validity", "medium", ~F.col("l_quantity").between(1, 50)),
-    q.Rule("open_return", "lineitem", "consistency", "medium", (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")),
-]
-PART = [q.Rule("size_range", "part", "validity", "low", ~F.col("p_size").between(1, 50)), q.Rule("type_missing", "part", "completeness", "medium", F.col("p_type").isNull())]
+
+def customer_rules() -> list[q.Rule]:
+    return [
+        q.Rule("balance_negative", "customer", "validity", "medium", F.col("c_acctbal") < 0),
+        q.Rule("segment_missing", "customer", "completeness", "high", F.col("c_mktsegment").isNull()),
+        q.Rule("name_missing", "customer", "completeness", "high", F.col("c_name").isNull() | (F.trim("c_name") == "")),
+    ]
+
+
+def item_rules() -> list[q.Rule]:
+    return [
+        q.Rule("shipped_late", "lineitem", "consistency", "low", F.col("l_discount") > F.col("l_tax") + 0.05),
+        q.Rule("quantity_range", "lineitem", "validity", "medium", ~F.col("l_quantity").between(1, 50)),
+        q.Rule("open_return", "lineitem", "consistency", "medium", (F.col("l_returnflag") == "R") & (F.col("l_linestatus") == "O")),
+    ]
+
+
+def part_rules() -> list[q.Rule]:
+    return [q.Rule("size_range", "part", "validity", "low", ~F.col("p_size").between(1, 50)), q.Rule("type_missing", "part", "completeness", "medium", F.col("p_type").isNull())]
+
+
 POLICY = {"high": "exclude", "medium": "exclude", "low": "keep"}
 
 
 def dq_results(spark: SparkSession, d: str) -> DataFrame:
-    parts = [q.check_rows(table(spark, d, name), rules) for name, rules in (("customer", CUSTOMER), ("lineitem", ITEMS), ("part", PART))]
+    parts = [q.check_rows(table(spark, d, name), rules) for name, rules in (("customer", customer_rules()), ("lineitem", item_rules()), ("part", part_rules()))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def dq_issues(spark: SparkSession, d: str) -> DataFrame:
-    return q.issue_rows(table(spark, d, "customer"), F.col("c_custkey"), CUSTOMER)
+    return q.issue_rows(table(spark, d, "customer"), F.col("c_custkey"), customer_rules())
 
 
 def dq_scores(spark: SparkSession, d: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,11 +16,14 @@ WEEKLY = 10.0
 FIRST, LAST = "1995-01-01", "2001-12-01"
 BANDS = [("early", 420, 540), ("morning", 540, 720), ("afternoon", 720, 1020), ("evening", 1020, 1260)]
 
-BOOKINGS = u.Bookings(
-    unit=F.col("l_suppkey"), minutes=F.col("l_quantity").cast("long"), date=F.col("l_shipdate"), cancelled=F.col("l_returnflag") == "R",
-    no_show=(F.col("l_returnflag") == "A") & (F.col("l_linestatus") == "O"), completed=F.col("l_linestatus") == "F",
-    planned=F.lit(10), actual=F.col("l_linenumber").cast("long"),
-)
+
+def bookings() -> u.Bookings:
+    """Line items as bookings."""
+    back, status = F.col("l_returnflag"), F.col("l_linestatus")
+    return u.Bookings(
+        unit=F.col("l_suppkey"), minutes=F.col("l_quantity").cast("long"), date=F.col("l_shipdate"), cancelled=back == "R",
+        no_show=(back == "A") & (status == "O"), completed=status == "F", planned=F.lit(10), actual=F.col("l_linenumber").cast("long"),
+    )
 
 
 def _units(spark: SparkSession, d: str) -> DataFrame:
@@ -33,7 +38,7 @@ def booking_context(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unit_utilisation(spark: SparkSession, d: str) -> DataFrame:
-    return u.unit_kpis(_units(spark, d), table(spark, d, "lineitem"), BOOKINGS, "s_suppkey", ["parent", "site"], F.lit(WEEKLY), WEIGHTS)
+    return u.unit_kpis(_units(spark, d), table(spark, d, "lineitem"), bookings(), "s_suppkey", ["parent", "site"], F.lit(WEEKLY), WEIGHTS)
 
 
 def parent_utilisation(spark: SparkSession, d: str) -> DataFrame:
@@ -54,14 +59,15 @@ def service_utilisation(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").select("p_partkey", F.col("p_type").alias("service"))
     facts = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
     services = part.select("service").distinct()
-    b = u.Bookings(**{**BOOKINGS.__dict__, "unit": F.col("service")})
+    b = replace(bookings(), unit=F.col("service"))
     return u.unit_kpis(services, facts, b, "service", [], F.lit(WEEKLY * 100), WEIGHTS).drop("planned", "actual")
 
 
 def unit_service_hours(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part").select("p_partkey", "p_type")
     facts = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey"))
-    left = facts.where(~BOOKINGS.cancelled).groupBy(F.col("l_suppkey").alias("unit"), F.col("p_type").alias("service")).agg(F.sum(BOOKINGS.minutes).alias("minutes"))
+    b = bookings()
+    left = facts.where(~b.cancelled).groupBy(F.col("l_suppkey").alias("unit"), F.col("p_type").alias("service")).agg(F.sum(b.minutes).alias("minutes"))
     right = facts.where("l_returnflag = 'A'").groupBy(F.col("l_suppkey").alias("unit"), F.col("p_type").alias("service")).agg(F.count(F.lit(1)).alias("contacts"))
     return u.two_sided(left, right, ["unit", "service"])
 
@@ -71,7 +77,7 @@ def weekday_and_band(spark: SparkSession, d: str) -> DataFrame:
 
 
 def monthly_spine(spark: SparkSession, d: str) -> DataFrame:
-    return u.monthly_spine(_units(spark, d), table(spark, d, "lineitem"), BOOKINGS, "s_suppkey", FIRST, LAST, F.lit(WEEKLY))
+    return u.monthly_spine(_units(spark, d), table(spark, d, "lineitem"), bookings(), "s_suppkey", FIRST, LAST, F.lit(WEEKLY))
 
 
 def persistent_low_use(spark: SparkSession, d: str) -> DataFrame:
