@@ -22,6 +22,11 @@ def round_half_away(x: Column, digits: int = 4) -> Column:
     return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
 
 
+def exact_mean(x: Column, digits: int = 4) -> Column:
+    """Mean of values with ``digits`` places, summed as decimals: the order of rows never moves a tie."""
+    return F.sum(x.cast(f"decimal(24,{digits})")).cast("double") / F.count(x)
+
+
 def bounded_ratio(top: Column, bottom: Column) -> Column:
     return clamp01(safe_ratio(top, bottom))
 

@@ -120,12 +120,16 @@ def backtest(series: DataFrame, initial: int, horizon: int, step: int) -> DataFr
 
 
 def error_metrics(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """MAE, RMSE, WAPE, bias and sMAPE; null where the actual values sum to 0, and a 0/0 term of sMAPE is 0."""
+    """MAE, RMSE, WAPE, bias and sMAPE; null where the actual values sum to 0, and a 0/0 term of sMAPE is 0.
+
+    Errors are summed as decimals, so that the order of rows never moves a tie.
+    """
     e, a, f = F.col("forecast") - F.col("actual"), F.abs("actual"), F.abs("forecast")
+    exact, n = e.cast("decimal(20,4)"), F.count(F.lit(1))
     term = F.when(a + f == 0, 0.0).otherwise(2 * F.abs(e) / (a + f))
     out = pairs.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), round_half_away(F.avg(F.abs(e))).alias("mae"), round_half_away(F.sqrt(F.avg(e * e))).alias("rmse"),
-        round_half_away(F.when(F.sum(a) > 0, F.sum(F.abs(e)) / F.sum(a))).alias("wape"), round_half_away(F.avg(e)).alias("bias"), round_half_away(F.avg(term)).alias("smape"),
+        n.alias("n"), round_half_away(F.sum(F.abs(exact)).cast("double") / n).alias("mae"), round_half_away(F.sqrt(F.sum(exact * exact).cast("double") / n)).alias("rmse"),
+        round_half_away(F.when(F.sum(a) > 0, F.sum(F.abs(exact)).cast("double") / F.sum(a))).alias("wape"), round_half_away(F.sum(exact).cast("double") / n).alias("bias"), round_half_away(F.avg(term)).alias("smape"),
     )
     return out
 

@@ -80,4 +80,4 @@ def allocate(demand: DataFrame, supply: DataFrame, group: str, need: str, demand
     w = Window.partitionBy(group).orderBy("at")
     filled = merged.select(group, "at", *[F.last(c, ignorenulls=True).over(w).alias(c) for c in ("d", "d_end", "s", "s_end")], F.lead("at").over(w).alias("next"))
     stop = F.least("d_end", "s_end", F.coalesce("next", F.col("d_end")))
-    return filled.withColumn("amount", round_half_away(stop - F.col("at"))).where(F.col("amount") > 0).select(group, "d", "s", "amount")
+    return filled.where(F.col("d").isNotNull() & F.col("s").isNotNull()).withColumn("amount", round_half_away(stop - F.col("at"))).where(F.col("amount") > 0).select(group, "d", "s", "amount")

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import bounded_ratio, month_key, round_half_away, safe_ratio, weighted_score
+from ..functions.scalar import bounded_ratio, exact_mean, month_key, round_half_away, safe_ratio, weighted_score
 
 
 @dataclass(frozen=True)
@@ -70,7 +70,7 @@ def with_ratios(frame: DataFrame, weights: dict[str, float]) -> DataFrame:
 def roll_up(frame: DataFrame, by: list[str]) -> DataFrame:
     """Sums of the rounded unit values, ratios anew, and the plain mean of the units' scores."""
     sums = ["available_hours", "booked_hours", "occupied_hours"]
-    out = frame.groupBy(*by).agg(F.count(F.lit(1)).alias("units"), *[round_half_away(F.sum(c)).alias(c) for c in sums], round_half_away(F.avg("effective")).alias("effective"))
+    out = frame.groupBy(*by).agg(F.count(F.lit(1)).alias("units"), *[round_half_away(F.sum(c)).alias(c) for c in sums], round_half_away(exact_mean(F.col("effective"))).alias("effective"))
     return out.withColumns({"booked_ratio": round_half_away(bounded_ratio(F.col("booked_hours"), F.col("available_hours"))), "occupied_ratio": round_half_away(bounded_ratio(F.col("occupied_hours"), F.col("available_hours")))})
 
 

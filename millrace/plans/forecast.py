@@ -73,7 +73,7 @@ _SERIES = f"""SELECT s AS series_id, strftime(m, '%Y-%m') AS period, coalesce(v,
   FROM (SELECT DISTINCT o_orderpriority AS s FROM orders) CROSS JOIN (SELECT unnest(generate_series(DATE '{FIRST}', DATE '{LAST}', INTERVAL 1 MONTH)) AS m)
   LEFT JOIN (SELECT o_orderpriority AS s2, strftime(o_orderdate, '%Y-%m') AS p, count(*) AS v FROM orders GROUP BY 1, 2) ON s = s2 AND p = strftime(m, '%Y-%m')"""
 _Y = f"SELECT series_id, list(value ORDER BY period) AS y, count(*) AS n FROM ({_SERIES}) GROUP BY 1"
-_FOLDS = f"SELECT series_id, (k / {STEP})::INTEGER AS fold, ({INITIAL} + k)::INTEGER AS train_end, n::INTEGER AS n, ({INITIAL} + k + {HORIZON})::INTEGER AS validation_end FROM ({_Y}), (SELECT unnest(range(0, 1000, {STEP})) AS k) WHERE {INITIAL} + k + {HORIZON} <= n"
+_FOLDS = f"SELECT series_id, (k / {STEP})::INTEGER AS fold, ({INITIAL} + k)::INTEGER AS train_end, ({INITIAL} + k + {HORIZON})::INTEGER AS validation_end FROM ({_Y}), (SELECT unnest(range(0, 1000, {STEP})) AS k) WHERE {INITIAL} + k + {HORIZON} <= n"
 _HOLT = "list_reduce(list_prepend([y[1], y[2] - y[1]], list_transform(y[2:], lambda v: [v])), lambda a, v: [0.4::DOUBLE * v[1] + 0.6::DOUBLE * (a[1] + a[2]), 0.2::DOUBLE * ((0.4::DOUBLE * v[1] + 0.6::DOUBLE * (a[1] + a[2])) - a[1]) + 0.8::DOUBLE * a[2]])"
 
 
@@ -93,8 +93,9 @@ _ALL = _forecasts(_Y, "series_id")
 _CUT = f"SELECT a.series_id, fold, y[1:train_end] AS y, y[train_end + 1:train_end + {HORIZON}] AS next FROM ({_Y}) a JOIN ({_FOLDS}) b ON a.series_id = b.series_id"
 _BACK = f"SELECT f.series_id, f.fold, f.model, f.h, forecast, next[f.h] AS actual FROM ({_forecasts(_CUT, 'series_id, fold')}) f JOIN ({_CUT}) c ON f.series_id = c.series_id AND f.fold = c.fold"
 _E = "(forecast - actual)"
-_METRICS = f"""SELECT series_id, model, count(*) AS n, {r(f'avg(abs{_E})')} AS mae, {r(f'sqrt(avg({_E} * {_E}))')} AS rmse, CASE WHEN sum(abs(actual)) > 0 THEN {r(f'(sum(abs{_E}) / sum(abs(actual)))')} END AS wape,
-  {r(f'avg{_E}')} AS bias, {r(f'avg(CASE WHEN abs(actual) + abs(forecast) = 0 THEN 0.0 ELSE 2 * abs{_E} / (abs(actual) + abs(forecast)) END)')} AS smape FROM ({_BACK}) GROUP BY 1, 2"""
+_X = f"{_E}::DECIMAL(20,4)"
+_METRICS = f"""SELECT series_id, model, count(*) AS n, {r(f'(sum(abs({_X}))::DOUBLE / count(*))')} AS mae, {r(f'sqrt(sum({_X} * {_X})::DOUBLE / count(*))')} AS rmse, CASE WHEN sum(abs(actual)) > 0 THEN {r(f'(sum(abs({_X}))::DOUBLE / sum(abs(actual)))')} END AS wape,
+  {r(f'(sum({_X})::DOUBLE / count(*))')} AS bias, {r(f'avg(CASE WHEN abs(actual) + abs(forecast) = 0 THEN 0.0 ELSE 2 * abs{_E} / (abs(actual) + abs(forecast)) END)')} AS smape FROM ({_BACK}) GROUP BY 1, 2"""
 _RANK = "list_position(['naive', 'seasonal_naive', 'moving_average', 'drift', 'ses', 'holt'], model)"
 _WIDTH = f"SELECT series_id, model, level, {r('e[(round_even(level * (len(e) - 1), 0))::INTEGER + 1]')} AS width FROM (SELECT series_id, model, list_sort(list(abs{_E})) AS e FROM ({_BACK}) GROUP BY 1, 2), (SELECT unnest([0.8::DOUBLE, 0.95::DOUBLE]) AS level)"
 ORACLE_SQL = {

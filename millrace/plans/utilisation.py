@@ -7,7 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import round_half_away, safe_ratio
+from ..functions.scalar import exact_mean, round_half_away, safe_ratio
 from ..operators import utilisation as u
 from ..sources.tables import table
 
@@ -51,7 +51,7 @@ def site_utilisation(spark: SparkSession, d: str) -> DataFrame:
 
 def estate_summary(spark: SparkSession, d: str) -> DataFrame:
     return unit_utilisation(spark, d).agg(
-        F.count(F.lit(1)).alias("units"), F.sum("bookings").cast("long").alias("bookings"), round_half_away(F.sum("booked_hours")).alias("booked_hours"), round_half_away(F.avg("effective")).alias("effective"), round_half_away(F.avg("cancellation_rate")).alias("cancellation_rate")
+        F.count(F.lit(1)).alias("units"), F.sum("bookings").cast("long").alias("bookings"), round_half_away(F.sum("booked_hours")).alias("booked_hours"), round_half_away(exact_mean(F.col("effective"))).alias("effective"), round_half_away(exact_mean(F.col("cancellation_rate"))).alias("cancellation_rate")
     )
 
 
@@ -104,6 +104,7 @@ def r(x: str, digits: int = 4) -> str:
 
 
 _ratio = lambda a, b: f"CASE WHEN {b} > 0 THEN least(1.0, greatest(0.0, ({a})::DOUBLE / ({b})::DOUBLE)) ELSE 0.0 END"
+_mean = lambda c: f"(sum({c}::DECIMAL(24,4))::DOUBLE / count({c}))"
 _UNITS = "SELECT s_suppkey, s_name, s_acctbal, n_name AS parent, r_name AS site FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey"
 _SUMS = """count(*)::DOUBLE AS bookings, sum(l_quantity)::DOUBLE AS sm, sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0 END)::DOUBLE AS bm,
   sum(CASE WHEN l_linestatus = 'F' AND l_returnflag <> 'R' THEN l_quantity ELSE 0 END)::DOUBLE AS om,
@@ -122,7 +123,7 @@ def _kpis(source: str, keys: str, weekly: float) -> str:
 
 _UNIT = _kpis(f"({_UNITS}) u LEFT JOIN (SELECT l_suppkey, {_SUMS} FROM lineitem GROUP BY 1) f ON s_suppkey = l_suppkey", "s_suppkey, parent, site", WEEKLY)
 _ROLL = f"""SELECT *, {r('(' + _ratio('booked_hours', 'available_hours') + ')')} AS booked_ratio, {r('(' + _ratio('occupied_hours', 'available_hours') + ')')} AS occupied_ratio FROM (
-  SELECT KEY, count(*) AS units, {r('sum(available_hours)')} AS available_hours, {r('sum(booked_hours)')} AS booked_hours, {r('sum(occupied_hours)')} AS occupied_hours, {r('avg(effective)')} AS effective FROM ({_UNIT}) GROUP BY KEY)"""
+  SELECT KEY, count(*) AS units, {r('sum(available_hours)')} AS available_hours, {r('sum(booked_hours)')} AS booked_hours, {r('sum(occupied_hours)')} AS occupied_hours, {r(_mean('effective'))} AS effective FROM ({_UNIT}) GROUP BY KEY)"""
 _SERVICE = _kpis(f"(SELECT DISTINCT p_type AS service FROM part) s LEFT JOIN (SELECT p_type, {_SUMS} FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) f ON service = p_type", "service", WEEKLY * 100)
 MONTHLY = f"""SELECT s_suppkey, period, available_hours, booked_hours, {r('(' + _ratio('booked_hours', 'available_hours') + ')')} AS booked_ratio FROM (
   SELECT s_suppkey, strftime(m, '%Y-%m') AS period, {r(f'({WEEKLY} * 52 / 12)')} AS available_hours, {r('(coalesce(minutes, 0) / 60.0::DOUBLE)')} AS booked_hours
@@ -136,7 +137,7 @@ ORACLE_SQL = {
     "unit_utilisation": _UNIT,
     "parent_utilisation": _ROLL.replace("KEY", "parent"),
     "site_utilisation": _ROLL.replace("KEY", "site"),
-    "estate_summary": f"SELECT count(*) AS units, sum(bookings)::BIGINT AS bookings, {r('sum(booked_hours)')} AS booked_hours, {r('avg(effective)')} AS effective, {r('avg(cancellation_rate)')} AS cancellation_rate FROM ({_UNIT})",
+    "estate_summary": f"SELECT count(*) AS units, sum(bookings)::BIGINT AS bookings, {r('sum(booked_hours)')} AS booked_hours, {r(_mean('effective'))} AS effective, {r(_mean('cancellation_rate'))} AS cancellation_rate FROM ({_UNIT})",
     "service_utilisation": f"SELECT * EXCLUDE (planned, actual) FROM ({_SERVICE})",
     "unit_service_hours": "SELECT l_suppkey AS unit, p_type AS service, sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0 END)::BIGINT AS minutes, sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END)::BIGINT AS contacts FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2 HAVING count(*) FILTER (WHERE l_returnflag <> 'R') > 0",
     "weekday_and_band": f"""SELECT grain, part, count(*) AS n, {r('sum(value)')} AS total, part IN ('morning', 'Monday') AS peak FROM (
