@@ -39,6 +39,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of text that a task holds as one Arrow batch, in the JVM and in Python.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches are bounded by bytes too, as ten thousand rows of long texts are too many; a smaller bound stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name)
+    if not (now.rstrip("b").isdigit() and int(now.rstrip("b")) <= BATCH_BYTES):
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     """``step`` on each Arrow batch of ``df``; no shuffle."""
 
@@ -47,6 +59,7 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch],
             if batch.num_rows:
                 yield step(batch)
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
