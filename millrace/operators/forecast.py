@@ -94,8 +94,6 @@ def holt_winters(series: DataFrame, horizon: int, season: int = 12, alpha: float
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         y = rows.sort_values("period")["value"].tolist()
-        if len(y) < 2 * season:
-            return pd.DataFrame({"series_id": [], "h": [], "forecast": []})
         one, two = y[:season], y[season : 2 * season]
         level, trend = sum(one) / season, (sum(two) - sum(one)) / season**2
         seasons = [v - level for v in one]
@@ -107,7 +105,9 @@ def holt_winters(series: DataFrame, horizon: int, season: int = 12, alpha: float
         out = [max(0.0, level + h * trend + seasons[(len(y) + h - 1) % season]) for h in range(1, horizon + 1)]
         return pd.DataFrame({"series_id": rows["series_id"].iloc[0], "h": range(1, horizon + 1), "forecast": [round(v, 4) for v in out]})
 
-    return series.groupBy("series_id").applyInPandas(fit, "series_id string, h int, forecast double")
+    size = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
+    whole = series.select("series_id", "period", "value", size.alias("_n")).where(F.col("_n") >= 2 * season)
+    return whole.groupBy("series_id").applyInPandas(fit, "series_id string, h int, forecast double")
 
 
 def backtest(series: DataFrame, initial: int, horizon: int, step: int) -> DataFrame:
