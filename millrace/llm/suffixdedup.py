@@ -6,7 +6,9 @@ frequent.  Neighbouring substrings with one anchor form a strip.  Strips whose
 anchor occurs once hold nothing that repeats.  The others are gathered by
 anchor, equal strips as one with a weight, and within each part of the anchors
 the transforms of small shards of strips are built and merged; the intervals
-with common prefixes of ``length`` bytes are the repeats.
+with common prefixes of ``length`` bytes are the repeats.  Anchors with very
+many strips would be one task's work: their substrings are counted apart, by
+hash, which splits them over all tasks.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ LOCAL, FREQUENT = 3, 24
 #: Bytes of strips whose transforms are merged at once; larger anchors are taken two parts at a time.
 CHUNK_BYTES = 1 << 20
 _LOCAL_BYTES = 4 << 20
+#: Strips of one anchor, copies included, beyond which its substrings are counted instead.
+HOT = 20_000
 
 
 def _grams(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -141,24 +145,52 @@ def _anchored(batch: pa.RecordBatch, repeated: Bits) -> pa.RecordBatch:
     return batch.filter(pa.array(repeated[_slots(batch.column("anchor").to_numpy().view(np.uint64), ANCHOR_BITS)]))
 
 
-def _strip_bytes(batch: pa.RecordBatch, length: int, frequent: Bits, repeated: Bits, involved: Bits) -> pa.RecordBatch:
-    """The bytes of strips with repeated anchors, equal ones of a batch as one with a weight."""
+def _distinct_strips(batch: pa.RecordBatch, length: int, frequent: Bits, repeated: Bits, hot: Bits, involved: Bits, of_hot: bool) -> dict[tuple[int, int], list]:
+    """[weight, bytes] of each strip with a repeated anchor, by anchor and content; of hot anchors or of the others."""
     found: dict[tuple[int, int], list] = {}
     for _, _, part, own in _parts(batch.column("text")):
         for j in np.flatnonzero(involved[_slots(_text_keys(part, own), TEXT_BITS)]).tolist():
             text = part[own[j] : own[j + 1]]
             _, begin, end, anchor, content = _strips(text, np.array([0, len(text)]), length, frequent)
-            for i in np.flatnonzero(repeated[_slots(anchor, ANCHOR_BITS)]).tolist():
+            slot = _slots(anchor, ANCHOR_BITS)
+            for i in np.flatnonzero(repeated[slot] & (hot[slot] == of_hot)).tolist():
                 strip = found.get(name := (int(anchor[i]), int(content[i])))
                 if strip:
                     strip[0] += 1
                 else:
                     found[name] = [1, text[begin[i] : end[i]].tobytes()]
+    return found
+
+
+def _strip_bytes(batch: pa.RecordBatch, *tables) -> pa.RecordBatch:
+    """The strips of anchors that are not hot, equal ones of a batch as one with a weight."""
+    found = _distinct_strips(batch, *tables, False)
     names = np.array(list(found), np.uint64).reshape(-1, 2).view(np.int64)
     arrays = [pa.array(names[:, 0]), pa.array(names[:, 1]), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.binary())]
     return pa.RecordBatch.from_arrays(arrays, ["anchor", "content", "weight", "bytes"])
 
 
+def _strip_windows(batch: pa.RecordBatch, length: int, *tables) -> pa.RecordBatch:
+    """A row for each substring of ``length`` bytes in the strips of hot anchors: its hash and its place in the strip."""
+    found = _distinct_strips(batch, length, *tables, True)
+    hashes = [neighbour_hashes(rolling(np.frombuffer(x[1], np.uint8)), length) for x in found.values()]
+    size = [len(h) for h in hashes]
+    names = np.repeat(np.array(list(found), np.uint64).reshape(-1, 2).view(np.int64), size, axis=0)
+    starts = np.concatenate([np.arange(n, dtype=np.int32) for n in size] or [np.zeros(0, np.int32)])
+    values = np.concatenate(hashes or [np.zeros(0, np.uint64)]).view(np.int64)
+    weights = np.repeat(np.array([x[0] for x in found.values()], np.int64), size)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(names[:, 0])), pa.array(np.ascontiguousarray(names[:, 1])), pa.array(weights), pa.array(starts), pa.array(values)], ["anchor", "content", "weight", "start", "window"])
+
+
+_RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+_MERGED = "anchor long, content long, runs array<struct<a:int,b:int>>"
+
+
+def _window_runs(batch: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    runs = [[{"a": x, "b": y} for x, y in _runs(np.array(sorted(starts)), length)] for starts in batch.column("starts").to_pylist()]
+    return pa.RecordBatch.from_arrays([batch.column("anchor"), batch.column("content"), pa.array(runs, _RUNS)], ["anchor", "content", "runs"])
+
+
 def _runs(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
     """Covered ranges of substrings that start at the given offsets."""
     if not len(starts):
@@ -193,10 +225,9 @@ def _merge_parts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
     def done(rows: list) -> pa.RecordBatch:
         groups = np.cumsum([0] + [int(a[0] != b[0]) for a, b in zip(rows, rows[1:])]).tolist()
         runs = [_runs(x, length) for x in _repeats([r[3] for r in rows], [r[2] for r in rows], groups, length)]
-        kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
         some = [k for k, x in enumerate(runs) if x]
         return pa.RecordBatch.from_arrays(
-            [pa.array([rows[k][0] for k in some], pa.int64()), pa.array([rows[k][1] for k in some], pa.int64()), pa.array([[{"a": x, "b": y} for x, y in runs[k]] for k in some], kind)], ["anchor", "content", "runs"]
+            [pa.array([rows[k][0] for k in some], pa.int64()), pa.array([rows[k][1] for k in some], pa.int64()), pa.array([[{"a": x, "b": y} for x, y in runs[k]] for k in some], _RUNS)], ["anchor", "content", "runs"]
         )
 
     for batch in batches:
@@ -263,15 +294,24 @@ def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
     frequent = spark.sparkContext.broadcast(bitmap(often.select(F.shiftrightunsigned("gram", 64 - FREQUENT_BITS).alias("slot")), "slot", FREQUENT_BITS))
     strips = map_batches(texts.select("text"), lambda b: _strip_rows(b, length, frequent.value), "anchor long, content long, text_key long, start int")
     strips = written(strips, "repeats-strips")
-    twice = written(strips.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "repeats-anchors")
+    counts = written(strips.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeats-anchors")
+    twice = counts.select("anchor")
     share = spark.sparkContext.broadcast
     repeated = share(bitmap(twice.select(F.shiftrightunsigned("anchor", 64 - ANCHOR_BITS).alias("slot")), "slot", ANCHOR_BITS))
+    hot = share(bitmap(counts.where(F.col("n") > HOT).select(F.shiftrightunsigned("anchor", 64 - ANCHOR_BITS).alias("slot")), "slot", ANCHOR_BITS))
     placed = map_batches(strips, lambda b: _anchored(b, repeated.value), strips.schema).distinct()
     placed = written(placed.join(twice, "anchor", "left_semi"), "repeats-anchored")
     involved = share(bitmap(placed.select(F.shiftrightunsigned("text_key", 64 - TEXT_BITS).alias("slot")), "slot", TEXT_BITS))
-    data = map_batches(texts.select("text"), lambda b: _strip_bytes(b, length, frequent.value, repeated.value, involved.value), "anchor long, content long, weight long, bytes binary")
+    tables = lambda: (length, frequent.value, repeated.value, hot.value, involved.value)
+    data = map_batches(texts.select("text"), lambda b: _strip_bytes(b, *tables()), "anchor long, content long, weight long, bytes binary")
     ordered = data.repartition("anchor").sortWithinPartitions("anchor", "content")
-    merged = ordered.mapInArrow(lambda batches: _merge_parts(batches, length), "anchor long, content long, runs array<struct<a:int,b:int>>")
+    merged = ordered.mapInArrow(lambda batches: _merge_parts(batches, length), _MERGED)
+    if hot.value.any():
+        windows = map_batches(texts.select("text"), lambda b: _strip_windows(b, *tables()), "anchor long, content long, weight long, start int, window long")
+        windows = written(windows, "repeats-windows")
+        again = windows.groupBy("window").agg(F.sum("weight").alias("n")).where("n > 1").select("window")
+        starts = windows.join(again, "window", "left_semi").groupBy("anchor", "content").agg(F.collect_set("start").alias("starts"))
+        merged = merged.union(map_batches(starts, lambda b: _window_runs(b, length), _MERGED))
     merged = written(merged, "repeats-merged")
     ranges = placed.join(merged, ["anchor", "content"]).select("text_key", F.explode(F.transform("runs", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b")))).alias("r"))
     return written(ranges.groupBy("text_key").agg(F.collect_list("r").alias("spans")), "repeats-spans")

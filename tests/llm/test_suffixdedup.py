@@ -47,6 +47,11 @@ def test_matches_brute_force(spark, rows, length):
     assert got(remove_repeats(documents(spark, rows), length)) == brute(rows, length)
 
 
+def test_hot_anchors_are_counted_apart(spark, rows, monkeypatch):
+    monkeypatch.setattr(suffixdedup, "HOT", 3)
+    assert got(remove_repeats(documents(spark, rows), 200)) == brute(rows, 200)
+
+
 def test_one_anchor_with_many_strips():
     rng = random.Random(1)
     tail = prose(rng, 60).encode()
