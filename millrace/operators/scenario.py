@@ -50,7 +50,7 @@ def comparison(frame: DataFrame, by: list[str], dimensions: dict[str, tuple[Colu
 def home_of(frame: DataFrame, key: str, place: str, weight: str) -> DataFrame:
     """The place with the largest weight of each key, ties by name."""
     sums = frame.groupBy(key, place).agg(F.sum(weight).alias("_w"))
-    return sums.groupBy(key).agg(F.max_by(place, F.struct("_w", F.lit(0))).alias("_any"), F.max("_w").alias("_m")).join(sums, key).where("_w = _m").groupBy(key).agg(F.min(place).alias(place), round_half_away(F.first("_m"), 2).alias("weight"))
+    return sums.groupBy(key).agg(F.min_by(place, F.struct(-F.col("_w"), F.col(place))).alias(place), round_half_away(F.max("_w"), 2).alias("weight"))
 
 
 def constraint_slack(coefficients: DataFrame, values: DataFrame, bounds: DataFrame, tolerance: float = 1e-5) -> DataFrame:
