@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,8 +25,6 @@ def read_contract_csv(spark: SparkSession, path: str, schema: T.StructType, run_
     raw = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in schema.names])).csv(path, header=True, enforceSchema=False)
     clean = [F.nullif(F.trim(F.col(f"`{f.name}`")), F.lit("")).try_cast(f.dataType).alias(f.name) for f in schema.fields]
     numbered = raw.select(*clean, F.col("_metadata.file_name").alias("source_file_name"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
-    from pyspark.sql import Window
-
     row = F.row_number().over(Window.partitionBy("source_file_name").orderBy("_b", "_i")) + 1
     return numbered.withColumn("source_row_number", row).withColumn("ingestion_run_id", F.lit(run_id)).drop("_b", "_i")
 
@@ -41,3 +41,47 @@ def census(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
         part = table(spark, sf_dir, n).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+def file_digests(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """Name, length and SHA-256 of each file; for source files, each of which fits a task's memory."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+def manifest_errors(spark: SparkSession, folder: str, manifest: DataFrame, pattern: str = "*") -> DataFrame:
+    """Files that are missing, not listed, or not what the manifest (name, sha256) says."""
+    found = file_digests(spark, folder, pattern).select("name", F.col("sha256").alias("found"))
+    both = manifest.select("name", F.col("sha256").alias("listed")).join(found, "name", "full_outer")
+    error = F.when(F.col("found").isNull(), "missing").when(F.col("listed").isNull(), "not_listed").when(F.col("found") != F.col("listed"), "changed")
+    return both.select("name", error.alias("error")).where("error is not null")
+
+
+def register(spark: SparkSession, sf_dir: str, names: list[str]) -> None:
+    """Each table as a temporary view."""
+    for n in names:
+        table(spark, sf_dir, n).createOrReplaceTempView(n)
+
+
+def read_only_sql(spark: SparkSession, query: str, **values) -> DataFrame:
+    """One SELECT or WITH over the registered views; values are bound as parameters, never pasted."""
+    plain = re.sub(r"'(?:[^']|'')*'|--[^\n]*|/\*.*?\*/", " ", query, flags=re.S).strip()
+    if ";" in plain or not re.match(r"(?i)(select|with)\b", plain) or re.search(r"(?i)\b(insert|update|delete|merge|drop|create|alter|truncate|set|load|cache)\b", plain):
+        raise ValueError("only one SELECT is allowed")
+    return spark.sql(query, args=values)
+
+
+def columns_of(spark: SparkSession, names: list[str]) -> DataFrame:
+    """Names, types and places of the columns of registered views."""
+    rows = [(n, f.name, f.dataType.simpleString(), k) for n in names for k, f in enumerate(spark.table(n).schema.fields)]
+    return spark.createDataFrame(rows, "table_name string, column_name string, data_type string, place int")
+
+
+def export_csv(df: DataFrame, path: str, order: list[str]) -> None:
+    """A report table as one CSV file with a header, in a total order."""
+    df.orderBy(*order).coalesce(1).write.mode("errorifexists").option("header", True).option("lineSep", "\n").csv(path)
+
+
+def export_json(df: DataFrame, path: str, order: list[str]) -> None:
+    """The same as JSON lines, keys in the order of their names."""
+    df.select(*sorted(df.columns)).orderBy(*order).coalesce(1).write.mode("errorifexists").json(path)

@@ -133,3 +133,45 @@ def test_output_is_not_overwritten(spark, tmp_path):
         write_once(spark.range(3), path)
     write_once(spark.range(4), path, rebuild=True)
     assert spark.read.parquet(path).count() == 4
+
+
+def test_text_functions(spark):
+    from millrace.functions.text import normalise_unicode, similarity
+
+    frame = spark.createDataFrame([("Ｒｏｏｍ ①", "room 1"), ("abcd", "bcde"), (None, "x")], "a string, b string")
+    got = frame.select(normalise_unicode(F.col("a")).alias("n"), similarity(F.col("a"), F.col("b")).alias("s")).collect()
+    assert [tuple(r) for r in got] == [("room 1", 1.0), ("abcd", 0.75), (None, None)]
+
+
+def test_manifest(spark, tmp_path):
+    import hashlib
+
+    from millrace.sources.tables import manifest_errors
+
+    for name in ("a.csv", "b.csv", "c.csv"):
+        (tmp_path / name).write_bytes(name.encode())
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    listed = spark.createDataFrame([("a.csv", digest(b"a.csv")), ("b.csv", digest(b"other")), ("d.csv", digest(b"d"))], "name string, sha256 string")
+    assert sorted(map(tuple, manifest_errors(spark, str(tmp_path), listed, "*.csv").collect())) == [("b.csv", "changed"), ("c.csv", "not_listed"), ("d.csv", "missing")]
+
+
+def test_read_only_sql(spark, sf_dir):
+    from millrace.sources.tables import columns_of, read_only_sql, register
+
+    register(spark, sf_dir, ["region", "nation"])
+    assert read_only_sql(spark, "SELECT n_name FROM nation WHERE n_regionkey = :k", k=1).count() == 5
+    assert columns_of(spark, ["region"]).count() == 2
+    assert read_only_sql(spark, "SELECT 'drop; table' AS x").first().x == "drop; table"
+    for bad in ("DROP VIEW nation", "SELECT 1; SELECT 2", "WITH x AS (SELECT 1) INSERT INTO y SELECT * FROM x", "SET a = 1"):
+        with pytest.raises(ValueError):
+            read_only_sql(spark, bad)
+
+
+def test_exports(spark, tmp_path):
+    from millrace.sources.tables import export_csv, export_json
+
+    frame = spark.createDataFrame([(2, "b"), (1, "a,c")], "k int, a string")
+    export_csv(frame, str(tmp_path / "c"), ["k"])
+    export_json(frame, str(tmp_path / "j"), ["k"])
+    text = lambda d: next((tmp_path / d).glob("part-*")).read_text()
+    assert text("c") == 'k,a\n1,"a,c"\n2,b\n' and text("j") == '{"a":"a,c","k":1}\n{"a":"b","k":2}\n'
