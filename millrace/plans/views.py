@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import clean, key_digest, round_half_away
 from ..operators import simulation as sim
 from ..sources.tables import table
+from . import utilisation
 from .utilisation import r
 
 
@@ -90,7 +91,36 @@ def queue_measures(spark: SparkSession, d: str) -> DataFrame:
     return sim.queue_measures(e, ["event_type"])
 
 
-QUERIES = {x.__name__: x for x in (activity_view, executive_view, portfolio_view, filtered_view, top_orders, events_props, cleaned_names, sites_in_use, idle_parts, sim_events, sim_metrics, sim_resilience, admissions, queue_measures)}
+def decision_base(spark: SparkSession, d: str) -> DataFrame:
+    joined = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return joined.select("s_suppkey", "s_name", "s_acctbal", "n_name", "r_name")
+
+
+def unit_view(spark: SparkSession, d: str) -> DataFrame:
+    """Units with their utilisation and flag, missing ones kept."""
+    use = utilisation.unit_utilisation(spark, d).select(F.col("s_suppkey").alias("u"), "booked_hours", "effective")
+    flags = utilisation.persistent_low_use(spark, d).where("persistent").select(F.col("s_suppkey").alias("p"), "low_months")
+    joined = table(spark, d, "supplier").join(use, F.col("s_suppkey") == F.col("u"), "left").join(flags, F.col("s_suppkey") == F.col("p"), "left")
+    return joined.select("s_suppkey", "s_name", "booked_hours", "effective", F.coalesce("low_months", F.lit(0)).alias("low_months"))
+
+
+def workforce_view(spark: SparkSession, d: str) -> DataFrame:
+    joined = table(spark, d, "orders").join(table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    price = F.col("o_totalprice").cast("decimal(18,2)")
+    return joined.groupBy(F.year("o_orderdate").alias("year"), "c_nationkey", "c_mktsegment", "o_orderpriority").agg(F.count(F.lit(1)).alias("orders"), round_half_away(F.sum(price).cast("double") / F.count(F.lit(1)), 2).alias("mean"), F.sum(price).cast("double").alias("total"))
+
+
+def bottlenecks(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "events").select("event_type", F.hour("ts").alias("hour"), F.col("value").cast("decimal(18,4)").alias("v"))
+    return e.groupBy("event_type", "hour").agg(F.count(F.lit(1)).alias("n"), round_half_away(F.sum("v").cast("double") / F.count(F.lit(1)), 2).alias("mean"), round_half_away(F.sum("v").cast("double"), 2).alias("total"))
+
+
+def sim_means(spark: SparkSession, d: str) -> DataFrame:
+    """Means of the measures over all replications."""
+    return sim_metrics(spark, d).groupBy("resource").agg(F.count(F.lit(1)).alias("replications"), *[round_half_away(F.avg(c)).alias(c) for c in ("contacts", "mean_wait", "p95_wait", "max_overtime")])
+
+
+QUERIES = {x.__name__: x for x in (activity_view, executive_view, portfolio_view, filtered_view, top_orders, events_props, cleaned_names, sites_in_use, idle_parts, sim_events, sim_metrics, sim_resilience, admissions, queue_measures, decision_base, unit_view, workforce_view, bottlenecks, sim_means)}
 
 ORACLE_SQL = {
     "activity_view": f"SELECT strftime(o_orderdate, '%Y-%m') AS period, c_mktsegment, o_orderstatus, count(*) AS orders, {r('sum(o_totalprice::DECIMAL(18,2))::DOUBLE', 2)} AS total FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3",
@@ -104,4 +134,8 @@ ORACLE_SQL = {
     "idle_parts": "SELECT p_partkey FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 25",
     "admissions": "SELECT event_id, row_number() OVER (PARTITION BY event_type, ts::DATE ORDER BY ts, event_id)::INTEGER AS place, row_number() OVER (PARTITION BY event_type, ts::DATE ORDER BY ts, event_id) > 40 AS blocked FROM events",
     "queue_measures": f"SELECT event_type, count(*) AS contacts, {r('avg(value)')} AS mean_wait, {r('quantile_cont(value, 0.5)')} AS median_wait, {r('quantile_cont(value, 0.95)')} AS p95_wait, {r('max(greatest(0.0, value - 90))')} AS max_overtime FROM events GROUP BY 1",
+    "decision_base": "SELECT s_suppkey, s_name, s_acctbal, n_name, r_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
+    "unit_view": f"SELECT s.s_suppkey, s_name, booked_hours, effective, coalesce(low_months, 0)::BIGINT AS low_months FROM supplier s LEFT JOIN ({utilisation.ORACLE_SQL['unit_utilisation']}) u ON s.s_suppkey = u.s_suppkey LEFT JOIN (SELECT * FROM ({utilisation.ORACLE_SQL['persistent_low_use']}) WHERE persistent) p ON s.s_suppkey = p.s_suppkey",
+    "workforce_view": f"SELECT year(o_orderdate)::INTEGER AS year, c_nationkey, c_mktsegment, o_orderpriority, count(*) AS orders, {r('(sum(o_totalprice::DECIMAL(18,2))::DOUBLE / count(*))', 2)} AS mean, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3, 4",
+    "bottlenecks": f"SELECT event_type, hour(ts)::INTEGER AS hour, count(*) AS n, {r('(sum(value::DECIMAL(18,4))::DOUBLE / count(*))', 2)} AS mean, {r('sum(value::DECIMAL(18,4))::DOUBLE', 2)} AS total FROM events GROUP BY 1, 2",
 }
