@@ -31,11 +31,11 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 
 #: Characters of distinct segments that are indexed at once.
-INDEX_CHARS = 1 << 20
+INDEX_CHARS = 1 << 18
 #: Bytes of text that are split into segments at once.
-SPLIT_BYTES = 4 << 20
+SPLIT_BYTES = 1 << 20
 #: Segments that a worker remembers between batches.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Merges of longer segments go through a heap, one by one.
 LONG = 64
 
