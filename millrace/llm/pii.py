@@ -168,7 +168,8 @@ def disclosing_terms(documents: DataFrame, text_col: str = "text", generalise: f
     pmi = F.log(total * F.col("both") / (F.col("of_term") * F.col("of_value")))
     ratio = F.when(F.col("of_value") < total, pmi / F.log(total / F.col("of_value"))).otherwise(0.0)
     scored = strong.join(values, "value").join(counts, "term").withColumn("ratio", ratio)
-    return scored.groupBy("term", "slot").agg(F.max("ratio").alias("ratio")).where(F.col("ratio") >= generalise).select("term", "slot", (F.col("ratio") >= remove).alias("drop"))
+    found = scored.groupBy("term", "slot").agg(F.max("ratio").alias("ratio")).where(F.col("ratio") >= generalise).select("term", "slot", (F.col("ratio") >= remove).alias("drop"))
+    return written(found, "pii-terms")  # read once for each block of terms
 
 
 def _term_blocks(terms: DataFrame, block: int) -> list[dict[bytes, bool]]:
