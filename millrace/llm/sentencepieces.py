@@ -384,15 +384,6 @@ def decode_bytes(ids: np.ndarray, off: np.ndarray, model: Model) -> tuple[np.nda
     return data, doc
 
 
-_encoders: dict[str, Encoder] = {}
-
-
-def _encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(load(path))
-    return _encoders[path]
-
-
 def encode(documents: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token ids of each whole text, as the SentencePiece library gives them.
 
@@ -402,9 +393,12 @@ def encode(documents: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     """
     frame = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = frame.schema["doc_id"].dataType.simpleString()
+    held: list[Encoder] = []  # a task's own, which ends with it: workers outlive tasks
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoder, texts = _encoder(model_path), batch.column("text")
+        if not held:
+            held.append(Encoder(load(model_path)))
+        encoder, texts = held[0], batch.column("text")
         buf, off = string_bytes(texts)
         ids, sizes, same = [], [], []
         for a, b in blocks(off, SPLIT_BYTES):
