@@ -18,7 +18,9 @@ _ORDERS = (1, 2, 3)
 _ASCII_LETTERS = byte_table(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz")
 #: Bytes of text whose vectors are held at once.
 _BLOCK = 1 << 20
-_DOCS = 512
+_DOCS = 128
+#: Pieces of each length that show how far texts lie from centroids.
+_CUTS = 512
 #: Runs of anything but letters count as one space, so that layout, digits and signs say nothing.
 _FOLD = LOWER.copy()
 _FOLD[[i for i in range(128) if not chr(i).isalpha()]] = 32
@@ -122,7 +124,7 @@ def fit(samples: dict[str, list[str]], clusters: int = 4, share: float = 0.4) ->
     rng, values, sizes = np.random.default_rng(7), [], []
     every = [t for k in langs for t in samples[k]]
     for length in [4 << k for k in range(_SIZES)]:
-        cuts = [t[(a := int(rng.integers(0, len(t) - length + 1))) : a + length] for t in every if len(t) >= length][:_DOCS]
+        cuts = [t[(a := int(rng.integers(0, len(t) - length + 1))) : a + length] for t in every if len(t) >= length][:_CUTS]
         if cuts:
             counts = _count(cuts)
             values.append(model.nearest(counts)[1])

@@ -58,6 +58,7 @@ def map_batches(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch],
         for batch in batches:
             if batch.num_rows:
                 yield step(batch)
+        pa.default_memory_pool().release_unused()  # workers outlive tasks
 
     small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
