@@ -19,15 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import bitmap, map_batches, written
+from .shared import Bits, bitmap, map_batches, written
 from .textnp import blocks, mix, shingle_sets, string_bytes
 
 #: Classes in an index list up to which its pairs are rows; longer lists are compared in blocks.
 LIGHT = 48
 #: Classes in one block of a long list.
 BLOCK = 512
-#: Sizes of the two tables that tasks hold, as powers of two in bits, whatever the input.
-FREQUENT_BITS, WANTED_BITS = 25, 25
+#: Sizes of the tables that tasks hold, as powers of two in bits, whatever the input.
+FREQUENT_BITS, WANTED_BITS, LISTED_BITS = 25, 25, 27
 #: Occurrences within an Arrow batch, and in all, from which a shingle counts as frequent.
 LOCAL, FREQUENT = 3, 24
 
@@ -86,12 +86,21 @@ def _class_names(values: np.ndarray, cut: np.ndarray) -> np.ndarray:
     return mix(mixed[cut[1:]] - mixed[cut[:-1]] + np.diff(cut).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _entries(batch: pa.RecordBatch, wanted: np.ndarray) -> pa.RecordBatch:
-    """(shingle, group) for the prefixes of wanted documents."""
+def _list_slots(batch: pa.RecordBatch, wanted: Bits) -> pa.RecordBatch:
+    """The slot of each shingle in the prefixes of wanted documents."""
+    batch = batch.filter(pa.array(wanted[batch.column("slot").to_numpy()]))
+    values = batch.column("prefix").flatten().to_numpy().view(np.uint64)
+    return pa.RecordBatch.from_arrays([pa.array(_slots(values, LISTED_BITS).astype(np.int32))], ["list"])
+
+
+def _entries(batch: pa.RecordBatch, wanted: Bits, listed: Bits) -> pa.RecordBatch:
+    """(shingle, group) for the prefixes of wanted documents, without shingles that stand alone in their slot."""
     batch = batch.filter(pa.array(wanted[batch.column("slot").to_numpy()]))
     lists = batch.column("prefix")
     groups = np.repeat(batch.column("gid").to_numpy(), np.diff(lists.offsets.to_numpy()))
-    return pa.RecordBatch.from_arrays([lists.flatten(), pa.array(groups)], ["s", "gid"])
+    values = lists.flatten().to_numpy()
+    keep = listed[_slots(values.view(np.uint64), LISTED_BITS)]
+    return pa.RecordBatch.from_arrays([pa.array(values[keep]), pa.array(groups[keep])], ["s", "gid"])
 
 
 def _wanted_prefixes(batch: pa.RecordBatch, wanted: np.ndarray, involved: np.ndarray) -> pa.RecordBatch:
@@ -204,8 +213,11 @@ def _links(texts: DataFrame, described: DataFrame, classes: DataFrame, frequent,
     groups = classes.groupBy("gid").agg(F.min(F.struct("cid", "slot")).alias("one"), F.first("n").alias("n"), F.count(F.lit(1)).alias("k"))
     groups = written(groups.select("gid", F.col("one.slot").alias("slot"), "n", "k"), "jaccard-groups")
     chosen = share(bitmap(groups, "slot", WANTED_BITS))
-    # the index: only shingles in the prefixes of two groups or more
-    raw = map_batches(described.select("slot", "gid", "prefix"), lambda b: _entries(b, chosen.value), "s long, gid long")
+    # the index: only shingles in the prefixes of two groups or more; most others are known by their slot before they move
+    prefixed = described.select("slot", "gid", "prefix")
+    lists = map_batches(prefixed, lambda b: _list_slots(b, chosen.value), "list int").groupBy("list").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    listed = share(bitmap(lists, "list", LISTED_BITS))
+    raw = map_batches(prefixed, lambda b: _entries(b, chosen.value, listed.value), "s long, gid long")
     twice = raw.groupBy("s").agg(F.count(F.lit(1)).alias("lists")).where("lists > 1").select("s")
     index = written(raw.join(twice, "s", "left_semi"), "jaccard-index").distinct().join(groups.select("gid", "n", "k"), "gid")
     entries = written(index.join(index.groupBy("s").agg(F.sum("k").alias("m")), "s"), "jaccard-entries")
