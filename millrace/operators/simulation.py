@@ -18,26 +18,30 @@ def stable_seed(master: int, *parts: object) -> int:
     return int(hashlib.sha256(text.encode()).hexdigest()[:16], 16) % (2**31 - 1)
 
 
-def replicate(arrivals: DataFrame, replications: int, opening: float, closing: float, service: tuple[float, float, float], master: int = 20240101) -> DataFrame:
+def replicate(arrivals: DataFrame, replications: int, opening: float, closing: float, service: tuple[float, float, float], master: int = 20240101, by: tuple[str, ...] = ("resource",)) -> DataFrame:
     """First come, first served at each resource: arrival, start, end and wait of every contact, by replication.
 
-    ``arrivals`` has resource, contact and minute.  One group is a resource in
-    a replication; its random numbers depend on its name alone.
+    ``arrivals`` has the columns ``by``, contact and minute.  One queue, and
+    one group, is a combination of ``by`` in a replication, such as a resource
+    on a day; its random numbers depend on its names alone.
     """
+    names = [*by, "replication", "contact", "arrival", "start", "end", "wait", "overtime"]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        resource, rep = rows["resource"].iloc[0], int(rows["replication"].iloc[0])
-        rng = random.Random(stable_seed(master, resource, rep))
+        keys = [rows[k].iloc[0] for k in by]
+        rep = int(rows["replication"].iloc[0])
+        rng = random.Random(stable_seed(master, *keys, rep))
         free, out = opening, []
         for contact, minute in rows.sort_values(["minute", "contact"])[["contact", "minute"]].itertuples(index=False):
             begin = max(minute, free, opening)
             free = begin + rng.triangular(service[0], service[2], service[1])
-            out.append((resource, rep, contact, float(minute), begin, free, begin - minute, max(0.0, free - closing)))
-        return pd.DataFrame(out, columns=["resource", "replication", "contact", "arrival", "start", "end", "wait", "overtime"])
+            out.append((*keys, rep, contact, float(minute), begin, free, begin - minute, max(0.0, free - closing)))
+        return pd.DataFrame(out, columns=names)
 
     each = arrivals.withColumn("replication", F.explode(F.sequence(F.lit(1), F.lit(replications))))
-    schema = "resource string, replication int, contact long, arrival double, start double, end double, wait double, overtime double"
-    return each.groupBy("resource", "replication").applyInPandas(run, schema)
+    kinds = ", ".join(f"{k} {arrivals.schema[k].dataType.simpleString()}" for k in by)
+    schema = f"{kinds}, replication int, contact long, arrival double, start double, end double, wait double, overtime double"
+    return each.groupBy(*by, "replication").applyInPandas(run, schema)
 
 
 def queue_measures(events: DataFrame, by: list[str]) -> DataFrame:

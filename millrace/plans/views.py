@@ -65,20 +65,21 @@ def idle_parts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _arrivals(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").where(F.dayofmonth("ts") == 1)
-    return e.select(F.col("event_type").alias("resource"), F.col("event_id").alias("contact"), (F.hour("ts") * 60 + F.minute("ts")).alias("minute"))
+    """All events that have a time: each type on each day is a queue of its own."""
+    e = table(spark, d, "events").where(F.col("ts").isNotNull())
+    return e.select(F.col("event_type").alias("resource"), F.to_date("ts").alias("day"), F.col("event_id").alias("contact"), (F.hour("ts") * 60 + F.minute("ts")).alias("minute"))
 
 
 def sim_events(spark: SparkSession, d: str) -> DataFrame:
-    return sim.replicate(_arrivals(spark, d), 5, 480.0, 1080.0, (2.0, 6.0, 15.0))
+    return sim.replicate(_arrivals(spark, d), 5, 480.0, 1080.0, (2.0, 6.0, 15.0), by=("resource", "day"))
 
 
 def sim_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return sim.queue_measures(sim_events(spark, d), ["resource", "replication"])
+    return sim.queue_measures(sim_events(spark, d), ["resource", "day", "replication"])
 
 
 def sim_resilience(spark: SparkSession, d: str) -> DataFrame:
-    return sim.resilience(sim_metrics(spark, d), ["resource"], "mean_wait", 60.0)
+    return sim.resilience(sim_metrics(spark, d), ["resource", "day"], "mean_wait", 60.0)
 
 
 def admissions(spark: SparkSession, d: str) -> DataFrame:
@@ -116,8 +117,8 @@ def bottlenecks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def sim_means(spark: SparkSession, d: str) -> DataFrame:
-    """Means of the measures over all replications."""
-    return sim_metrics(spark, d).groupBy("resource").agg(F.count(F.lit(1)).alias("replications"), *[round_half_away(F.avg(c)).alias(c) for c in ("contacts", "mean_wait", "p95_wait", "max_overtime")])
+    """Means of the measures of each queue over all replications."""
+    return sim_metrics(spark, d).groupBy("resource", "day").agg(F.count(F.lit(1)).alias("replications"), *[round_half_away(F.avg(c)).alias(c) for c in ("contacts", "mean_wait", "p95_wait", "max_overtime")])
 
 
 QUERIES = {x.__name__: x for x in (activity_view, executive_view, portfolio_view, filtered_view, top_orders, events_props, cleaned_names, sites_in_use, idle_parts, sim_events, sim_metrics, sim_resilience, admissions, queue_measures, decision_base, unit_view, workforce_view, bottlenecks, sim_means)}
