@@ -101,11 +101,22 @@ def _count(texts: list[str]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros((0, DIMENSIONS), np.float32)
 
 
+def _evenly(lists: list[list[str]], number: int) -> list[str]:
+    """``number`` of the texts, in turn from each list that has any left; one at least of each list that is not empty."""
+    out: list[str] = []
+    for turn in range(max(map(len, lists), default=0)):
+        left = [own[turn] for own in lists if len(own) > turn]
+        out += left if turn == 0 else left[: max(0, number - len(out))]
+        if len(out) >= number:
+            break
+    return out
+
+
 def fit(samples: dict[str, list[str]], clusters: int = 4, share: float = 0.4) -> Centroids:
     """Centroids of labelled texts, and how far from them a text may lie.
 
-    Pieces of the texts of all lengths show how cosine falls with length; a
-    text is too far away if its cosine is below ``share`` of that of the
+    Pieces of the texts of all lengths, drawn in turn from all languages, show
+    how cosine falls with length; a text is too far away if its cosine is below ``share`` of that of the
     farthest 1 % of them.  Pieces of under 16 letters say too little to reject.
     """
     none = Centroids(np.ones(DIMENSIONS, np.float32), np.zeros((0, DIMENSIONS), np.float32), [], np.full(_SIZES, -1.0))
@@ -122,9 +133,9 @@ def fit(samples: dict[str, list[str]], clusters: int = 4, share: float = 0.4) ->
         model.labels += [lang] * len(got)
     model.centers = np.concatenate(centers).astype(np.float32)
     rng, values, sizes = np.random.default_rng(7), [], []
-    every = [t for k in langs for t in samples[k]]
+    mixed = [[samples[k][i] for i in rng.permutation(len(samples[k])).tolist()] for k in langs]
     for length in [4 << k for k in range(_SIZES)]:
-        cuts = [t[(a := int(rng.integers(0, len(t) - length + 1))) : a + length] for t in every if len(t) >= length][:_CUTS]
+        cuts = [t[(a := int(rng.integers(0, len(t) - length + 1))) : a + length] for t in _evenly([[t for t in own if len(t) >= length] for own in mixed], _CUTS)]
         if cuts:
             counts = _count(cuts)
             values.append(model.nearest(counts)[1])
