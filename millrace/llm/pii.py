@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bitmap, map_batches, written
+from .shared import Bits, bitmap, map_batches, written
 from .textnp import ALNUM, LOWER, blocks, byte_table, rolling, span_hashes, string_bytes, word_spans
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -28,6 +28,9 @@ SLOT_BITS = 22
 #: Disclosing terms in one block; each further block is a pass of its own.
 TERM_BLOCK = 100_000
 
+#: Pairs of values and terms that a task holds at once, but for one document's more.
+PAIR_ROWS = 100_000
+
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
@@ -99,8 +102,28 @@ def _terms(low: np.ndarray, own: np.ndarray, least: int = 3) -> tuple[np.ndarray
     return s, e, doc, (span_hashes(rolling(low), s, e) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _contexts(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
-    rows: list[tuple[int, str, int, int]] = []
+def _spots(part: np.ndarray, own: np.ndarray, j: int) -> list[tuple[int, int, int]]:
+    """(start, end, value) in bytes of the base matches of document ``j``, sorted."""
+    raw = bytes(part[own[j] : own[j + 1]])
+    text = raw.decode("utf-8", "replace")
+    ascii_only = len(raw) == len(text)
+    place = lambda x: x if ascii_only else len(text[:x].encode("utf-8", "replace"))
+    return [(place(x), place(y), _value(k, text[x:y])) for x, k, y in base_spans(text)]
+
+
+def _free(spots: list[tuple[int, int, int]], starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which terms of a document lie outside its base matches."""
+    free = np.ones(len(starts), bool)
+    for x, y, _ in spots:
+        free[np.searchsorted(ends, x, "right") : np.searchsorted(starts, y)] = False
+    return free
+
+
+def _holders(batch: pa.RecordBatch, width: int) -> Iterator[tuple[dict[int, int], dict[str, int]]]:
+    """For each document with base matches: its values with marks of their contexts, and its distinct terms outside the matches with slots.
+
+    A context is the ``width`` terms on either side of a value's first match.
+    """
     for _, part, own in _parts(batch.column("text")):
         signed = _signed(part, own)
         if not signed:
@@ -108,40 +131,57 @@ def _contexts(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
         low = LOWER[part]
         s, e, doc, slot = _terms(low, own)
         for j in signed:
-            raw = bytes(part[own[j] : own[j + 1]])
-            text = raw.decode("utf-8", "replace")
-            spans = base_spans(text)
-            if not spans:
+            spots = _spots(part, own, j)
+            if not spots:
                 continue
             of = slice(*np.searchsorted(doc, [j, j + 1]))
-            ds, de, dslot = s[of] - own[j], e[of] - own[j], slot[of]
-            ascii_only = len(raw) == len(text)
-            place = lambda x: x if ascii_only else len(text[:x].encode("utf-8", "replace"))  # noqa: B023, E731
-            spots = [(place(x), place(y), k, _value(k, text[x:y])) for x, k, y in spans]
-            taken = np.zeros(len(ds), bool)
-            for x, y, _, _ in spots:
-                taken[np.searchsorted(de, x, "right") : np.searchsorted(ds, y)] = True
-            free = np.flatnonzero(~taken)
-            mine: dict[tuple[int, str], tuple[int, int]] = {}
-            for x, _, _, value in spots:
-                k = int(np.searchsorted(ds[free], x))
-                near = free[max(0, k - width) : k + width]
-                words = [low[own[j] + ds[i] : own[j] + de[i]].tobytes().decode("utf-8", "replace") for i in near]
-                mark = zlib.crc32(" ".join(words).encode())
-                mine.setdefault((value, ""), (0, 0))
-                for i, w in zip(near.tolist(), words):
-                    mine.setdefault((value, w), (mark, int(dslot[i])))
-            rows += [(v, w, m, k) for (v, w), (m, k) in mine.items()]
-    names, kinds = ("value", "term", "mark", "slot"), (pa.int64(), pa.string(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], list(names))
-
-
-def _term_counts(batch: pa.RecordBatch, wanted: np.ndarray) -> pa.RecordBatch:
+            ds, de = s[of] - own[j], e[of] - own[j]
+            free = _free(spots, ds, de)
+            ds, de, dslot = ds[free], de[free], slot[of][free]
+            words = [low[own[j] + x : own[j] + y].tobytes().decode("utf-8", "replace") for x, y in zip(ds.tolist(), de.tolist())]
+            marks: dict[int, int] = {}
+            for x, _, value in spots:
+                if value not in marks:
+                    k = int(np.searchsorted(ds, x))
+                    marks[value] = zlib.crc32(" ".join(words[max(0, k - width) : k + width]).encode())
+            yield marks, dict(zip(words, dslot.tolist()))
+
+
+def _values(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
+    count = Counter(pair for marks, _ in _holders(batch, width) for pair in marks.items())
+    return pa.RecordBatch.from_arrays([pa.array([v for v, _ in count], pa.int64()), pa.array([m for _, m in count], pa.int64()), pa.array(list(count.values()), pa.int64())], ["value", "mark", "n"])
+
+
+def _pairs(batch: pa.RecordBatch, width: int, wanted: Bits) -> Iterator[pa.RecordBatch]:
+    """Documents for each (value, term, context) of the values whose slots are wanted, a bounded number of rows at once."""
+    names, kinds = ("value", "term", "mark", "slot", "n"), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+    count: Counter[tuple[int, str, int, int]] = Counter()
+
+    def made() -> pa.RecordBatch:
+        rows = [(*pair, n) for pair, n in count.items()]
+        count.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], list(names))
+
+    for marks, words in _holders(batch, width):
+        for value, mark in marks.items():
+            if wanted[np.array([value % (1 << SLOT_BITS)])][0]:
+                count.update((value, w, mark, k) for w, k in words.items())
+                if len(count) >= PAIR_ROWS:
+                    yield made()
+    yield made()
+
+
+def _term_counts(batch: pa.RecordBatch, wanted: Bits) -> pa.RecordBatch:
     count: Counter[bytes] = Counter()
     for _, part, own in _parts(batch.column("text")):
         low = LOWER[part]
         s, e, doc, slot = _terms(low, own)
-        near = np.flatnonzero(wanted[slot])
+        near = wanted[slot]
+        for j in _signed(part, own):
+            of = slice(*np.searchsorted(doc, [j, j + 1]))
+            if near[of].any() and (spots := _spots(part, own, j)):
+                near[of] &= _free(spots, s[of] - own[j], e[of] - own[j])
+        near = np.flatnonzero(near)
         count.update(w for _, w in {(d, low[x:y].tobytes()) for d, x, y in zip(doc[near].tolist(), s[near].tolist(), e[near].tolist())})
     return pa.RecordBatch.from_arrays([pa.array([w.decode("utf-8", "replace") for w in count], pa.string()), pa.array(list(count.values()), pa.int64())], ["term", "n"])
 
@@ -149,18 +189,32 @@ def _term_counts(batch: pa.RecordBatch, wanted: np.ndarray) -> pa.RecordBatch:
 def disclosing_terms(documents: DataFrame, text_col: str = "text", generalise: float = 0.75, remove: float = 0.9, min_contexts: int = 3, width: int = 5) -> DataFrame:
     """Terms that reveal a protected value too strongly, and whether to remove them.
 
-    Counts are by document over all documents.  Only the ``width`` terms on
-    either side of a value are its co-occurrences; a pair needs
-    ``min_contexts`` different contexts, so copies of one text prove nothing.
+    All counts are by document over all documents: of a value, of a term
+    outside matched values, and of both in one document, however far apart.
+    A pair needs ``min_contexts`` different contexts of the value, the
+    ``width`` terms on either side of it, so copies of one text prove nothing.
     Returns term, slot, drop (true: remove, false: generalise).
     """
     texts = documents.select(F.col(text_col).cast("string").alias("text"))
-    seen = map_batches(texts, lambda b: _contexts(b, width), "value long, term string, mark long, slot long")
-    # one row for each (value, term, context), then for each (value, term): both combine before the shuffle
-    pairs = written(seen.groupBy("value", "term", "slot", "mark").agg(F.count(F.lit(1)).alias("n")).groupBy("value", "term", "slot").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("contexts")), "pii-pairs")
-    strong = pairs.where((F.col("term") != "") & (F.col("contexts") >= min_contexts))
-    values = pairs.where(F.col("term") == "").select("value", F.col("both").alias("of_value"))
-    wanted = documents.sparkSession.sparkContext.broadcast(bitmap(strong.select("slot").distinct(), "slot", SLOT_BITS))
+    found = map_batches(texts, lambda b: _values(b, width), "value long, mark long, n long")
+    # one row for each (value, context), then for each value: both combine before the shuffle
+    values = found.groupBy("value", "mark").agg(F.sum("n").alias("n")).groupBy("value").agg(F.sum("n").alias("of_value"), F.count(F.lit(1)).alias("contexts"))
+    values = written(values.where(F.col("contexts") >= min_contexts).select("value", "of_value"), "pii-values")  # no other can have a pair in so many
+    context = documents.sparkSession.sparkContext
+    held = context.broadcast(bitmap(values.select(F.pmod("value", F.lit(1 << SLOT_BITS)).alias("slot")).distinct(), "slot", SLOT_BITS))
+    if not held.value.any():
+        return values.select(F.lit("").alias("term"), F.lit(0).cast("long").alias("slot"), F.lit(True).alias("drop")).where(F.lit(False))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from _pairs(batch, width, held.value)
+        pa.default_memory_pool().release_unused()
+
+    seen = texts.mapInArrow(each, "value long, term string, mark long, slot long, n long")
+    both = seen.groupBy("value", "term", "slot", "mark").agg(F.sum("n").alias("n")).groupBy("value", "term", "slot").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("contexts"))
+    strong = written(both.where(F.col("contexts") >= min_contexts), "pii-pairs")
+    wanted = context.broadcast(bitmap(strong.select("slot").distinct(), "slot", SLOT_BITS))
     if not wanted.value.any():
         return strong.select("term", "slot", F.lit(True).alias("drop"))
     counts = map_batches(texts, lambda b: _term_counts(b, wanted.value), "term string, n long").groupBy("term").agg(F.sum("n").alias("of_term"))
