@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import month_key, round_half_away
 
 #: Base models from simplest on: the order breaks ties of the metric.
-SIMPLICITY = ["naive", "seasonal_naive", "moving_average", "drift", "ses", "holt"]
+SIMPLICITY = ["naive", "seasonal_naive", "moving_average", "drift", "ses", "holt", "holt_winters"]
 
 
 def dense_series(facts: DataFrame, series: Column, date: Column, value: Column, first: str, last: str) -> DataFrame:
@@ -86,6 +88,18 @@ def model_forecasts(history: DataFrame, horizon: int, window: int = 3, season: i
     return fit.select(*keys, "h", each.alias("m")).select(*keys, "m.model", "h", round_half_away(F.col("m.forecast")).alias("forecast"))
 
 
+def _smooth(y: list[float], horizon: int, season: int, alpha: float, beta: float, gamma: float) -> list[float]:
+    one, two = y[:season], y[season : 2 * season]
+    level, trend = sum(one) / season, (sum(two) - sum(one)) / season**2
+    seasons = [v - level for v in one]
+    for i, v in enumerate(y):
+        s, before = seasons[i % season], level
+        level = alpha * (v - s) + (1 - alpha) * (level + trend)
+        trend = beta * (level - before) + (1 - beta) * trend
+        seasons[i % season] = gamma * (v - level) + (1 - gamma) * s
+    return [round(max(0.0, level + h * trend + seasons[(len(y) + h - 1) % season]), 4) for h in range(1, horizon + 1)]
+
+
 def holt_winters(series: DataFrame, horizon: int, season: int = 12, alpha: float = 0.4, beta: float = 0.2, gamma: float = 0.2) -> DataFrame:
     """Additive seasonal smoothing; the seasons change at every step, so each series is a small pandas group.
 
@@ -93,30 +107,58 @@ def holt_winters(series: DataFrame, horizon: int, season: int = 12, alpha: float
     """
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        y = rows.sort_values("period")["value"].tolist()
-        one, two = y[:season], y[season : 2 * season]
-        level, trend = sum(one) / season, (sum(two) - sum(one)) / season**2
-        seasons = [v - level for v in one]
-        for i, v in enumerate(y):
-            s, before = seasons[i % season], level
-            level = alpha * (v - s) + (1 - alpha) * (level + trend)
-            trend = beta * (level - before) + (1 - beta) * trend
-            seasons[i % season] = gamma * (v - level) + (1 - gamma) * s
-        out = [max(0.0, level + h * trend + seasons[(len(y) + h - 1) % season]) for h in range(1, horizon + 1)]
-        return pd.DataFrame({"series_id": rows["series_id"].iloc[0], "h": range(1, horizon + 1), "forecast": [round(v, 4) for v in out]})
+        out = _smooth(rows.sort_values("period")["value"].tolist(), horizon, season, alpha, beta, gamma)
+        return pd.DataFrame({"series_id": rows["series_id"].iloc[0], "h": range(1, horizon + 1), "forecast": out})
 
     size = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
     whole = series.select("series_id", "period", "value", size.alias("_n")).where(F.col("_n") >= 2 * season)
     return whole.groupBy("series_id").applyInPandas(fit, "series_id string, h int, forecast double")
 
 
-def backtest(series: DataFrame, initial: int, horizon: int, step: int) -> DataFrame:
-    """Forecasts of every model and fold next to what happened."""
-    cut = histories(series).join(folds(series, initial, horizon, step), "series_id")
+def all_forecasts(history: DataFrame, horizon: int, season: int = 12, alpha: float = 0.4, beta: float = 0.2, gamma: float = 0.2) -> DataFrame:
+    """The base models and, from two seasons on, Holt-Winters, of each history ``y``."""
+    keys = [c for c in history.columns if c != "y"]
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            made = batch[keys].assign(model="holt_winters", h=[range(1, horizon + 1)] * len(batch), forecast=[_smooth(list(y), horizon, season, alpha, beta, gamma) for y in batch["y"]])
+            yield made.explode(["h", "forecast"]).astype({"h": "int32", "forecast": "float64"})
+
+    base = model_forecasts(history, horizon, season=season, alpha=alpha, beta=beta)
+    kinds = ", ".join(f"{k} {history.schema[k].dataType.simpleString()}" for k in keys)
+    return base.unionByName(history.where(F.size("y") >= 2 * season).mapInPandas(fit, f"{kinds}, model string, h int, forecast double"))
+
+
+def _pairs(cut: DataFrame, forecasts: Callable[[DataFrame, int], DataFrame], horizon: int) -> DataFrame:
     train = cut.select("series_id", "fold", F.slice("y", F.lit(1), F.col("train_end")).alias("y"))
     actual = cut.select("series_id", "fold", F.posexplode(F.slice("y", F.col("train_end") + 1, F.lit(horizon))).alias("k", "actual"))
-    made = model_forecasts(train, horizon)
-    return made.join(actual.withColumn("h", F.col("k") + 1).drop("k"), ["series_id", "fold", "h"])
+    return forecasts(train, horizon).join(actual.withColumn("h", F.col("k") + 1).drop("k"), ["series_id", "fold", "h"])
+
+
+def backtest(series: DataFrame, initial: int, horizon: int, step: int) -> DataFrame:
+    """Forecasts of every base model and fold next to what happened."""
+    return _pairs(histories(series).join(folds(series, initial, horizon, step), "series_id"), model_forecasts, horizon)
+
+
+def backtest_all(series: DataFrame, initial: int, horizon: int, step: int) -> DataFrame:
+    """``backtest`` with Holt-Winters too; a series without folds has naive on the first window, as far as it goes on."""
+    every, cuts = histories(series), folds(series, initial, horizon, step)
+    first = every.join(cuts, "series_id", "left_anti").where(F.size("y") > initial).withColumn("fold", F.lit(0)).withColumn("train_end", F.lit(initial))
+    naive = _pairs(first, lambda train, h: model_forecasts(train, h).where("model = 'naive'"), horizon)
+    return _pairs(every.join(cuts, "series_id"), all_forecasts, horizon).unionByName(naive)
+
+
+def with_fallback(chosen: DataFrame, series: DataFrame) -> DataFrame:
+    """``chosen``, and naive for the series for which no model was evaluated."""
+    rest = series.select("series_id").distinct().join(chosen, "series_id", "left_anti")
+    return chosen.unionByName(rest.withColumn("model", F.lit("naive")), allowMissingColumns=True)
+
+
+def final_forecasts(series: DataFrame, chosen: DataFrame, widths: DataFrame, horizon: int) -> DataFrame:
+    """The chosen model on the whole series, with an interval for each level; no interval where nothing was back-tested."""
+    made = all_forecasts(histories(series), horizon).join(chosen.select("series_id", "model"), ["series_id", "model"])
+    low, high = F.greatest(F.lit(0.0), F.col("forecast") - F.col("width")), F.col("forecast") + F.col("width")
+    return made.join(widths, ["series_id", "model"], "left").select("series_id", "model", "h", "forecast", "level", round_half_away(low).alias("low"), round_half_away(high).alias("high"))
 
 
 def error_metrics(pairs: DataFrame, by: list[str]) -> DataFrame:

@@ -65,8 +65,28 @@ def interval_coverage(spark: SparkSession, d: str) -> DataFrame:
     return f.coverage(pairs, f.interval_widths(pairs, ["series_id", "model"], [0.8, 0.95]), ["series_id", "model"])
 
 
+def backtest_all(spark: SparkSession, d: str) -> DataFrame:
+    return f.backtest_all(series_monthly(spark, d), INITIAL, HORIZON, STEP)
+
+
+def backtest_all_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return f.error_metrics(backtest_all(spark, d), ["series_id", "model"])
+
+
+def model_selection_all(spark: SparkSession, d: str) -> DataFrame:
+    return f.with_fallback(f.choose_model(backtest_all_metrics(spark, d)), series_monthly(spark, d))
+
+
+def intervals_all(spark: SparkSession, d: str) -> DataFrame:
+    return f.interval_widths(backtest_all(spark, d), ["series_id", "model"], [0.8, 0.95])
+
+
+def final_forecasts_all(spark: SparkSession, d: str) -> DataFrame:
+    return f.final_forecasts(series_monthly(spark, d), model_selection_all(spark, d), intervals_all(spark, d), HORIZON)
+
+
 MODELS = ["naive", "seasonal_naive", "moving_average", "drift", "ses", "holt"]
-QUERIES = {x.__name__: x for x in (series_monthly, series_two_grain, series_eligibility, folds, model_forecasts, fc_holt_winters, backtest, backtest_metrics, model_selection, intervals, interval_coverage)}
+QUERIES = {x.__name__: x for x in (series_monthly, series_two_grain, series_eligibility, folds, model_forecasts, fc_holt_winters, backtest, backtest_metrics, model_selection, intervals, interval_coverage, backtest_all, backtest_all_metrics, model_selection_all, intervals_all, final_forecasts_all)}
 QUERIES |= {f"fc_{m}": _of(m) for m in MODELS}
 
 _SERIES = f"""SELECT s AS series_id, strftime(m, '%Y-%m') AS period, coalesce(v, 0)::DOUBLE AS value, v IS NULL AS filled
