@@ -14,14 +14,35 @@ from ..functions.scalar import month_key, round_half_away
 SIMPLICITY = ["naive", "seasonal_naive", "moving_average", "drift", "ses", "holt", "holt_winters"]
 
 
-def dense_series(facts: DataFrame, series: Column, date: Column, value: Column, first: str, last: str) -> DataFrame:
+def _monthly(facts: DataFrame, series: Column, date: Column, value: Column) -> DataFrame:
+    return facts.groupBy(series.alias("series_id"), month_key(date).alias("period")).agg(F.sum(value).alias("v"))
+
+
+def _spine(facts: DataFrame, date: Column) -> DataFrame:
+    """One row, ``first`` and ``last``: the month of the first date and the last month that is over at the last date.
+
+    A month in progress would count as a fall; it is kept only if there is no other.
+    """
+    day = date.cast("date")
+    bounds = facts.agg(F.trunc(F.min(day), "month").alias("first"), F.max(day).alias("_max"))
+    return bounds.select("first", F.greatest("first", F.add_months(F.trunc(F.date_add("_max", 1), "month"), -1)).alias("last"))
+
+
+def dense_series(facts: DataFrame, series: Column, date: Column, value: Column) -> DataFrame:
     """(series_id, period, value, filled): zero where nothing happened in a month of the spine."""
-    months = F.explode(F.transform(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"), F.expr("interval 1 month")), month_key))
-    sums = facts.groupBy(series.alias("series_id"), month_key(date).alias("period")).agg(F.sum(value).alias("v"))
-    spine = sums.select("series_id").distinct().select("series_id", months.alias("period"))
+    months = F.explode(F.transform(F.sequence("first", "last", F.expr("interval 1 month")), month_key))
+    sums = _monthly(facts, series, date, value)
+    spine = sums.select("series_id").distinct().crossJoin(_spine(facts, date)).select("series_id", months.alias("period"))
     return spine.join(sums, ["series_id", "period"], "left").select("series_id", "period", round_half_away(F.coalesce("v", F.lit(0)).cast("double")).alias("value"), F.col("v").isNull().alias("filled"))
 
 
+def outside_series(facts: DataFrame, series: Column, date: Column, value: Column) -> DataFrame:
+    """(series_id, period, value) of what ``dense_series`` has no month for: the month in progress, and facts without a date."""
+    sums = _monthly(facts, series, date, value).crossJoin(_spine(facts, date))
+    off = F.col("period").isNull() | (F.col("period") > month_key(F.col("last")))
+    return sums.where(off).select("series_id", "period", round_half_away(F.col("v").cast("double")).alias("value"))
+
+
 def two_grain_series(facts: DataFrame, series: str, date: Column, value: Column) -> DataFrame:
     """Sums by month, in all and by series, from one pass."""
     each = facts.select(F.col(series).alias("_s"), month_key(date).alias("period"), value.alias("_v"))

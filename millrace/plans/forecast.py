@@ -9,12 +9,18 @@ from ..operators import forecast as f
 from ..sources.tables import table
 from .utilisation import r
 
+#: First and last whole month of the test tables, for the SQL; the operators find theirs in the dates.
 FIRST, LAST = "1995-01-01", "2001-07-01"
 INITIAL, HORIZON, STEP = 60, 6, 6
 
 
 def series_monthly(spark: SparkSession, d: str) -> DataFrame:
-    return f.dense_series(table(spark, d, "orders"), F.col("o_orderpriority"), F.col("o_orderdate"), F.lit(1), FIRST, LAST)
+    return f.dense_series(table(spark, d, "orders"), F.col("o_orderpriority"), F.col("o_orderdate"), F.lit(1))
+
+
+def series_outside(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of the month in progress, and those without a date."""
+    return f.outside_series(table(spark, d, "orders"), F.col("o_orderpriority"), F.col("o_orderdate"), F.lit(1))
 
 
 def series_two_grain(spark: SparkSession, d: str) -> DataFrame:
@@ -86,7 +92,7 @@ def final_forecasts_all(spark: SparkSession, d: str) -> DataFrame:
 
 
 MODELS = ["naive", "seasonal_naive", "moving_average", "drift", "ses", "holt"]
-QUERIES = {x.__name__: x for x in (series_monthly, series_two_grain, series_eligibility, folds, model_forecasts, fc_holt_winters, backtest, backtest_metrics, model_selection, intervals, interval_coverage, backtest_all, backtest_all_metrics, model_selection_all, intervals_all, final_forecasts_all)}
+QUERIES = {x.__name__: x for x in (series_monthly, series_outside, series_two_grain, series_eligibility, folds, model_forecasts, fc_holt_winters, backtest, backtest_metrics, model_selection, intervals, interval_coverage, backtest_all, backtest_all_metrics, model_selection_all, intervals_all, final_forecasts_all)}
 QUERIES |= {f"fc_{m}": _of(m) for m in MODELS}
 
 _SERIES = f"""SELECT s AS series_id, strftime(m, '%Y-%m') AS period, coalesce(v, 0)::DOUBLE AS value, v IS NULL AS filled
