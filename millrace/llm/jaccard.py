@@ -5,7 +5,12 @@ that are equal are one class.  In a global order of shingles, rare before
 frequent, linked sets share a shingle among their first ``n - ceil(t n) + 1``,
 the prefix.  Classes with the same prefix and size are one group; groups are
 indexed and filtered as units and only then expanded to classes, which are
-verified on their whole sets.
+verified on their whole texts.
+
+The join has two rounds.  In the first, each list of the index meets only its
+least group, which ties copies together in as many pairs as the index has
+rows.  In the second, only groups that are still in different components meet,
+so that thousands of copies are never compared with one another.
 """
 
 from __future__ import annotations
@@ -13,23 +18,24 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .graph import components
-from .shared import Bits, bitmap, map_batches, written
-from .textnp import blocks, mix, shingle_sets, string_bytes
+from .shared import Bits, Scratch, bitmap, free_name, map_batches
+from .textnp import blocks, digests, mix, shingle_sets, string_bytes
 
-#: Classes in an index list up to which its pairs are rows; longer lists are compared in blocks.
-LIGHT = 48
-#: Classes in one block of a long list.
+#: Groups of one list that meet in one task; longer lists are met block by block.
 BLOCK = 512
 #: Sizes of the tables that tasks hold, as powers of two in bits, whatever the input.
 FREQUENT_BITS, WANTED_BITS, LISTED_BITS = 25, 25, 27
-#: Occurrences within an Arrow batch, and in all, from which a shingle counts as frequent.
-LOCAL, FREQUENT = 3, 24
+#: Occurrences from which a shingle may count as frequent; the least power of two that leaves ``MOST_FREQUENT`` of them.
+FREQUENT, MOST_FREQUENT = 8, 1 << 22
+#: One shingle in so many is counted and comes first in the order if it is rare.
+COUNTED = np.uint64(3)
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -43,47 +49,79 @@ def _slots(values: np.ndarray, bits: int) -> np.ndarray:
     return (values >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _frequent(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
-    """Slots of shingles that occur often in this batch, and how often."""
-    found = [v for _, v, _ in _sets(batch.column("text"), width)]
-    values = np.sort(np.concatenate(found)) if found else np.zeros(0, np.uint64)
-    at = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
-    count = np.diff(np.append(at, len(values)))
-    often = count >= LOCAL
-    return pa.RecordBatch.from_arrays([pa.array(values[at[often]].view(np.int64)), pa.array(count[often])], ["shingle", "n"])
+def _counted(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
+    """The counted shingles of a batch, and in how many of its documents each is."""
+    found = [v[v & COUNTED == 0] for _, v, _ in _sets(batch.column("text"), width)]
+    values, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(count.astype(np.int32))], ["shingle", "n"])
+
+
+def _frequent(texts: DataFrame, scratch: Scratch, width: int) -> Bits:
+    """Slots of frequent shingles.
+
+    Every counted shingle of every document is counted.  At most
+    ``MOST_FREQUENT`` are taken, the most frequent, so the table never fills.
+    """
+    counts = map_batches(texts.select("text"), lambda b: _counted(b, width), "shingle long, n int").groupBy("shingle").agg(F.sum("n").alias("n"))
+    often = scratch.write("frequent", counts.where(F.col("n") >= FREQUENT))
+    sizes = {r.k: r.n for r in often.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each power of two
+    least, total = FREQUENT, 0
+    for k in sorted(sizes, reverse=True):
+        total += sizes[k]
+        if total > MOST_FREQUENT:
+            least = 2 << k
+            break
+    return bitmap(often.where(F.col("n") >= least).select(F.shiftrightunsigned("shingle", 64 - FREQUENT_BITS).alias("slot")), "slot", FREQUENT_BITS)
+
+
+def _prefix_length(n, percent: int):
+    return n - -(-percent * n // 100) + 1
+
+
+def _class_names(values: np.ndarray, cut: np.ndarray) -> list[bytes]:
+    """A 128-bit digest of each set, which names its class."""
+    return [xxhash.xxh3_128_digest(values[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist())]
+
+
+_NAME = pa.binary()
 
 
-def _describe(batch: pa.RecordBatch, width: int, percent: int, frequent: np.ndarray) -> pa.RecordBatch:
-    """Size, class, group and prefix of each document's set."""
-    size, own, group, prefix, cuts = [], [], [], [], [np.zeros(1, np.int64)]
-    for _, values, cut in _sets(batch.column("text"), width):
+def _describe(batch: pa.RecordBatch, width: int, percent: int, frequent: Bits) -> pa.RecordBatch:
+    """Text digest, size, class, group and prefix of each document's set.
+
+    The order of shingles: counted and rare ones, those not counted, counted
+    and frequent ones; each by hash.
+    """
+    size, own, group, prefix, cuts, texts = [], [], [], [], [np.zeros(1, np.int64)], []
+    buf, off = string_bytes(batch.column("text"))
+    for a, b in blocks(off):
+        part, inner = buf[off[a] : off[b]], off[a : b + 1] - off[a]
+        values, cut = shingle_sets(part, inner, width)
+        texts += digests(part, inner)
         n = np.diff(cut)
-        rare = ~frequent[_slots(values, FREQUENT_BITS)]
-        length = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
+        level = np.ones(len(values), np.int8)
+        at = np.flatnonzero(values & COUNTED == 0)
+        level[at] = np.where(frequent[_slots(values[at], FREQUENT_BITS)], 2, 0)
+        length = np.where(n > 0, _prefix_length(n, percent), 0)
         chosen = []
-        for a, b, p in zip(cut[:-1].tolist(), cut[1:].tolist(), length.tolist()):
-            v = values[a:b]
-            first = v[rare[a:b]][:p]
-            chosen.append(first if len(first) == p else np.concatenate([first, v[~rare[a:b]][: p - len(first)]]))
+        for x, y, p in zip(cut[:-1].tolist(), cut[1:].tolist(), length.tolist()):
+            v, of = values[x:y], level[x:y]
+            first = v[of == 0][:p]
+            for k in (1, 2):
+                if len(first) < p:
+                    first = np.concatenate([first, v[of == k][: p - len(first)]])
+            chosen.append(first)
         tops = np.concatenate(chosen) if chosen else values[:0]
         ends = np.cumsum(length)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tops ^ np.uint64(0x5BD1E995)), dtype=np.uint64)])
         size.append(n)
-        own.append(_class_names(values, cut))
+        own += _class_names(values, cut)
         group.append(mix(sums[ends] - sums[ends - length] + n.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
         prefix.append(tops)
         cuts.append(cuts[-1][-1] + ends)
-    join = lambda parts: np.concatenate(parts)
-    offsets = pa.array(join(cuts).astype(np.int32))
-    lists = pa.ListArray.from_arrays(offsets, pa.array(join(prefix).view(np.int64)))
-    arrays = [batch.column("doc_id"), batch.column("slot"), pa.array(join(size)), pa.array(join(own).view(np.int64)), pa.array(join(group).view(np.int64)), lists]
-    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "slot", "n", "cid", "gid", "prefix"])
-
-
-def _class_names(values: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """A hash of each set, which names its class."""
-    mixed = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values), dtype=np.uint64)])
-    return mix(mixed[cut[1:]] - mixed[cut[:-1]] + np.diff(cut).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(cuts).astype(np.int32)), pa.array(np.concatenate(prefix).view(np.int64)))
+    arrays = [batch.column("doc_id"), batch.column("slot"), pa.array(texts, _NAME), pa.array(np.concatenate(size)), pa.array(own, _NAME), pa.array(np.concatenate(group).view(np.int64)), lists]
+    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "slot", "text_key", "n", "cid", "gid", "prefix"])
 
 
 def _list_slots(batch: pa.RecordBatch, wanted: Bits) -> pa.RecordBatch:
@@ -94,168 +132,157 @@ def _list_slots(batch: pa.RecordBatch, wanted: Bits) -> pa.RecordBatch:
 
 
 def _entries(batch: pa.RecordBatch, wanted: Bits, listed: Bits) -> pa.RecordBatch:
-    """(shingle, group) for the prefixes of wanted documents, without shingles that stand alone in their slot."""
+    """(shingle, group, size, place in the prefix) of wanted documents, without shingles that stand alone in their slot."""
     batch = batch.filter(pa.array(wanted[batch.column("slot").to_numpy()]))
     lists = batch.column("prefix")
-    groups = np.repeat(batch.column("gid").to_numpy(), np.diff(lists.offsets.to_numpy()))
+    cut = lists.offsets.to_numpy()
+    length = np.diff(cut)
     values = lists.flatten().to_numpy()
+    place = np.arange(len(values)) - np.repeat(cut[:-1] - cut[0], length)
     keep = listed[_slots(values.view(np.uint64), LISTED_BITS)]
-    return pa.RecordBatch.from_arrays([pa.array(values[keep]), pa.array(groups[keep])], ["s", "gid"])
+    each = lambda c, kind: np.repeat(batch.column(c).to_numpy(), length)[keep].astype(kind)
+    return pa.RecordBatch.from_arrays([pa.array(values[keep]), pa.array(each("gid", np.int64)), pa.array(each("n", np.int32)), pa.array(place[keep].astype(np.int32))], ["s", "gid", "n", "at"])
 
 
-def _wanted_prefixes(batch: pa.RecordBatch, wanted: np.ndarray, involved: np.ndarray) -> pa.RecordBatch:
-    at = involved[_slots(batch.column("gid").to_numpy().view(np.uint64), WANTED_BITS)]
-    return batch.filter(pa.array(wanted[batch.column("slot").to_numpy()] & at)).select(["gid", "n", "prefix"])
-
-
-def _possible(batch: pa.RecordBatch, percent: int, frequent: np.ndarray) -> pa.RecordBatch:
-    """Pairs of groups whose whole prefixes leave enough overlap possible.
-
-    Of the prefix that ends first in the global order, whatever matches lies
-    in both prefixes or behind it.
-    """
-    size = [batch.column(c).to_numpy() for c in ("n", "o")]
-    left, right = batch.column("x"), batch.column("y")
-    cuts = [c.offsets.to_numpy() for c in (left, right)]
-    flat = [c.values.to_numpy().view(np.uint64) for c in (left, right)]
-    keep = np.zeros(batch.num_rows, bool)
-    place = lambda x: (bool(frequent[int(x) >> (64 - FREQUENT_BITS)]), int(x))
-    for i in range(batch.num_rows):
-        a, b = (f[c[i] : c[i + 1]] for f, c in zip(flat, cuts))
-        n, o = int(size[0][i]), int(size[1][i])
-        same = len(np.intersect1d(a, b, assume_unique=True))
-        behind = n - len(a) if place(a[-1]) <= place(b[-1]) else o - len(b)
-        keep[i] = (100 + percent) * (same + behind) >= percent * (n + o)
-    return batch.select(["g", "h"]).filter(pa.array(keep))
-
-
-def _wanted_texts(batch: pa.RecordBatch, width: int, wanted: np.ndarray) -> pa.RecordBatch:
+def _wanted_texts(batch: pa.RecordBatch, width: int, wanted: Bits) -> pa.RecordBatch:
     """Class and text of each wanted document."""
     batch = batch.filter(pa.array(wanted[batch.column("slot").to_numpy()]))
-    names = [_class_names(values, cut) for _, values, cut in _sets(batch.column("text"), width)]
-    cid = np.concatenate(names) if names else np.zeros(0, np.uint64)
-    return pa.RecordBatch.from_arrays([pa.array(cid.view(np.int64)), batch.column("text")], ["cid", "text"])
+    names = [name for _, values, cut in _sets(batch.column("text"), width) for name in _class_names(values, cut)]
+    return pa.RecordBatch.from_arrays([pa.array(names, _NAME), batch.column("text")], ["cid", "text"])
+
+
+def _shingles(text: str, width: int) -> set[bytes]:
+    words = text.encode().lower().split()
+    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
 
 
 def _verify(batch: pa.RecordBatch, width: int, percent: int) -> pa.RecordBatch:
+    """The pairs that link: counted by hash first, then confirmed on the bytes of their shingles."""
     keep = np.zeros(batch.num_rows, bool)
+    last: tuple[str, set[bytes]] = ("", set())
     for first, left, left_cut in _sets(batch.column("x"), width):
         n = len(left_cut) - 1
         for at, right, cut in _sets(batch.column("y").slice(first, n), width):
             for i in range(len(cut) - 1):
+                row = first + at + i
                 a, b = left[left_cut[at + i] : left_cut[at + i + 1]], right[cut[i] : cut[i + 1]]
                 same = len(np.intersect1d(a, b, assume_unique=True))
-                keep[first + at + i] = 100 * same >= percent * (len(a) + len(b) - same)
+                if 100 * same >= percent * (len(a) + len(b) - same):
+                    x, y = batch.column("x")[row].as_py(), _shingles(batch.column("y")[row].as_py(), width)
+                    if x != last[0]:
+                        last = (x, _shingles(x, width))
+                    same = len(last[1] & y)
+                    keep[row] = 100 * same >= percent * (len(last[1]) + len(y) - same)
     return batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _overlaps(left: list[np.ndarray], right: list[np.ndarray], columns: int = 8192) -> np.ndarray:
-    """Sizes of all intersections of two blocks of sets, by products of 0/1 matrices."""
-    sides = []
-    for sets in (left, right):
-        sides.append((np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])))
-    common = np.intersect1d(np.unique(sides[0][0]), np.unique(sides[1][0]), assume_unique=True)
-    places = []
-    for values, row in sides:
-        at = np.searchsorted(common, values)
-        at[at == len(common)] = 0
-        hit = common[at] == values if len(common) else np.zeros(len(values), bool)
-        places.append((at[hit], row[hit]))
-    out = np.zeros((len(left), len(right)), np.float32)
-    for c in range(0, len(common), columns):
-        width = min(columns, len(common) - c)
-        tables = []
-        for (at, row), sets in zip(places, (left, right)):
-            table = np.zeros((len(sets), width), np.float32)
-            inside = (at >= c) & (at < c + width)
-            table[row[inside], at[inside] - c] = 1
-            tables.append(table)
-        out += tables[0] @ tables[1].T
-    return out
-
-
-def _compare_blocks(rows: pd.DataFrame, width: int, percent: int) -> pd.DataFrame:
-    """Links between the two blocks of a long list (or within one): as many as connect what is linked."""
-    rows = rows.drop_duplicates("cid")
-    sets = [values[a:b] for _, values, cut in _sets(pa.array(rows["text"], pa.string()), width) for a, b in zip(cut[:-1], cut[1:])]
-    block, cid = rows["block"].to_numpy(), rows["cid"].to_numpy()
-    one, two = int(rows["i"].iloc[0]), int(rows["j"].iloc[0])
-    left, right = np.flatnonzero(block == one), np.flatnonzero(block == two)
-    if not len(left) or not len(right):
-        return pd.DataFrame({"a": cid[:0], "b": cid[:0]})
-    size = np.array([len(s) for s in sets])
-    same = _overlaps([sets[k] for k in left], [sets[k] for k in right])
-    near = 100 * same >= percent * (size[left][:, None] + size[right][None, :] - same)
-    a, b = [], []
-    todo_left, todo_right = np.ones(len(left), bool), np.ones(len(right), bool)
-    for start in range(len(left)):  # a tree of each linked part
-        if not todo_left[start]:
-            continue
-        todo_left[start] = False
-        front = [("l", start)]
-        while front:
-            side, k = front.pop()
-            reach = np.flatnonzero(near[k] & todo_right) if side == "l" else np.flatnonzero(near[:, k] & todo_left)
-            (todo_right if side == "l" else todo_left)[reach] = False
-            for r in reach.tolist():
-                a.append(cid[left[k]] if side == "l" else cid[left[r]])
-                b.append(cid[right[r]] if side == "l" else cid[right[k]])
-                front.append(("r" if side == "l" else "l", r))
-    return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
-
-
-def _links(texts: DataFrame, described: DataFrame, classes: DataFrame, frequent, width: int, percent: int) -> DataFrame:
-    """Pairs of classes that connect all that link.
+def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link.  Each class's text is moved once for its own side of each pair."""
+    pairs = scratch.write(f"{name}-pairs", pairs)
+    involved = scratch.write(f"{name}-involved", pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
+    wanted = texts.sparkSession.sparkContext.broadcast(bitmap(involved.join(classes, "cid"), "slot", WANTED_BITS))
+    whole = map_batches(texts, lambda b: _wanted_texts(b, width, wanted.value), "cid binary, text string")
+    whole = scratch.write(f"{name}-texts", whole.join(involved, "cid", "left_semi").dropDuplicates(["cid"]))
+    first = pairs.join(whole.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a")
+    both = first.join(whole.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b")
+    links = scratch.write(f"{name}-links", map_batches(both.select("a", "b", "x", "y"), lambda b: _verify(b, width, percent), "a binary, b binary"))
+    scratch.clear(f"{name}-pairs", f"{name}-involved", f"{name}-texts")
+    return links
+
+
+def _sizes_fit(n: Column, o: Column, percent: int) -> Column:
+    return 100 * F.least(n, o) >= percent * F.greatest(n, o)
+
+
+def _enough(overlap: Column, n: Column, o: Column, percent: int) -> Column:
+    return (100 + percent) * overlap >= percent * (n + o)
+
+
+def _roots(texts: DataFrame, described: DataFrame, classes: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
+    """(node, root) for the classes that link with others.
 
     ``classes`` has gid, cid, n, and the slot of one document of each.
     """
     share = texts.sparkSession.sparkContext.broadcast
-    groups = classes.groupBy("gid").agg(F.min(F.struct("cid", "slot")).alias("one"), F.first("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    groups = written(groups.select("gid", F.col("one.slot").alias("slot"), "n", "k"), "jaccard-groups")
-    chosen = share(bitmap(groups, "slot", WANTED_BITS))
+    groups = scratch.write("groups", classes.groupBy("gid").agg(F.min("cid").alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("k")))
+    chosen = share(bitmap(classes, "slot", WANTED_BITS))
     # the index: only shingles in the prefixes of two groups or more; most others are known by their slot before they move
-    prefixed = described.select("slot", "gid", "prefix")
+    prefixed = described.select("slot", "gid", "n", "prefix")
     lists = map_batches(prefixed, lambda b: _list_slots(b, chosen.value), "list int").groupBy("list").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
     listed = share(bitmap(lists, "list", LISTED_BITS))
-    raw = map_batches(prefixed, lambda b: _entries(b, chosen.value, listed.value), "s long, gid long")
-    twice = raw.groupBy("s").agg(F.count(F.lit(1)).alias("lists")).where("lists > 1").select("s")
-    index = written(raw.join(twice, "s", "left_semi"), "jaccard-index").distinct().join(groups.select("gid", "n", "k"), "gid")
-    entries = written(index.join(index.groupBy("s").agg(F.sum("k").alias("m")), "s"), "jaccard-entries")
-    members, crowds = classes.select("gid", "cid"), groups.where("k > 1")
-
-    # short lists: pairs of groups that sizes, then whole prefixes leave possible, then pairs of their classes
-    short = entries.where(F.col("m") <= LIGHT)
-    x, y = short.alias("x"), short.alias("y")
+    raw = map_batches(prefixed, lambda b: _entries(b, chosen.value, listed.value), "s long, gid long, n int, at int")
+    raw = scratch.write("index", raw.groupBy("s", "gid", "n").agg(F.min("at").alias("at")))
+    lists = raw.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("gid", "n", "at")).alias("hub")).where("m > 1")
+    entries = scratch.write("entries", raw.join(lists, "s"))
+    scratch.clear("index")
+    members = classes.select("gid", "cid")
+
+    # first round: each list's least group with the others, of it one class with all of theirs
+    n, o = F.col("hub.n"), F.col("n")
+    star = entries.where((F.col("gid") != F.col("hub.gid")) & _sizes_fit(n, o, percent) & _enough(F.least(n - F.col("hub.at"), o - F.col("at")), n, o, percent))
+    star = scratch.write("star", star.select(F.col("hub.gid").alias("g"), F.col("gid").alias("h")).distinct())
+    within = groups.where("k > 1").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
+    of_first = groups.select(F.col("gid").alias("g"), F.col("first").alias("a"))
+    pairs = star.union(within).join(of_first, "g").join(members.select(F.col("gid").alias("h"), F.col("cid").alias("b")), "h").where("a <> b").select("a", "b")
+    links = _verified(texts, classes, pairs, scratch, "first", width, percent)
+    tied = scratch.write("tied", components(links))
+
+    # second round: groups of one list whose components differ; a group of several components (no root) differs from all
+    rooted = scratch.write("rooted", members.join(tied, F.col("cid") == F.col("node"), "left").select("gid", "cid", F.coalesce("root", "cid").alias("root")))
+    of_group = rooted.groupBy("gid").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    of_group = scratch.write("group-roots", of_group.select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).alias("root")))
+    placed = entries.select("s", "gid", "n", "at").join(of_group, "gid")
+    mixed = placed.groupBy("s").agg(F.count(F.lit(1)).alias("m"), (F.min("root").eqNullSafe(F.max("root")) & (F.count("root") == F.count(F.lit(1)))).alias("one"))
+    placed = placed.join(mixed.where("not one").select("s", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), "s")
+    placed = scratch.write("mixed", placed.withColumn("own", F.pmod(F.xxhash64("gid"), F.col("parts")).cast("int")))
+    scratch.clear("entries")
+    x = placed.select("*", F.explode(F.sequence(F.col("own"), F.col("parts") - 1)).alias("other")).alias("x")
+    y = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("other")).alias("y")
     n, o = F.col("x.n"), F.col("y.n")
-    near = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.gid") < F.col("y.gid")) & (100 * F.least(n, o) >= percent * F.greatest(n, o)))
-    pairs = written(near.select(F.col("x.gid").alias("g"), F.col("y.gid").alias("h")).distinct(), "jaccard-group-pairs")
-    of_pairs = pairs.select(F.explode(F.array("g", "h")).alias("gid"))
-    paired = share(bitmap(of_pairs.select(F.shiftrightunsigned("gid", 64 - WANTED_BITS).alias("slot")), "slot", WANTED_BITS))
-    prefixes = map_batches(described.select("slot", "gid", "n", "prefix"), lambda b: _wanted_prefixes(b, chosen.value, paired.value), "gid long, n long, prefix array<long>").dropDuplicates(["gid"])
-    both = pairs.join(prefixes.select(F.col("gid").alias("g"), "n", F.col("prefix").alias("x")), "g").join(prefixes.select(F.col("gid").alias("h"), F.col("n").alias("o"), F.col("prefix").alias("y")), "h")
-    pairs = map_batches(both.select("g", "h", "n", "o", "x", "y"), lambda b: _possible(b, percent, frequent.value), "g long, h long")
-    pairs = pairs.union(crowds.where(F.col("k") <= LIGHT).select(F.col("gid").alias("g"), F.col("gid").alias("h")))
-    expanded = pairs.join(members.select(F.col("gid").alias("g"), F.col("cid").alias("a")), "g").join(members.select(F.col("gid").alias("h"), F.col("cid").alias("b")), "h")
-    expanded = written(expanded.where("g <> h or a < b").select("a", "b"), "jaccard-pairs")
-
-    # long lists, and groups of many classes: blocks against blocks
-    long = entries.where(F.col("m") > LIGHT).select("s", "m", "gid").union(crowds.where(F.col("k") > LIGHT).select(F.col("gid").alias("s"), F.col("k").alias("m"), "gid"))
-    parts = F.ceil(F.col("m") / BLOCK).cast("int")
-    long = long.join(members, "gid").select("s", "cid", parts.alias("parts"), F.pmod(F.xxhash64("cid"), parts).cast("int").alias("block"))
-    long = written(long, "jaccard-long")
-
-    involved = written(expanded.select(F.explode(F.array("a", "b")).alias("cid")).union(long.select("cid")).distinct(), "jaccard-involved")
-    wanted = share(bitmap(involved.join(classes, "cid"), "slot", WANTED_BITS))
-    whole = map_batches(texts, lambda b: _wanted_texts(b, width, wanted.value), "cid long, text string")
-    whole = written(whole.join(involved, "cid", "left_semi").dropDuplicates(["cid"]), "jaccard-texts")
-
-    first = expanded.join(whole.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a")
-    second = first.join(whole.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b")
-    links = map_batches(second.select("a", "b", "x", "y"), lambda b: _verify(b, width, percent), "a long, b long")
-    each = long.select("s", "cid", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    each = each.select("s", "cid", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    blocked = each.join(whole, "cid").groupBy("s", "i", "j").applyInPandas(lambda rows: _compare_blocks(rows, width, percent), "a long, b long")
-    return links.union(blocked)
+    apart = F.col("x.root").isNull() | F.col("y.root").isNull() | (F.col("x.root") != F.col("y.root"))
+    once = (F.col("x.own") < F.col("y.own")) | (F.col("x.gid") < F.col("y.gid"))
+    met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own")) & once & apart & _sizes_fit(n, o, percent))
+    in_order = F.col("x.gid") < F.col("y.gid")
+    side = lambda c: (F.when(in_order, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")), F.when(in_order, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")))
+    met = met.select(*[v.alias(c) for names, v2 in (("gh", side("gid")), ("no", side("n")), ("ij", side("at"))) for c, v in zip(names, v2)])
+    # of the prefix that ends first, all that matches lies in both prefixes (counted here) or behind it
+    met = met.groupBy("g", "h", "n", "o").agg(F.count(F.lit(1)).alias("same"), F.min("i").alias("i"), F.min("j").alias("j"))
+    behind = F.greatest(*[F.ceil(percent * F.col(c) / 100) - 1 for c in "no"])
+    n, o = F.col("n"), F.col("o")
+    met = met.where(_enough(F.least(n - F.col("i"), o - F.col("j"), F.col("same") + behind), n, o, percent)).select("g", "h").distinct()
+    # what the first round has compared in full is not compared again
+    single = groups.where("k = 1").select(F.col("gid").alias("g"))
+    met = met.join(star.join(single, "g", "left_semi"), ["g", "h"], "left_anti")
+    several = of_group.where(F.col("root").isNull()).select(F.col("gid").alias("g"), F.col("gid").alias("h"))
+    one, two = rooted.select(F.col("gid").alias("g"), F.col("cid").alias("a"), F.col("root").alias("r")), rooted.select(F.col("gid").alias("h"), F.col("cid").alias("b"), F.col("root").alias("q"))
+    pairs = met.union(several).join(one, "g").join(two, "h").where("r <> q and (g <> h or a < b)").select("a", "b")
+    more = _verified(texts, classes, pairs, scratch, "second", width, percent)
+    named = tied.select(F.col("node").alias("cid"), F.col("root").alias("up"))
+    of = lambda c: more.join(named, F.col(c) == F.col("cid"), "left").withColumn(c, F.coalesce("up", c)).select("a", "b")
+    more = of("a")
+    more = scratch.write("between", of("b"))
+    upper = scratch.write("upper", components(more).select(F.col("node").alias("up"), F.col("root").alias("top")))
+    joined = tied.join(upper, F.col("root") == F.col("up"), "left").select("node", F.coalesce("top", "root").alias("root"))
+    alone = upper.join(tied, F.col("up") == F.col("node"), "left_anti").select(F.col("up").alias("node"), F.col("top").alias("root"))
+    roots = scratch.write("components", joined.union(alone))
+    scratch.clear("groups", "star", "first-links", "tied", "rooted", "group-roots", "mixed", "second-links", "between", "upper")
+    return roots
+
+
+def _components(documents: DataFrame, scratch: Scratch, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_key, n, cid) of every document, and (cid, root) of every class."""
+    slot = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string")), 64 - WANTED_BITS)
+    texts = documents.select(F.col(id_col).alias("doc_id"), slot.alias("slot"), F.col(text_col).cast("string").alias("text"))
+    kind = texts.schema["doc_id"].dataType.simpleString()
+    frequent = documents.sparkSession.sparkContext.broadcast(_frequent(texts, scratch, width))
+    described = map_batches(texts, lambda b: _describe(b, width, percent, frequent.value), f"doc_id {kind}, slot long, text_key binary, n long, cid binary, gid long, prefix array<long>")
+    described = scratch.write("sets", described)
+    classes = scratch.write("classes", described.where("n > 0").groupBy("gid", "cid").agg(F.first("n").cast("int").alias("n"), F.min("slot").alias("slot")))
+    roots = _roots(texts, described, classes, scratch, width, percent)
+    sizes = scratch.write("sizes", described.select("doc_id", "text_key", "n", "cid"))
+    named = scratch.write("named", classes.select("cid").join(roots, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root")))
+    scratch.clear("frequent", "sets", "classes", "components")
+    return sizes, named
 
 
 def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,38 +290,62 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_
 
     The set of a document holds its distinct shingles of ``width`` words, A-Z
     in lower case, split at white space; with fewer words, the whole sequence
-    is one shingle.  No pair of different sets that links is lost; equal sets
-    are one class and are never expanded into pairs.  Lists of up to ``LIGHT``
-    classes are joined as rows, so that rows stay in proportion to the index;
-    longer ones are compared block by block within tasks.
+    is one shingle.  No pair of different sets that links is lost: whatever
+    the first round leaves in different components meets in the second.  Equal
+    sets are one class and are never expanded into pairs.  Candidates are found
+    by 64-bit hashes and confirmed on the bytes of their shingles; classes are
+    named by 128-bit digests.
 
     A text that is null, empty or without words has an empty set and links
     with nothing: its component is its own id.  Rows that repeat an id and
-    text share a component; a null id is never the smallest.  An empty table
-    gives no rows; other columns are ignored.  Shingles and classes are told
-    apart by 64-bit hashes.  Returns doc_id, n_shingles, component_id.
+    text share a component; a null id is never the smallest.  A very long text
+    is handled whole in one task, which takes some 60 bytes for each of its
+    words.  An empty table gives no rows; other columns are ignored, whatever
+    their names.  Returns doc_id, n_shingles, component_id.
     """
-    slot = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string")), 64 - WANTED_BITS)
-    texts = documents.select(F.col(id_col).alias("doc_id"), slot.alias("slot"), F.col(text_col).cast("string").alias("text"))
-    kind = texts.schema["doc_id"].dataType.simpleString()
-    spark = documents.sparkSession
-    often = map_batches(texts.select("text"), lambda b: _frequent(b, width), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    frequent = spark.sparkContext.broadcast(bitmap(often.select(F.shiftrightunsigned("shingle", 64 - FREQUENT_BITS).alias("slot")), "slot", FREQUENT_BITS))
-    described = map_batches(texts, lambda b: _describe(b, width, percent, frequent.value), f"doc_id {kind}, slot long, n long, cid long, gid long, prefix array<long>")
-    described = written(described, "jaccard-sets")
-    classes = described.where("n > 0").groupBy("gid", "cid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("slot").alias("slot"))
-    classes = written(classes, "jaccard-classes")
-    roots = written(components(_links(texts, described, classes, frequent, width, percent)), "jaccard-components")
-    named = classes.join(roots, F.col("cid") == F.col("node"), "left").select("cid", "doc_id", F.coalesce("root", "cid").alias("root"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    by_class = named.join(least, "root").select("cid", "component_id")
-    some = described.where("n > 0").select("doc_id", "n", "cid").join(by_class, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return some.union(described.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    scratch = Scratch(documents.sparkSession, "jaccard")
+    sizes, named = _components(documents, scratch, width, percent, id_col, text_col)
+    joined = sizes.where("n > 0").join(named, "cid")
+    least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    some = joined.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return some.union(sizes.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+
+
+def _with_key(batch: pa.RecordBatch, text: str, key: str) -> pa.RecordBatch:
+    column = batch.column(text)
+    return batch.append_column(key, pa.array(digests(*string_bytes(column if pa.types.is_string(column.type) else column.cast(pa.string()))), _NAME))
 
 
 def keep_one(documents: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each component, that with the smallest id; documents without words and without id all stay."""
-    found = near_duplicates(documents, width, percent, id_col, text_col)
-    stay = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(id_col)).distinct()
-    kept = documents.join(stay, id_col, "left_semi").dropDuplicates([id_col, text_col])
-    return kept.union(documents.where(F.col(id_col).isNull())).select(*documents.columns)
+    """One document of each component, that with the smallest id, and of equal ids that with the smallest text digest.
+
+    A null id comes after all others; rows that repeat the id and text that
+    stay are one document.  Documents without words (null and empty texts)
+    link with nothing and all stay.  An empty table stays empty.  All columns
+    stay as they are, whatever their names.  Only documents of components of
+    two or more are moved, by the digest of their text.
+    """
+    scratch = Scratch(documents.sparkSession, "jaccard")
+    sizes, named = _components(documents, scratch, width, percent, id_col, text_col)
+    joined = sizes.where("n > 0").join(named, "cid")
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    best = joined.groupBy("root").agg(F.count(F.lit(1)).alias("k"), F.min(order).alias("one")).where("k > 1").select("root", "one")
+    fate = joined.join(best, "root").select("text_key", F.col("doc_id").alias("id"), (order == F.col("one")).alias("stays")).distinct()
+    fate = scratch.write("fate", fate)
+    keys = fate.select(F.conv(F.substring(F.hex("text_key"), 1, 8), 16, 10).cast("long").alias("slot"))
+    moved = documents.sparkSession.sparkContext.broadcast(bitmap(keys.select(F.shiftright("slot", 32 - WANTED_BITS).alias("slot")), "slot", WANTED_BITS))
+    key = free_name(documents, "text_key")
+    schema = StructType([*documents.schema.fields, StructField(key, BinaryType())])
+
+    def some(batch: pa.RecordBatch, which: bool) -> pa.RecordBatch:
+        keyed = _with_key(batch, text_col, key)
+        slot = np.array([int.from_bytes(x[:4], "big") for x in keyed.column(key).to_pylist()], np.int64) >> (32 - WANTED_BITS)
+        return keyed.filter(pa.array(moved.value[slot] == which))
+
+    clean = map_batches(documents, lambda b: some(b, False), schema).drop(key)
+    rest = map_batches(documents, lambda b: some(b, True), schema).alias("d")
+    told = rest.join(fate.alias("f"), (F.col(f"d.{key}") == F.col("f.text_key")) & F.col(f"d.{id_col}").eqNullSafe(F.col("f.id")), "left").where(F.coalesce("f.stays", F.lit(True)))
+    # rows that are told apart from no other: those of a text that stays are one
+    apart = told.where(F.col("f.stays").isNull()).select("d.*").drop(key)
+    one = told.where(F.col("f.stays")).select("d.*").dropDuplicates([id_col, key]).drop(key)
+    return clean.union(apart).union(one)

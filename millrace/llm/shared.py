@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset, as in tests, a local folder is made and set as
-    the checkpoint folder.
+    Only where that is unset and all runs on one machine, as in tests, a
+    local folder is made and set as the checkpoint folder.
     """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="millrace-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -31,14 +33,43 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again, which cuts its lineage."""
+    """``df`` written as Parquet in the shared folder and read again, which cuts its lineage.
+
+    The shuffle files of the write go when it ends: nothing reads them again.
+    """
+    return _write(df, new_path(df.sparkSession, name))
+
+
+def _write(df: DataFrame, path: str) -> DataFrame:
     spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one run, emptied as soon as all that is made from them is written too."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.name, self.paths = spark, name, {}
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        self.paths[name] = new_path(self.spark, f"{self.name}-{name}")
+        return _write(df, self.paths[name])
+
+    def clear(self, *names: str) -> None:
+        for name in names:
+            self.spark.range(0).coalesce(1).write.mode("overwrite").parquet(self.paths.pop(name))
+
+
 #: Bytes of text that a task holds as one Arrow batch, in the JVM and in Python.
 BATCH_BYTES = 8 << 20
 
@@ -90,3 +121,11 @@ def bitmap(df: DataFrame, slot: str, bits: int) -> Bits:
         own = np.frombuffer(bytes(r.m), np.uint8)
         out[(r.b - 1) * 4096 : (r.b - 1) * 4096 + len(own)] = own
     return Bits(out)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

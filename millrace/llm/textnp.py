@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that are handled at once (a longer document is a block of its own).
 BLOCK_BYTES = 1 << 18
@@ -20,6 +21,8 @@ _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Masks of the first 0 to 8 bytes.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -102,7 +105,11 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def rolling(buf: np.ndarray) -> np.ndarray:
-    """Prefix sums ``h`` of a polynomial hash; see :func:`span_hashes`."""
+    """Prefix sums ``h`` of a polynomial hash; see :func:`neighbour_hashes`.
+
+    Texts can be made whose spans collide under it, so it only orders; what is
+    equal is told by :func:`hash_spans`, digests or bytes.
+    """
     h = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum(_BYTE[buf] * _power("up", _BASE, len(buf)), out=h[1:])
     return h
@@ -123,6 +130,34 @@ def neighbour_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans, eight bytes a round, each mixed in by a step that is not linear.
+
+    Unlike a polynomial modulo 2 ** 64, no pattern of a text cancels out.
+    Spans of over 512 bytes are hashed one by one.
+    """
+    size = ends - starts
+    out = (size.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE)
+    wide = np.concatenate([buf, np.zeros(8, np.uint8)])
+    eights = np.ndarray((len(buf) + 1,), "<u8", wide, strides=(1,))
+    live = np.flatnonzero(size <= 512)
+    done = 0
+    while len(live):
+        left = size[live] - done
+        live, left = live[left > 0], left[left > 0]
+        chunk = eights[starts[live] + done] & _FIRST[np.minimum(left, 8)]
+        out[live] = mix(mix(out[live] ^ chunk) + np.uint64(_BASE))
+        done += 8
+    for i in np.flatnonzero(size > 512).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]])
+    return out
+
+
+def digests(buf: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """A 128-bit digest of each whole text."""
+    return [xxhash.xxh3_128_digest(buf[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+
+
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hashes of each ``width`` consecutive word hashes."""
     n = len(words) - width + 1
@@ -130,8 +165,9 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = np.zeros(n, np.uint64)
     for k in range(width):
-        out *= np.uint64(_BASE)
         out += words[k : k + n]
+        out *= np.uint64(_BASE)
+        out ^= out >> np.uint64(32)
     return mix(out)
 
 
@@ -144,7 +180,7 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarr
     """
     low = LOWER[buf]
     s, e, first = word_spans(low, off, NOT_SPACE)
-    words = span_hashes(rolling(low), s, e)
+    words = hash_spans(low, s, e)
     n = np.diff(first)
     every = window_hashes(words, width)
     count = np.where(n >= width, n - width + 1, 0)
@@ -169,5 +205,6 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarr
 def _fold(words: np.ndarray) -> int:
     out = len(words) * 0x51ED2701
     for w in words.tolist():
-        out = (out * _BASE + w) & _MASK
+        out = (out + w) * _BASE & _MASK
+        out ^= out >> 32
     return out

@@ -59,8 +59,7 @@ def test_links_match_brute_force(spark, rows):
 
 
 def test_long_lists_by_blocks(spark, rows, monkeypatch):
-    monkeypatch.setattr(jaccard, "LIGHT", 2)
-    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    monkeypatch.setattr(jaccard, "BLOCK", 3)
     assert got(near_duplicates(documents(spark, rows))) == brute(rows)
 
 
@@ -75,3 +74,28 @@ def test_one_of_each_group_stays(spark, rows):
 
 def test_empty_table(spark):
     assert near_duplicates(documents(spark, [])).count() == 0
+
+
+def test_texts_that_collide_under_polynomials(spark):
+    for size in (1024, 4096):
+        one = "".join("ab"[bin(i).count("1") % 2] for i in range(size))
+        two = "".join("ba"[bin(i).count("1") % 2] for i in range(size))
+        rows = [(1, one), (2, two), (3, f"{one} x {one}"), (4, f"{two} x {two}"), (5, " ".join(one)), (6, " ".join(two))]
+        assert got(near_duplicates(documents(spark, rows))) == brute(rows)
+
+
+def test_repeated_ids_with_other_texts_and_null_ids(spark):
+    words = prose(random.Random(3), 80)
+    rows = [(5, words), (5, words + " more"), (7, "something else entirely here now"), (None, words), (None, "twice without any id here"), (None, "twice without any id here"), (None, None), (8, ""), (7, "something else entirely here now")]
+    kept = sorted(((r.doc_id is None, r.doc_id or 0), r.text or "") for r in keep_one(documents(spark, rows)).collect())
+    assert [k for k, _ in kept] == [(False, 5), (False, 7), (False, 8), (True, 0), (True, 0)]
+
+
+def test_components_found_in_the_second_round(spark, rows):
+    """The least group of a list may link with none, while others of the list link with one another."""
+    rng = random.Random(8)
+    shared = prose(rng, 12)
+    base = prose(rng, 80)
+    rows = [(0, shared + " " + prose(rng, 84))]
+    rows += [(i, f"{shared} {base} q{i}") for i in range(1, 9)] + [(i, f"{shared} {prose(rng, 80)} q{i}") for i in range(20, 30)]
+    assert got(near_duplicates(documents(spark, rows))) == brute(rows)
