@@ -8,8 +8,9 @@ indexed and filtered as units and only then expanded to classes, which are
 verified on their whole texts.
 
 The join has two rounds.  In the first, each list of the index meets only its
-least group, which ties copies together in as many pairs as the index has
-rows.  In the second, only groups that are still in different components meet,
+hub, the group in whose prefix the shingle stands first: of the variants of
+one text, the one with the least words of its own.  That ties copies together
+in at most as many pairs as the index has rows.  In the second, only groups that are still in different components meet,
 so that thousands of copies are never compared with one another.
 """
 
@@ -86,13 +87,29 @@ def _class_names(values: np.ndarray, cut: np.ndarray) -> list[bytes]:
 _NAME = pa.binary()
 
 
+def _bits(values: np.ndarray) -> bytes:
+    """Parities of a set's shingles by slot; two slots and more for a shingle, as a power of two of them."""
+    slots = max(64, 1 << (2 * len(values) - 1).bit_length()) if len(values) else 64
+    return np.packbits(np.bincount((mix(values) & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1).tobytes()
+
+
+def _differing(x: bytes, y: bytes) -> int:
+    """At least so many shingles are in one of the two sets only: the slots whose parities differ."""
+    if len(x) < len(y):
+        x, y = y, x
+    one, two = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(one) > len(two):
+        one = np.bitwise_xor.reduce(one.reshape(-1, len(two)), axis=0)
+    return int(np.bitwise_count(one ^ two).sum())
+
+
 def _describe(batch: pa.RecordBatch, width: int, percent: int, frequent: Bits) -> pa.RecordBatch:
-    """Text digest, size, class, group and prefix of each document's set.
+    """Text digest, size, class, group, parities and prefix of each document's set.
 
     The order of shingles: counted and rare ones, those not counted, counted
     and frequent ones; each by hash.
     """
-    size, own, group, prefix, cuts, texts = [], [], [], [], [np.zeros(1, np.int64)], []
+    size, own, group, bits, prefix, cuts, texts = [], [], [], [], [], [np.zeros(1, np.int64)], []
     buf, off = string_bytes(batch.column("text"))
     for a, b in blocks(off):
         part, inner = buf[off[a] : off[b]], off[a : b + 1] - off[a]
@@ -116,12 +133,13 @@ def _describe(batch: pa.RecordBatch, width: int, percent: int, frequent: Bits) -
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tops ^ np.uint64(0x5BD1E995)), dtype=np.uint64)])
         size.append(n)
         own += _class_names(values, cut)
+        bits += [_bits(values[x:y]) for x, y in zip(cut[:-1].tolist(), cut[1:].tolist())]
         group.append(mix(sums[ends] - sums[ends - length] + n.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)))
         prefix.append(tops)
         cuts.append(cuts[-1][-1] + ends)
     lists = pa.ListArray.from_arrays(pa.array(np.concatenate(cuts).astype(np.int32)), pa.array(np.concatenate(prefix).view(np.int64)))
-    arrays = [batch.column("doc_id"), batch.column("slot"), pa.array(texts, _NAME), pa.array(np.concatenate(size)), pa.array(own, _NAME), pa.array(np.concatenate(group).view(np.int64)), lists]
-    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "slot", "text_key", "n", "cid", "gid", "prefix"])
+    arrays = [batch.column("doc_id"), batch.column("slot"), pa.array(texts, _NAME), pa.array(np.concatenate(size)), pa.array(own, _NAME), pa.array(np.concatenate(group).view(np.int64)), pa.array(bits, _NAME), lists]
+    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "slot", "text_key", "n", "cid", "gid", "bits", "prefix"])
 
 
 def _list_slots(batch: pa.RecordBatch, wanted: Bits) -> pa.RecordBatch:
@@ -176,17 +194,39 @@ def _verify(batch: pa.RecordBatch, width: int, percent: int) -> pa.RecordBatch:
     return batch.select(["a", "b"]).filter(pa.array(keep))
 
 
-def _verified(texts: DataFrame, classes: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link.  Each class's text is moved once for its own side of each pair."""
+def _possible(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
+    """Pairs whose sets differ in too few slots to be ruled out."""
+    differ = np.array([_differing(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist())], np.int64)
+    both = batch.column("n").to_numpy().astype(np.int64) + batch.column("o").to_numpy()
+    # sets of ``both`` shingles with ``differ`` in one only overlap by (both - differ) / 2 at most
+    return batch.select(["a", "b"]).filter(pa.array((100 + percent) * (both - differ) >= 2 * percent * both))
+
+
+def _verified(texts: DataFrame, described: DataFrame, classes: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that link: parities rule most others out before texts are moved."""
+    share = texts.sparkSession.sparkContext.broadcast
+
+    def involved(pairs: DataFrame, step: str) -> tuple[DataFrame, Bits]:
+        found = scratch.write(f"{name}-{step}", pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "slot", "n"), "cid"))
+        return found, share(bitmap(found, "slot", WANTED_BITS))
+
+    def joined(pairs: DataFrame, sides: DataFrame, *columns: tuple[str, str, str]) -> DataFrame:
+        for key, k in (("a", 1), ("b", 2)):
+            pairs = pairs.join(sides.select(F.col("cid").alias(key), *[F.col(c[0]).alias(c[k]) for c in columns]), key)
+        return pairs.select("a", "b", *[c[k] for c in columns for k in (1, 2)])
+
     pairs = scratch.write(f"{name}-pairs", pairs)
-    involved = scratch.write(f"{name}-involved", pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct())
-    wanted = texts.sparkSession.sparkContext.broadcast(bitmap(involved.join(classes, "cid"), "slot", WANTED_BITS))
-    whole = map_batches(texts, lambda b: _wanted_texts(b, width, wanted.value), "cid binary, text string")
-    whole = scratch.write(f"{name}-texts", whole.join(involved, "cid", "left_semi").dropDuplicates(["cid"]))
-    first = pairs.join(whole.select(F.col("cid").alias("a"), F.col("text").alias("x")), "a")
-    both = first.join(whole.select(F.col("cid").alias("b"), F.col("text").alias("y")), "b")
-    links = scratch.write(f"{name}-links", map_batches(both.select("a", "b", "x", "y"), lambda b: _verify(b, width, percent), "a binary, b binary"))
-    scratch.clear(f"{name}-pairs", f"{name}-involved", f"{name}-texts")
+    known, one = involved(pairs, "known")
+    of_one = lambda b: b.filter(pa.array(one.value[b.column("slot").to_numpy()])).select(["cid", "n", "bits"])
+    parities = map_batches(described.select("slot", "cid", "n", "bits"), of_one, "cid binary, n long, bits binary")
+    parities = scratch.write(f"{name}-parities", parities.join(known.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]))
+    left = scratch.write(f"{name}-left", map_batches(joined(pairs, parities, ("n", "n", "o"), ("bits", "x", "y")), lambda b: _possible(b, percent), "a binary, b binary"))
+    scratch.clear(f"{name}-pairs", f"{name}-known", f"{name}-parities")
+    known, two = involved(left, "compared")
+    whole = map_batches(texts, lambda b: _wanted_texts(b, width, two.value), "cid binary, text string")
+    whole = scratch.write(f"{name}-texts", whole.join(known.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]))
+    links = scratch.write(f"{name}-links", map_batches(joined(left, whole, ("text", "x", "y")), lambda b: _verify(b, width, percent), "a binary, b binary"))
+    scratch.clear(f"{name}-left", f"{name}-compared", f"{name}-texts")
     return links
 
 
@@ -212,19 +252,19 @@ def _roots(texts: DataFrame, described: DataFrame, classes: DataFrame, scratch:
     listed = share(bitmap(lists, "list", LISTED_BITS))
     raw = map_batches(prefixed, lambda b: _entries(b, chosen.value, listed.value), "s long, gid long, n int, at int")
     raw = scratch.write("index", raw.groupBy("s", "gid", "n").agg(F.min("at").alias("at")))
-    lists = raw.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("gid", "n", "at")).alias("hub")).where("m > 1")
+    lists = raw.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("at", "gid", "n")).alias("hub")).where("m > 1")
     entries = scratch.write("entries", raw.join(lists, "s"))
     scratch.clear("index")
     members = classes.select("gid", "cid")
 
-    # first round: each list's least group with the others, of it one class with all of theirs
+    # first round: each list's hub with the others, of it one class with all of theirs
     n, o = F.col("hub.n"), F.col("n")
     star = entries.where((F.col("gid") != F.col("hub.gid")) & _sizes_fit(n, o, percent) & _enough(F.least(n - F.col("hub.at"), o - F.col("at")), n, o, percent))
-    star = scratch.write("star", star.select(F.col("hub.gid").alias("g"), F.col("gid").alias("h")).distinct())
+    star = scratch.write("star", star.select(F.least("hub.gid", "gid").alias("g"), F.greatest("hub.gid", "gid").alias("h")).distinct())
     within = groups.where("k > 1").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
     of_first = groups.select(F.col("gid").alias("g"), F.col("first").alias("a"))
     pairs = star.union(within).join(of_first, "g").join(members.select(F.col("gid").alias("h"), F.col("cid").alias("b")), "h").where("a <> b").select("a", "b")
-    links = _verified(texts, classes, pairs, scratch, "first", width, percent)
+    links = _verified(texts, described, classes, pairs, scratch, "first", width, percent)
     tied = scratch.write("tied", components(links))
 
     # second round: groups of one list whose components differ; a group of several components (no root) differs from all
@@ -252,11 +292,11 @@ def _roots(texts: DataFrame, described: DataFrame, classes: DataFrame, scratch:
     met = met.where(_enough(F.least(n - F.col("i"), o - F.col("j"), F.col("same") + behind), n, o, percent)).select("g", "h").distinct()
     # what the first round has compared in full is not compared again
     single = groups.where("k = 1").select(F.col("gid").alias("g"))
-    met = met.join(star.join(single, "g", "left_semi"), ["g", "h"], "left_anti")
+    met = met.join(star.join(single, "g", "left_semi").join(single.select(F.col("g").alias("h")), "h", "left_semi"), ["g", "h"], "left_anti")
     several = of_group.where(F.col("root").isNull()).select(F.col("gid").alias("g"), F.col("gid").alias("h"))
     one, two = rooted.select(F.col("gid").alias("g"), F.col("cid").alias("a"), F.col("root").alias("r")), rooted.select(F.col("gid").alias("h"), F.col("cid").alias("b"), F.col("root").alias("q"))
     pairs = met.union(several).join(one, "g").join(two, "h").where("r <> q and (g <> h or a < b)").select("a", "b")
-    more = _verified(texts, classes, pairs, scratch, "second", width, percent)
+    more = _verified(texts, described, classes, pairs, scratch, "second", width, percent)
     named = tied.select(F.col("node").alias("cid"), F.col("root").alias("up"))
     of = lambda c: more.join(named, F.col(c) == F.col("cid"), "left").withColumn(c, F.coalesce("up", c)).select("a", "b")
     more = of("a")
@@ -275,7 +315,7 @@ def _components(documents: DataFrame, scratch: Scratch, width: int, percent: int
     texts = documents.select(F.col(id_col).alias("doc_id"), slot.alias("slot"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
     frequent = documents.sparkSession.sparkContext.broadcast(_frequent(texts, scratch, width))
-    described = map_batches(texts, lambda b: _describe(b, width, percent, frequent.value), f"doc_id {kind}, slot long, text_key binary, n long, cid binary, gid long, prefix array<long>")
+    described = map_batches(texts, lambda b: _describe(b, width, percent, frequent.value), f"doc_id {kind}, slot long, text_key binary, n long, cid binary, gid long, bits binary, prefix array<long>")
     described = scratch.write("sets", described)
     classes = scratch.write("classes", described.where("n > 0").groupBy("gid", "cid").agg(F.first("n").cast("int").alias("n"), F.min("slot").alias("slot")))
     roots = _roots(texts, described, classes, scratch, width, percent)

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from millrace.llm import jaccard
@@ -99,3 +100,10 @@ def test_components_found_in_the_second_round(spark, rows):
     rows = [(0, shared + " " + prose(rng, 84))]
     rows += [(i, f"{shared} {base} q{i}") for i in range(1, 9)] + [(i, f"{shared} {prose(rng, 80)} q{i}") for i in range(20, 30)]
     assert got(near_duplicates(documents(spark, rows))) == brute(rows)
+
+
+def test_parities_never_rule_out_an_overlap():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        x, y = (np.unique(rng.integers(0, 400, rng.integers(1, 300)).astype(np.uint64)) for _ in range(2))
+        assert jaccard._differing(jaccard._bits(x), jaccard._bits(y)) <= len(np.setxor1d(x, y))
