@@ -17,6 +17,7 @@ so that thousands of copies are never compared with one another.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,8 @@ BLOCK = 512
 FREQUENT_BITS, WANTED_BITS, LISTED_BITS = 25, 25, 27
 #: Occurrences from which a shingle may count as frequent; the least power of two that leaves ``MOST_FREQUENT`` of them.
 FREQUENT, MOST_FREQUENT = 8, 1 << 22
-#: One shingle in so many is counted and comes first in the order if it is rare.
-COUNTED = np.uint64(3)
+#: Shingles are counted by the first bits of their hashes, in passes that each take a part of them and bound the disk.
+COUNT_BITS, COUNT_PASSES = 40, 2
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -50,9 +51,9 @@ def _slots(values: np.ndarray, bits: int) -> np.ndarray:
     return (values >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _counted(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
-    """The counted shingles of a batch, and in how many of its documents each is."""
-    found = [v[v & COUNTED == 0] for _, v, _ in _sets(batch.column("text"), width)]
+def _counted(batch: pa.RecordBatch, width: int, part: int) -> pa.RecordBatch:
+    """The shingles of a batch that belong to a pass, and in how many of its documents each is."""
+    found = [(v >> np.uint64(64 - COUNT_BITS))[v % np.uint64(COUNT_PASSES) == part] for _, v, _ in _sets(batch.column("text"), width)]
     values, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(count.astype(np.int32))], ["shingle", "n"])
 
@@ -60,11 +61,14 @@ def _counted(batch: pa.RecordBatch, width: int) -> pa.RecordBatch:
 def _frequent(texts: DataFrame, scratch: Scratch, width: int) -> Bits:
     """Slots of frequent shingles.
 
-    Every counted shingle of every document is counted.  At most
-    ``MOST_FREQUENT`` are taken, the most frequent, so the table never fills.
+    Every shingle of every document is counted.  At most ``MOST_FREQUENT`` are
+    taken, the most frequent, so the table never fills.
     """
-    counts = map_batches(texts.select("text"), lambda b: _counted(b, width), "shingle long, n int").groupBy("shingle").agg(F.sum("n").alias("n"))
-    often = scratch.write("frequent", counts.where(F.col("n") >= FREQUENT))
+    counts = []
+    for part in range(COUNT_PASSES):
+        seen = map_batches(texts.select("text"), lambda b, part=part: _counted(b, width, part), "shingle long, n int")
+        counts.append(scratch.write(f"frequent-{part}", seen.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)))
+    often = reduce(DataFrame.union, counts)
     sizes = {r.k: r.n for r in often.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each power of two
     least, total = FREQUENT, 0
     for k in sorted(sizes, reverse=True):
@@ -72,7 +76,9 @@ def _frequent(texts: DataFrame, scratch: Scratch, width: int) -> Bits:
         if total > MOST_FREQUENT:
             least = 2 << k
             break
-    return bitmap(often.where(F.col("n") >= least).select(F.shiftrightunsigned("shingle", 64 - FREQUENT_BITS).alias("slot")), "slot", FREQUENT_BITS)
+    found = bitmap(often.where(F.col("n") >= least).select(F.shiftrightunsigned("shingle", COUNT_BITS - FREQUENT_BITS).alias("slot")), "slot", FREQUENT_BITS)
+    scratch.clear(*[f"frequent-{part}" for part in range(COUNT_PASSES)])
+    return found
 
 
 def _prefix_length(n, percent: int):
@@ -106,8 +112,7 @@ def _differing(x: bytes, y: bytes) -> int:
 def _describe(batch: pa.RecordBatch, width: int, percent: int, frequent: Bits) -> pa.RecordBatch:
     """Text digest, size, class, group, parities and prefix of each document's set.
 
-    The order of shingles: counted and rare ones, those not counted, counted
-    and frequent ones; each by hash.
+    The order of shingles: rare before frequent ones, each by hash.
     """
     size, own, group, bits, prefix, cuts, texts = [], [], [], [], [], [np.zeros(1, np.int64)], []
     buf, off = string_bytes(batch.column("text"))
@@ -116,18 +121,13 @@ def _describe(batch: pa.RecordBatch, width: int, percent: int, frequent: Bits) -
         values, cut = shingle_sets(part, inner, width)
         texts += digests(part, inner)
         n = np.diff(cut)
-        level = np.ones(len(values), np.int8)
-        at = np.flatnonzero(values & COUNTED == 0)
-        level[at] = np.where(frequent[_slots(values[at], FREQUENT_BITS)], 2, 0)
+        rare = ~frequent[_slots(values, FREQUENT_BITS)]
         length = np.where(n > 0, _prefix_length(n, percent), 0)
         chosen = []
         for x, y, p in zip(cut[:-1].tolist(), cut[1:].tolist(), length.tolist()):
-            v, of = values[x:y], level[x:y]
-            first = v[of == 0][:p]
-            for k in (1, 2):
-                if len(first) < p:
-                    first = np.concatenate([first, v[of == k][: p - len(first)]])
-            chosen.append(first)
+            v = values[x:y]
+            first = v[rare[x:y]][:p]
+            chosen.append(first if len(first) == p else np.concatenate([first, v[~rare[x:y]][: p - len(first)]]))
         tops = np.concatenate(chosen) if chosen else values[:0]
         ends = np.cumsum(length)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(tops ^ np.uint64(0x5BD1E995)), dtype=np.uint64)])
@@ -143,10 +143,10 @@ def _describe(batch: pa.RecordBatch, width: int, percent: int, frequent: Bits) -
 
 
 def _list_slots(batch: pa.RecordBatch, wanted: Bits) -> pa.RecordBatch:
-    """The slot of each shingle in the prefixes of wanted documents."""
+    """The slot of each shingle in the prefixes of wanted documents; mixed, as prefixes hold the least hashes."""
     batch = batch.filter(pa.array(wanted[batch.column("slot").to_numpy()]))
     values = batch.column("prefix").flatten().to_numpy().view(np.uint64)
-    return pa.RecordBatch.from_arrays([pa.array(_slots(values, LISTED_BITS).astype(np.int32))], ["list"])
+    return pa.RecordBatch.from_arrays([pa.array(_slots(mix(values), LISTED_BITS).astype(np.int32))], ["list"])
 
 
 def _entries(batch: pa.RecordBatch, wanted: Bits, listed: Bits) -> pa.RecordBatch:
@@ -157,7 +157,7 @@ def _entries(batch: pa.RecordBatch, wanted: Bits, listed: Bits) -> pa.RecordBatc
     length = np.diff(cut)
     values = lists.flatten().to_numpy()
     place = np.arange(len(values)) - np.repeat(cut[:-1] - cut[0], length)
-    keep = listed[_slots(values.view(np.uint64), LISTED_BITS)]
+    keep = listed[_slots(mix(values.view(np.uint64)), LISTED_BITS)]
     each = lambda c, kind: np.repeat(batch.column(c).to_numpy(), length)[keep].astype(kind)
     return pa.RecordBatch.from_arrays([pa.array(values[keep]), pa.array(each("gid", np.int64)), pa.array(each("n", np.int32)), pa.array(place[keep].astype(np.int32))], ["s", "gid", "n", "at"])
 
@@ -281,15 +281,11 @@ def _roots(texts: DataFrame, described: DataFrame, classes: DataFrame, scratch:
     n, o = F.col("x.n"), F.col("y.n")
     apart = F.col("x.root").isNull() | F.col("y.root").isNull() | (F.col("x.root") != F.col("y.root"))
     once = (F.col("x.own") < F.col("y.own")) | (F.col("x.gid") < F.col("y.gid"))
-    met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own")) & once & apart & _sizes_fit(n, o, percent))
-    in_order = F.col("x.gid") < F.col("y.gid")
-    side = lambda c: (F.when(in_order, F.col(f"x.{c}")).otherwise(F.col(f"y.{c}")), F.when(in_order, F.col(f"y.{c}")).otherwise(F.col(f"x.{c}")))
-    met = met.select(*[v.alias(c) for names, v2 in (("gh", side("gid")), ("no", side("n")), ("ij", side("at"))) for c, v in zip(names, v2)])
-    # of the prefix that ends first, all that matches lies in both prefixes (counted here) or behind it
-    met = met.groupBy("g", "h", "n", "o").agg(F.count(F.lit(1)).alias("same"), F.min("i").alias("i"), F.min("j").alias("j"))
-    behind = F.greatest(*[F.ceil(percent * F.col(c) / 100) - 1 for c in "no"])
-    n, o = F.col("n"), F.col("o")
-    met = met.where(_enough(F.least(n - F.col("i"), o - F.col("j"), F.col("same") + behind), n, o, percent)).select("g", "h").distinct()
+    # what matches lies at the first shingle that both have, or behind it: a variant of a text with many rare shingles
+    # of its own has the frequent ones too late in its prefix
+    first = _enough(F.least(n - F.col("x.at"), o - F.col("y.at")), n, o, percent)
+    met = x.join(y, (F.col("x.s") == F.col("y.s")) & (F.col("x.own") == F.col("y.other")) & (F.col("x.other") == F.col("y.own")) & once & apart & _sizes_fit(n, o, percent) & first)
+    met = met.select(F.least("x.gid", "y.gid").alias("g"), F.greatest("x.gid", "y.gid").alias("h")).distinct()
     # what the first round has compared in full is not compared again
     single = groups.where("k = 1").select(F.col("gid").alias("g"))
     met = met.join(star.join(single, "g", "left_semi").join(single.select(F.col("g").alias("h")), "h", "left_semi"), ["g", "h"], "left_anti")
@@ -321,7 +317,7 @@ def _components(documents: DataFrame, scratch: Scratch, width: int, percent: int
     roots = _roots(texts, described, classes, scratch, width, percent)
     sizes = scratch.write("sizes", described.select("doc_id", "text_key", "n", "cid"))
     named = scratch.write("named", classes.select("cid").join(roots, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root")))
-    scratch.clear("frequent", "sets", "classes", "components")
+    scratch.clear("sets", "classes", "components")
     return sizes, named
 
 
