@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,45 +108,45 @@ def model_forecasts(history: DataFrame, horizon: int, window: int = 3, season: i
     return fit.select(*keys, "h", each.alias("m")).select(*keys, "m.model", "h", round_half_away(F.col("m.forecast")).alias("forecast"))
 
 
-def _smooth(y: list[float], horizon: int, season: int, alpha: float, beta: float, gamma: float) -> list[float]:
-    one, two = y[:season], y[season : 2 * season]
-    level, trend = sum(one) / season, (sum(two) - sum(one)) / season**2
-    seasons = [v - level for v in one]
-    for i, v in enumerate(y):
-        s, before = seasons[i % season], level
-        level = alpha * (v - s) + (1 - alpha) * (level + trend)
-        trend = beta * (level - before) + (1 - beta) * trend
-        seasons[i % season] = gamma * (v - level) + (1 - gamma) * s
-    return [round(max(0.0, level + h * trend + seasons[(len(y) + h - 1) % season]), 4) for h in range(1, horizon + 1)]
+def _seasonal(y: Column, horizon: int, season: int, alpha: float, beta: float, gamma: float) -> Column:
+    """(h, forecast) of additive Holt-Winters smoothing, as a fold over the values.
 
-
-def holt_winters(series: DataFrame, horizon: int, season: int = 12, alpha: float = 0.4, beta: float = 0.2, gamma: float = 0.2) -> DataFrame:
-    """Additive seasonal smoothing; the seasons change at every step, so each series is a small pandas group.
-
-    Series shorter than two seasons give no rows.
+    The state carries the level, the trend and a queue of seasonal terms: the
+    first is the one of the value at hand; renewed, it goes to the end.
     """
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, v: a + v)
+    one, two = F.slice(y, 1, season), F.slice(y, season + 1, season)
+    level = total(one) / float(season)
+    start = F.struct(level.alias("level"), ((total(two) - total(one)) / float(season * season)).alias("trend"), F.transform(one, lambda v: v - level).alias("queue"))
 
-    def fit(rows: pd.DataFrame) -> pd.DataFrame:
-        out = _smooth(rows.sort_values("period")["value"].tolist(), horizon, season, alpha, beta, gamma)
-        return pd.DataFrame({"series_id": rows["series_id"].iloc[0], "h": range(1, horizon + 1), "forecast": out})
+    def step(a: Column, v: Column) -> Column:
+        term = F.element_at(a["queue"], 1)
+        level = F.lit(alpha) * (v - term) + F.lit(1 - alpha) * (a["level"] + a["trend"])
+        trend = F.lit(beta) * (level - a["level"]) + F.lit(1 - beta) * a["trend"]
+        renewed = F.lit(gamma) * (v - level) + F.lit(1 - gamma) * term
+        return F.struct(level.alias("level"), trend.alias("trend"), F.concat(F.slice(a["queue"], 2, season - 1), F.array(renewed)).alias("queue"))
 
-    size = F.count(F.lit(1)).over(Window.partitionBy("series_id"))
-    whole = series.select("series_id", "period", "value", size.alias("_n")).where(F.col("_n") >= 2 * season)
-    return whole.groupBy("series_id").applyInPandas(fit, "series_id string, h int, forecast double")
+    def ahead(a: Column) -> Column:
+        value = lambda h: F.greatest(F.lit(0.0), a["level"] + h * a["trend"] + F.element_at(a["queue"], (h - 1) % season + 1))
+        return F.transform(F.sequence(F.lit(1), F.lit(horizon)), lambda h: F.struct(h.alias("h"), round_half_away(value(h)).alias("forecast")))
 
+    return F.aggregate(y, start, step, ahead)
 
-def all_forecasts(history: DataFrame, horizon: int, season: int = 12, alpha: float = 0.4, beta: float = 0.2, gamma: float = 0.2) -> DataFrame:
-    """The base models and, from two seasons on, Holt-Winters, of each history ``y``."""
+
+def _holt_winters(history: DataFrame, horizon: int, season: int, alpha: float, beta: float, gamma: float) -> DataFrame:
     keys = [c for c in history.columns if c != "y"]
+    made = history.where(F.size("y") >= 2 * season).select(*keys, F.explode(_seasonal(F.col("y"), horizon, season, alpha, beta, gamma)).alias("m"))
+    return made.select(*keys, F.lit("holt_winters").alias("model"), "m.h", "m.forecast")
+
+
+def holt_winters(series: DataFrame, horizon: int, season: int = 12, alpha: float = 0.4, beta: float = 0.2, gamma: float = 0.2) -> DataFrame:
+    """Additive seasonal smoothing.  Series shorter than two seasons give no rows."""
+    return _holt_winters(histories(series), horizon, season, alpha, beta, gamma).drop("model")
 
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = batch[keys].assign(model="holt_winters", h=[range(1, horizon + 1)] * len(batch), forecast=[_smooth(list(y), horizon, season, alpha, beta, gamma) for y in batch["y"]])
-            yield made.explode(["h", "forecast"]).astype({"h": "int32", "forecast": "float64"})
 
-    base = model_forecasts(history, horizon, season=season, alpha=alpha, beta=beta)
-    kinds = ", ".join(f"{k} {history.schema[k].dataType.simpleString()}" for k in keys)
-    return base.unionByName(history.where(F.size("y") >= 2 * season).mapInPandas(fit, f"{kinds}, model string, h int, forecast double"))
+def all_forecasts(history: DataFrame, horizon: int, season: int = 12, alpha: float = 0.4, beta: float = 0.2, gamma: float = 0.2) -> DataFrame:
+    """The base models and, from two seasons on, Holt-Winters, of each history ``y``."""
+    return model_forecasts(history, horizon, season=season, alpha=alpha, beta=beta).unionByName(_holt_winters(history, horizon, season, alpha, beta, gamma))
 
 
 def _pairs(cut: DataFrame, forecasts: Callable[[DataFrame, int], DataFrame], horizon: int) -> DataFrame:

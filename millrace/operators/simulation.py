@@ -1,47 +1,50 @@
-"""Queues of arrivals at resources: seeded replications in groups, then relational measures."""
+"""Queues of arrivals at resources: replications with drawn service times, then measures.  Columns and windows only."""
 
 from __future__ import annotations
 
-import hashlib
-import random
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import round_half_away, safe_ratio
 
+#: Times are exact to four places, so that no order of sums moves them.
+_MINUTES = "decimal(18,4)"
+
+
+def drawn(*parts: Column) -> Column:
+    """A number in [0, 1) that depends on the parts alone: 48 bits of their MD5."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[x.cast("string") for x in parts])), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
-def stable_seed(master: int, *parts: object) -> int:
-    """The same for the same parts on every machine and partitioning."""
-    text = "|".join(map(str, (master, *parts)))
-    return int(hashlib.sha256(text.encode()).hexdigest()[:16], 16) % (2**31 - 1)
 
+def triangular(u: Column, low: float, mode: float, high: float) -> Column:
+    """The quantile ``u`` of a triangular distribution."""
+    width = high - low
+    rising, falling = F.lit(low) + F.sqrt(u * (width * (mode - low))), F.lit(high) - F.sqrt((F.lit(1.0) - u) * (width * (high - mode)))
+    return F.when(u < (mode - low) / width, rising).otherwise(falling)
 
-def replicate(arrivals: DataFrame, replications: int, opening: float, closing: float, service: tuple[float, float, float], master: int = 20240101, by: tuple[str, ...] = ("resource",)) -> DataFrame:
+
+def replicate(arrivals: DataFrame, replications: int, opening: float, closing: float, service: tuple[float, float, float], by: tuple[str, ...] = ("resource",)) -> DataFrame:
     """First come, first served at each resource: arrival, start, end and wait of every contact, by replication.
 
-    ``arrivals`` has the columns ``by``, contact and minute.  One queue, and
-    one group, is a combination of ``by`` in a replication, such as a resource
-    on a day; its random numbers depend on its names alone.
+    ``arrivals`` has the columns ``by``, contact and minute.  One queue is a
+    combination of ``by`` in a replication, such as a resource on a day; the
+    service time of a contact is drawn from its names alone.  With S the
+    running sum of service times, a contact starts at the largest of all
+    a(j) - S(j - 1) up to it, plus S of the contact before: running windows,
+    which hold no queue in memory.
     """
-    names = [*by, "replication", "contact", "arrival", "start", "end", "wait", "overtime"]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = [rows[k].iloc[0] for k in by]
-        rep = int(rows["replication"].iloc[0])
-        rng = random.Random(stable_seed(master, *keys, rep))
-        free, out = opening, []
-        for contact, minute in rows.sort_values(["minute", "contact"])[["contact", "minute"]].itertuples(index=False):
-            begin = max(minute, free, opening)
-            free = begin + rng.triangular(service[0], service[2], service[1])
-            out.append((*keys, rep, contact, float(minute), begin, free, begin - minute, max(0.0, free - closing)))
-        return pd.DataFrame(out, columns=names)
-
     each = arrivals.withColumn("replication", F.explode(F.sequence(F.lit(1), F.lit(replications))))
-    kinds = ", ".join(f"{k} {arrivals.schema[k].dataType.simpleString()}" for k in by)
-    schema = f"{kinds}, replication int, contact long, arrival double, start double, end double, wait double, overtime double"
-    return each.groupBy(*by, "replication").applyInPandas(run, schema)
+    names = [*by, "replication"]
+    service_time = round_half_away(triangular(drawn(*[F.col(k) for k in names], F.col("contact")), *service)).cast(_MINUTES)
+    each = each.select(*names, "contact", F.col("minute").cast(_MINUTES).alias("arrival"), service_time.alias("service"))
+    queue = Window.partitionBy(*names).orderBy("arrival", "contact")
+    so_far = queue.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = each.withColumn("before", (F.sum("service").over(so_far) - F.col("service")).cast(_MINUTES))
+    start = F.max((F.greatest("arrival", F.lit(opening).cast(_MINUTES)) - F.col("before")).cast(_MINUTES)).over(so_far) + F.col("before")
+    timed = summed.withColumn("start", start).withColumn("end", F.col("start") + F.col("service"))
+    plain = lambda c: c.cast("double")
+    over = F.greatest(F.lit(0.0), plain(F.col("end") - F.lit(closing).cast(_MINUTES)))
+    return timed.select(*names, "contact", plain(F.col("arrival")).alias("arrival"), plain(F.col("start")).alias("start"), plain(F.col("end")).alias("end"), plain(F.col("start") - F.col("arrival")).alias("wait"), over.alias("overtime"))
 
 
 def queue_measures(events: DataFrame, by: list[str]) -> DataFrame:
@@ -63,7 +66,5 @@ def resilience(measures: DataFrame, by: list[str], column: str, limit: float, z:
 
 def admit(events: DataFrame, by: list[str], order: list[str], capacity: int) -> DataFrame:
     """First-come admission: contacts beyond the capacity of their group are blocked."""
-    from pyspark.sql import Window
-
     place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
     return events.withColumn("place", place).withColumn("blocked", F.col("place") > capacity)

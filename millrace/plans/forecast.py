@@ -139,3 +139,22 @@ ORACLE_SQL = {
     "intervals": _WIDTH,
     "interval_coverage": f"SELECT series_id, model, level, {r('avg(CASE WHEN actual >= greatest(0.0, forecast - width) AND actual <= forecast + width THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)')} AS coverage FROM ({_BACK}) JOIN ({_WIDTH}) USING (series_id, model) GROUP BY 1, 2, 3",
 } | {f"fc_{m}": f"SELECT series_id, h, forecast FROM ({_ALL}) WHERE model = '{m}'" for m in MODELS}
+
+# Holt-Winters, one recursion step for each value; ``q`` is the queue of seasonal terms
+
+
+def _seasonal(source: str, keys: str) -> str:
+    level = "(0.4::DOUBLE * (y[i] - q[1]) + 0.6::DOUBLE * (level + trend))"
+    return f"""SELECT {keys}, 'holt_winters' AS model, h::INTEGER AS h, {r('greatest(0.0, level + h * trend + q[(h - 1) % 12 + 1])')} AS forecast FROM (
+  WITH RECURSIVE s AS (
+    SELECT {keys}, y, 1 AS i, total / 12.0::DOUBLE AS level, (list_reduce(y[13:24], lambda a, v: a + v) - total) / 144.0::DOUBLE AS trend, list_transform(y[1:12], lambda v: v - total / 12.0::DOUBLE) AS q
+      FROM (SELECT *, list_reduce(y[1:12], lambda a, v: a + v) AS total FROM ({source}) WHERE len(y) >= 24)
+    UNION ALL SELECT {keys}, y, i + 1, {level}, 0.2::DOUBLE * ({level} - level) + 0.8::DOUBLE * trend, list_append(q[2:12], 0.2::DOUBLE * (y[i] - {level}) + 0.8::DOUBLE * q[1]) FROM s WHERE i <= len(y))
+  SELECT * FROM s WHERE i = len(y) + 1), (SELECT unnest(range(1, {HORIZON + 1})) AS h)"""
+
+
+ORACLE_SQL["fc_holt_winters"] = f"SELECT series_id, h, forecast FROM ({_seasonal(_Y, 'series_id')})"
+_BACK_ALL = f"SELECT f.series_id, f.fold, f.model, f.h, forecast, next[f.h] AS actual FROM ({_forecasts(_CUT, 'series_id, fold')} UNION ALL {_seasonal(_CUT, 'series_id, fold')}) f JOIN ({_CUT}) c ON f.series_id = c.series_id AND f.fold = c.fold"
+_SIX, _SEVEN = "'holt']", "'holt', 'holt_winters']"
+#: Every series of the test tables has folds, so no fallback shows in the SQL.
+ORACLE_SQL |= {f"{name}_all" if name != "backtest_metrics" else "backtest_all_metrics": ORACLE_SQL[name].replace(_BACK, _BACK_ALL).replace(_SIX, _SEVEN) for name in ("backtest", "backtest_metrics", "model_selection", "intervals")}

@@ -49,7 +49,7 @@ def site_utilisation(spark: SparkSession, d: str) -> DataFrame:
     return u.roll_up(unit_utilisation(spark, d), ["site"])
 
 
-def estate_summary(spark: SparkSession, d: str) -> DataFrame:
+def portfolio_summary(spark: SparkSession, d: str) -> DataFrame:
     return unit_utilisation(spark, d).agg(
         F.count(F.lit(1)).alias("units"), F.sum("bookings").cast("long").alias("bookings"), round_half_away(F.sum("booked_hours")).alias("booked_hours"), round_half_away(exact_mean(F.col("effective"))).alias("effective"), round_half_away(exact_mean(F.col("cancellation_rate"))).alias("cancellation_rate")
     )
@@ -92,7 +92,7 @@ def unit_cost(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "booking_context": booking_context, "unit_utilisation": unit_utilisation, "parent_utilisation": parent_utilisation, "site_utilisation": site_utilisation,
-    "estate_summary": estate_summary, "service_utilisation": service_utilisation, "unit_service_hours": unit_service_hours, "weekday_and_band": weekday_and_band,
+    "portfolio_summary": portfolio_summary, "service_utilisation": service_utilisation, "unit_service_hours": unit_service_hours, "weekday_and_band": weekday_and_band,
     "monthly_spine": monthly_spine, "persistent_low_use": persistent_low_use, "unit_cost": unit_cost,
 }
 
@@ -137,7 +137,7 @@ ORACLE_SQL = {
     "unit_utilisation": _UNIT,
     "parent_utilisation": _ROLL.replace("KEY", "parent"),
     "site_utilisation": _ROLL.replace("KEY", "site"),
-    "estate_summary": f"SELECT count(*) AS units, sum(bookings)::BIGINT AS bookings, {r('sum(booked_hours)')} AS booked_hours, {r(_mean('effective'))} AS effective, {r(_mean('cancellation_rate'))} AS cancellation_rate FROM ({_UNIT})",
+    "portfolio_summary": f"SELECT count(*) AS units, sum(bookings)::BIGINT AS bookings, {r('sum(booked_hours)')} AS booked_hours, {r(_mean('effective'))} AS effective, {r(_mean('cancellation_rate'))} AS cancellation_rate FROM ({_UNIT})",
     "service_utilisation": f"SELECT * EXCLUDE (planned, actual) FROM ({_SERVICE})",
     "unit_service_hours": "SELECT l_suppkey AS unit, p_type AS service, sum(CASE WHEN l_returnflag <> 'R' THEN l_quantity ELSE 0 END)::BIGINT AS minutes, sum(CASE WHEN l_returnflag = 'A' THEN 1 ELSE 0 END)::BIGINT AS contacts FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2 HAVING count(*) FILTER (WHERE l_returnflag <> 'R') > 0",
     "weekday_and_band": f"""SELECT grain, part, count(*) AS n, {r('sum(value)')} AS total, part IN ('morning', 'Monday') AS peak FROM (

@@ -60,7 +60,7 @@ def sites_in_use(spark: SparkSession, d: str) -> DataFrame:
 
 
 def idle_parts(spark: SparkSession, d: str) -> DataFrame:
-    """Set difference."""
+    """Set difference: parts that no line of more than 25 pieces names."""
     return table(spark, d, "part").select("p_partkey").subtract(table(spark, d, "lineitem").where("l_quantity > 25").select(F.col("l_partkey").alias("p_partkey")))
 
 
@@ -140,3 +140,16 @@ ORACLE_SQL = {
     "workforce_view": f"SELECT year(o_orderdate)::INTEGER AS year, c_nationkey, c_mktsegment, o_orderpriority, count(*) AS orders, {r('(sum(o_totalprice::DECIMAL(18,2))::DOUBLE / count(*))', 2)} AS mean, sum(o_totalprice::DECIMAL(18,2))::DOUBLE AS total FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3, 4",
     "bottlenecks": f"SELECT event_type, hour(ts)::INTEGER AS hour, count(*) AS n, {r('(sum(value::DECIMAL(18,4))::DOUBLE / count(*))', 2)} AS mean, {r('sum(value::DECIMAL(18,4))::DOUBLE', 2)} AS total FROM events GROUP BY 1, 2",
 }
+
+_U = "(('0x' || substr(md5(concat_ws('|', event_type, ts::DATE, rep, event_id)), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE)"
+_SERVED = r(f"(CASE WHEN {_U} < {4.0 / 13.0!r}::DOUBLE THEN 2.0::DOUBLE + sqrt({_U} * 52.0::DOUBLE) ELSE 15.0::DOUBLE - sqrt((1.0::DOUBLE - {_U}) * 117.0::DOUBLE) END)")
+_QUEUE = "(PARTITION BY resource, day, replication ORDER BY arrival, contact ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+ORACLE_SQL["sim_events"] = f"""WITH a AS (SELECT event_type AS resource, ts::DATE AS day, rep::INTEGER AS replication, event_id AS contact, (hour(ts) * 60 + minute(ts))::DECIMAL(18,4) AS arrival, ({_SERVED})::DECIMAL(18,4) AS service
+    FROM events, (SELECT unnest(range(1, 6)) AS rep) WHERE ts IS NOT NULL),
+  b AS (SELECT *, (sum(service) OVER {_QUEUE} - service)::DECIMAL(18,4) AS before FROM a),
+  c AS (SELECT *, (max(greatest(arrival, 480::DECIMAL(18,4)) - before) OVER {_QUEUE} + before)::DECIMAL(18,4) AS start FROM b)
+SELECT resource, day, replication, contact, arrival::DOUBLE AS arrival, start::DOUBLE AS start, (start + service)::DOUBLE AS "end", (start - arrival)::DOUBLE AS wait, greatest(0.0::DOUBLE, (start + service - 1080)::DOUBLE) AS overtime FROM c"""
+ORACLE_SQL["sim_metrics"] = f"SELECT resource, day, replication, count(*) AS contacts, {r('avg(wait)')} AS mean_wait, {r('quantile_cont(wait, 0.5)')} AS median_wait, {r('quantile_cont(wait, 0.95)')} AS p95_wait, {r('max(overtime)')} AS max_overtime FROM ({ORACLE_SQL['sim_events']}) GROUP BY 1, 2, 3"
+ORACLE_SQL["sim_means"] = f"SELECT resource, day, count(*) AS replications, {r('avg(contacts)')} AS contacts, {r('avg(mean_wait)')} AS mean_wait, {r('avg(p95_wait)')} AS p95_wait, {r('avg(max_overtime)')} AS max_overtime FROM ({ORACLE_SQL['sim_metrics']}) GROUP BY 1, 2"
+_HALF = "1.96::DOUBLE * (coalesce(stddev_samp(mean_wait), 0.0) / sqrt(count(*)))"
+ORACLE_SQL["sim_resilience"] = f"SELECT resource, day, count(*) AS replications, {r('avg(mean_wait)')} AS mean, {r(f'(avg(mean_wait) - {_HALF})')} AS low, {r(f'(avg(mean_wait) + {_HALF})')} AS high, {r('(count(*) FILTER (WHERE mean_wait > 60.0)::DOUBLE / count(*))')} AS failure_rate FROM ({ORACLE_SQL['sim_metrics']}) GROUP BY 1, 2"
