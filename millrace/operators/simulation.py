@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalar import round_half_away, safe_ratio
+from ..functions.scalar import exact_mean, round_half_away, safe_ratio
 
 #: Times are exact to four places, so that no order of sums moves them.
 _MINUTES = "decimal(18,4)"
@@ -28,14 +28,15 @@ def replicate(arrivals: DataFrame, replications: int, opening: float, closing: f
 
     ``arrivals`` has the columns ``by``, contact and minute.  One queue is a
     combination of ``by`` in a replication, such as a resource on a day; the
-    service time of a contact is drawn from its names alone.  With S the
+    service time of a contact, in hundredths of a minute, is drawn from its names
+    alone.  With S the
     running sum of service times, a contact starts at the largest of all
     a(j) - S(j - 1) up to it, plus S of the contact before: running windows,
     which hold no queue in memory.
     """
     each = arrivals.withColumn("replication", F.explode(F.sequence(F.lit(1), F.lit(replications))))
     names = [*by, "replication"]
-    service_time = round_half_away(triangular(drawn(*[F.col(k) for k in names], F.col("contact")), *service)).cast(_MINUTES)
+    service_time = round_half_away(triangular(drawn(*[F.col(k) for k in names], F.col("contact")), *service), 2).cast(_MINUTES)
     each = each.select(*names, "contact", F.col("minute").cast(_MINUTES).alias("arrival"), service_time.alias("service"))
     queue = Window.partitionBy(*names).orderBy("arrival", "contact")
     so_far = queue.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -50,7 +51,7 @@ def replicate(arrivals: DataFrame, replications: int, opening: float, closing: f
 def queue_measures(events: DataFrame, by: list[str]) -> DataFrame:
     """Contacts, waits (mean, median, 95th percentile) and overtime."""
     return events.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("contacts"), round_half_away(F.avg("wait")).alias("mean_wait"), round_half_away(F.percentile("wait", 0.5)).alias("median_wait"),
+        F.count(F.lit(1)).alias("contacts"), round_half_away(exact_mean(F.col("wait"))).alias("mean_wait"), round_half_away(F.percentile("wait", 0.5)).alias("median_wait"),
         round_half_away(F.percentile("wait", 0.95)).alias("p95_wait"), round_half_away(F.max("overtime")).alias("max_overtime"),
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalar import clean, key_digest, round_half_away
+from ..functions.scalar import clean, exact_mean, key_digest, round_half_away
 from ..operators import simulation as sim
 from ..sources.tables import table
 from . import utilisation
@@ -118,7 +118,7 @@ def bottlenecks(spark: SparkSession, d: str) -> DataFrame:
 
 def sim_means(spark: SparkSession, d: str) -> DataFrame:
     """Means of the measures of each queue over all replications."""
-    return sim_metrics(spark, d).groupBy("resource", "day").agg(F.count(F.lit(1)).alias("replications"), *[round_half_away(F.avg(c)).alias(c) for c in ("contacts", "mean_wait", "p95_wait", "max_overtime")])
+    return sim_metrics(spark, d).groupBy("resource", "day").agg(F.count(F.lit(1)).alias("replications"), *[round_half_away(exact_mean(F.col(c))).alias(c) for c in ("contacts", "mean_wait", "p95_wait", "max_overtime")])
 
 
 QUERIES = {x.__name__: x for x in (activity_view, executive_view, portfolio_view, filtered_view, top_orders, events_props, cleaned_names, sites_in_use, idle_parts, sim_events, sim_metrics, sim_resilience, admissions, queue_measures, decision_base, unit_view, workforce_view, bottlenecks, sim_means)}
@@ -142,14 +142,15 @@ ORACLE_SQL = {
 }
 
 _U = "(('0x' || substr(md5(concat_ws('|', event_type, ts::DATE, rep, event_id)), 1, 12))::BIGINT::DOUBLE / 281474976710656.0::DOUBLE)"
-_SERVED = r(f"(CASE WHEN {_U} < {4.0 / 13.0!r}::DOUBLE THEN 2.0::DOUBLE + sqrt({_U} * 52.0::DOUBLE) ELSE 15.0::DOUBLE - sqrt((1.0::DOUBLE - {_U}) * 117.0::DOUBLE) END)")
+_SERVED = r(f"(CASE WHEN {_U} < {4.0 / 13.0!r}::DOUBLE THEN 2.0::DOUBLE + sqrt({_U} * 52.0::DOUBLE) ELSE 15.0::DOUBLE - sqrt((1.0::DOUBLE - {_U}) * 117.0::DOUBLE) END)", 2)
+_exact = lambda c: f"(sum({c}::DECIMAL(24,4))::DOUBLE / count({c}))"
 _QUEUE = "(PARTITION BY resource, day, replication ORDER BY arrival, contact ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 ORACLE_SQL["sim_events"] = f"""WITH a AS (SELECT event_type AS resource, ts::DATE AS day, rep::INTEGER AS replication, event_id AS contact, (hour(ts) * 60 + minute(ts))::DECIMAL(18,4) AS arrival, ({_SERVED})::DECIMAL(18,4) AS service
     FROM events, (SELECT unnest(range(1, 6)) AS rep) WHERE ts IS NOT NULL),
   b AS (SELECT *, (sum(service) OVER {_QUEUE} - service)::DECIMAL(18,4) AS before FROM a),
   c AS (SELECT *, (max(greatest(arrival, 480::DECIMAL(18,4)) - before) OVER {_QUEUE} + before)::DECIMAL(18,4) AS start FROM b)
 SELECT resource, day, replication, contact, arrival::DOUBLE AS arrival, start::DOUBLE AS start, (start + service)::DOUBLE AS "end", (start - arrival)::DOUBLE AS wait, greatest(0.0::DOUBLE, (start + service - 1080)::DOUBLE) AS overtime FROM c"""
-ORACLE_SQL["sim_metrics"] = f"SELECT resource, day, replication, count(*) AS contacts, {r('avg(wait)')} AS mean_wait, {r('quantile_cont(wait, 0.5)')} AS median_wait, {r('quantile_cont(wait, 0.95)')} AS p95_wait, {r('max(overtime)')} AS max_overtime FROM ({ORACLE_SQL['sim_events']}) GROUP BY 1, 2, 3"
-ORACLE_SQL["sim_means"] = f"SELECT resource, day, count(*) AS replications, {r('avg(contacts)')} AS contacts, {r('avg(mean_wait)')} AS mean_wait, {r('avg(p95_wait)')} AS p95_wait, {r('avg(max_overtime)')} AS max_overtime FROM ({ORACLE_SQL['sim_metrics']}) GROUP BY 1, 2"
+ORACLE_SQL["sim_metrics"] = f"SELECT resource, day, replication, count(*) AS contacts, {r(_exact('wait'))} AS mean_wait, {r('quantile_cont(wait, 0.5)')} AS median_wait, {r('quantile_cont(wait, 0.95)')} AS p95_wait, {r('max(overtime)')} AS max_overtime FROM ({ORACLE_SQL['sim_events']}) GROUP BY 1, 2, 3"
+ORACLE_SQL["sim_means"] = f"SELECT resource, day, count(*) AS replications, {r(_exact('contacts'))} AS contacts, {r(_exact('mean_wait'))} AS mean_wait, {r(_exact('p95_wait'))} AS p95_wait, {r(_exact('max_overtime'))} AS max_overtime FROM ({ORACLE_SQL['sim_metrics']}) GROUP BY 1, 2"
 _HALF = "1.96::DOUBLE * (coalesce(stddev_samp(mean_wait), 0.0) / sqrt(count(*)))"
 ORACLE_SQL["sim_resilience"] = f"SELECT resource, day, count(*) AS replications, {r('avg(mean_wait)')} AS mean, {r(f'(avg(mean_wait) - {_HALF})')} AS low, {r(f'(avg(mean_wait) + {_HALF})')} AS high, {r('(count(*) FILTER (WHERE mean_wait > 60.0)::DOUBLE / count(*))')} AS failure_rate FROM ({ORACLE_SQL['sim_metrics']}) GROUP BY 1, 2"
