@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
-from .shared import map_batches
-from .textnp import ALNUM, LOWER, blocks, rolling, span_hashes, string_bytes, word_spans
+from .shared import free_name, map_batches, written
+from .textnp import ALNUM, LOWER, blocks, hash_spans, string_bytes, word_spans
 
 #: Bytes of benchmark text in one block of test phrases; each block is a pass over the documents.
 PHRASE_BLOCK_BYTES = 16 << 20
@@ -43,11 +44,11 @@ def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     buf, off = string_bytes(texts)
     low = LOWER[buf]
     s, e, first = word_spans(low, off, ALNUM)
-    return span_hashes(rolling(low), s, e), s, e, first
+    return hash_spans(low, s, e), s, e, first
 
 
 def make_phrases(ids: list, texts: list, width: int) -> Phrases | None:
-    """Windows of ``width`` words of each item, or the whole of a shorter one."""
+    """Windows of ``width`` words of each item, or the whole of a shorter one; an item without an id has no name."""
     hashes, _, _, first = _hashed(pa.array(texts, pa.string()))
     if not len(hashes):
         return None
@@ -55,8 +56,8 @@ def make_phrases(ids: list, texts: list, width: int) -> Phrases | None:
     sieve = np.zeros(1 << 16, bool)
     sieve[(words & np.uint64(0xFFFF)).astype(np.int64)] = True
     symbols = np.searchsorted(words, hashes) + 1
-    names = sorted({str(i) for i in ids})
-    place = {x: k for k, x in enumerate(names)}
+    names = sorted({i for i in ids if i is not None})
+    place = {None: -1} | {x: k for k, x in enumerate(names)}
     found: dict[int, tuple[list, list]] = {}
     pairs = []
     for k, i in enumerate(ids):
@@ -68,11 +69,12 @@ def make_phrases(ids: list, texts: list, width: int) -> Phrases | None:
         rows = np.lib.stride_tricks.sliding_window_view(own, size)
         found.setdefault(size, ([], []))
         found[size][0].append(rows)
-        found[size][1].append(np.full(len(rows), place[str(i)]))
+        found[size][1].append(np.full(len(rows), place[i]))
     out = Phrases(words, sieve, np.unique(np.concatenate(pairs)), names=names)
     for size, (rows, items) in found.items():
         distinct, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
         links = np.unique(np.stack([which.reshape(-1), np.concatenate(items)]), axis=1)
+        links = links[:, links[1] >= 0]
         out.by_length[size] = distinct
         out.items[size] = (np.searchsorted(links[0], np.arange(len(distinct) + 1)), links[1])
     return out
@@ -141,34 +143,52 @@ def _search_batch(batch: pa.RecordBatch, text: str, phrases: Phrases):
         part, own = buf[off[a] : off[b]], off[a : b + 1] - off[a]
         low = LOWER[part]
         s, e, first = word_spans(low, own, ALNUM)
-        hit, docs, items = search_shard(span_hashes(rolling(low), s, e), first, phrases)
+        hit, docs, items = search_shard(hash_spans(low, s, e), first, phrases)
         yield a, part, own, s, e, first, hit, docs, items
 
 
-def phrase_blocks(benchmark: DataFrame, width: int, id_col: str, text_col: str) -> list[Phrases]:
-    """The benchmark in blocks of bounded bytes; items without id or text say nothing."""
-    items = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
+def phrase_blocks(benchmark: DataFrame, width: int, id_col: str, text_col: str) -> Iterator[Phrases]:
+    """The benchmark in blocks of bounded bytes, one at a time in the driver; items without text say nothing."""
+    items = benchmark.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
     size = items.agg(F.sum(F.octet_length("t") + 16)).first()[0] or 0
     count = max(1, -(-size // PHRASE_BLOCK_BYTES))
-    out = []
     for k in range(count):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(count)) == k).collect()
-        out.append(make_phrases([r.i for r in rows], [r.t for r in rows], width) if rows else None)
-    return [x for x in out if x]
+        if rows and (made := make_phrases([r.i for r in rows], [r.t for r in rows], width)):
+            yield made
+
+
+def _block_after_block(blocks: Iterator[Phrases], frame: DataFrame, step, name: str) -> DataFrame:
+    """``step(frame, shared phrases, last)`` for each block; what all but the last make is written before the next block is gathered."""
+    spark = frame.sparkSession
+    now = next(blocks, None)
+    while True:
+        after = next(blocks, None) if now else None
+        shared = spark.sparkContext.broadcast(now)
+        frame = step(frame, shared, after is None)
+        if after is None:
+            return frame
+        frame = written(frame, name)
+        shared.destroy()
+        now = after
 
 
 def find_contamination(documents: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """Words of each document that lie in a test phrase, and the items concerned.
 
     A phrase is ``width`` consecutive words of an item, or all words of a
-    shorter one; words are runs of letters and digits, A-Z in lower case.  The
-    benchmark is taken in blocks of bounded size, each one pass over the
-    documents without a shuffle; each shard of documents is indexed and
-    searched where it is read.
-
-    A null or empty text has no words.  Items with a null id or text are
-    ignored, and an id that occurs twice is one item.  An empty benchmark
-    hits nothing.  Repeated documents each keep their row.  Returns doc_id,
+    shorter one; words are runs of letters and digits, A-Z in lower case, and
+    the same where their hashes of 64 bits are.  The benchmark is taken in
+    blocks of bounded size, each one pass over the documents without a
+    shuffle; at most two blocks are in the driver.  Each shard of documents is
+    indexed and searched where it is read; a very long text is a shard of its
+    own, which takes some 100 bytes for each of its words.
+
+    A null or empty text has no words.  An item without an id hits as any
+    other, but is neither counted nor named; one without text is ignored, and
+    an id that occurs twice is one item.  An empty benchmark hits nothing, no
+    documents give no rows, and other columns are ignored, whatever their
+    names.  Repeated documents each keep their row.  Returns doc_id,
     n_words, n_hit, n_items, items_sha256, contaminated, and spans: the merged
     byte ranges [start, end) to remove.
     """
@@ -177,16 +197,8 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, width: int =
     kind = got.schema["doc_id"].dataType.simpleString()
     kept = f"doc_id {kind}, text string, hits array<int>, items array<string>"
     last = f"doc_id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans {spans}"
-    many = phrase_blocks(benchmark, width, item_col, item_text) or [None]
-    for k, phrases in enumerate(many):
-        final = k == len(many) - 1
-        shared = documents.sparkSession.sparkContext.broadcast(phrases)
-
-        def step(batch: pa.RecordBatch, shared=shared, final=final) -> pa.RecordBatch:
-            return _step(batch, shared.value, final)
-
-        got = map_batches(got, step, last if final else kept)
-    return got
+    step = lambda frame, shared, final: map_batches(frame, lambda b: _step(b, shared.value, final), last if final else kept)
+    return _block_after_block(phrase_blocks(benchmark, width, item_col, item_text), got, step, "decontamination")
 
 
 def _step(batch: pa.RecordBatch, phrases: Phrases | None, final: bool) -> pa.RecordBatch:
@@ -220,50 +232,70 @@ def _step(batch: pa.RecordBatch, phrases: Phrases | None, final: bool) -> pa.Rec
     return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"])
 
 
+def _cut_batch(batch: pa.RecordBatch, text_col: str, phrases: Phrases, changed: str | None) -> pa.RecordBatch:
+    """The batch without its hit spans; ``changed`` names a column that is set where a text was cut."""
+    column = batch.schema.get_field_index(text_col)
+    texts = batch.column(column)
+    todo = np.arange(batch.num_rows)
+    new: dict[int, bytes] = {}
+    while len(todo):
+        now = pa.array([new.get(i) for i in todo.tolist()], pa.binary()).cast(pa.string()) if new else texts
+        cut: dict[int, tuple[bytes, list]] = {}
+        for a, part, own, s, e, first, hit, _, _ in _search_batch(pa.RecordBatch.from_arrays([now], ["text"]), "text", phrases):
+            at = np.flatnonzero(hit)
+            doc = np.searchsorted(first, at, "right") - 1
+            for j in np.unique(doc).tolist():
+                words = at[doc == j]
+                edge = np.flatnonzero(np.diff(words) != 1)
+                starts, ends = s[words[np.concatenate([[0], edge + 1])]], e[words[np.concatenate([edge, [len(words) - 1]])]]
+                cut[a + j] = bytes(part[own[j] : own[j + 1]]), list(zip((starts - own[j]).tolist(), (ends - own[j]).tolist()))
+        found = {}
+        for j, (raw, spans) in cut.items():
+            out, end = [], 0
+            for x, y in spans:
+                out.append(raw[end:x])
+                end = y
+            found[int(todo[j])] = b"".join([*out, raw[end:]])
+        new |= found
+        todo = np.array(sorted(found), np.int64)
+    if not new:
+        return batch
+    values = texts.to_pylist()
+    for i, raw in new.items():
+        values[i] = raw.decode("utf-8")
+    batch = batch.set_column(column, batch.schema.field(column), pa.array(values, texts.type))
+    if changed:
+        at = batch.schema.get_field_index(changed)
+        flags = batch.column(at).to_numpy(zero_copy_only=False).copy()
+        flags[list(new)] = True
+        batch = batch.set_column(at, batch.schema.field(at), pa.array(flags))
+    return batch
+
+
 def remove_contamination(documents: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``documents`` with the hit spans cut out of the texts; every row and column stays.
 
     The cut is repeated while it brings words together that form a phrase
-    anew.  A null text stays null, and a text that is all phrases becomes the
-    rest between them.
+    anew, of any block of the benchmark.  A null text stays null, a text that
+    is all phrases becomes the rest between them, repeated rows are cut alike,
+    and an empty table or benchmark changes nothing.  Other columns stay as
+    they are, whatever their names.
     """
-    many = phrase_blocks(benchmark, width, item_col, item_text)
-    if not many:
+    blocks_of = lambda: phrase_blocks(benchmark, width, item_col, item_text)
+    first = blocks_of()
+    one, two = next(first, None), next(first, None)
+    if one is None:
         return documents
-    shared = documents.sparkSession.sparkContext.broadcast(many)
-
-    def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-        column = batch.schema.get_field_index(text_col)
-        texts = batch.column(column)
-        todo = np.arange(batch.num_rows)
-        new: dict[int, bytes] = {}
-        while len(todo):
-            now = pa.array([new.get(i) for i in todo.tolist()], pa.binary()).cast(pa.string()) if new else texts
-            cut: dict[int, list] = {}
-            for phrases in shared.value:
-                for a, part, own, s, e, first, hit, _, _ in _search_batch(pa.RecordBatch.from_arrays([now], ["text"]), "text", phrases):
-                    at = np.flatnonzero(hit)
-                    doc = np.searchsorted(first, at, "right") - 1
-                    for j in np.unique(doc).tolist():
-                        words = at[doc == j]
-                        raw, spot = bytes(part[own[j] : own[j + 1]]), cut.setdefault(a + j, [None, []])
-                        spot[0] = raw
-                        edge = np.flatnonzero(np.diff(words) != 1)
-                        spot[1] += zip((s[words[np.concatenate([[0], edge + 1])]] - own[j]).tolist(), (e[words[np.concatenate([edge, [len(words) - 1]])]] - own[j]).tolist())
-            changed = {}
-            for j, (raw, spans) in cut.items():
-                out, end = [], 0
-                for x, y in sorted(spans):
-                    out.append(raw[end : max(x, end)])
-                    end = max(end, y)
-                changed[int(todo[j])] = b"".join([*out, raw[end:]])
-            new |= changed
-            todo = np.array(sorted(changed), np.int64)
-        if not new:
-            return batch
-        values = texts.to_pylist()
-        for i, raw in new.items():
-            values[i] = raw.decode("utf-8")
-        return batch.set_column(column, batch.schema.field(column), pa.array(values, texts.type))
-
-    return map_batches(documents, step, documents.schema)
+    if two is None:
+        shared = documents.sparkSession.sparkContext.broadcast(one)
+        return map_batches(documents, lambda b: _cut_batch(b, text_col, shared.value, None), documents.schema)
+    del one, two, first
+    changed = free_name(documents, "cut_again")
+    again = True
+    while again:
+        flagged = documents.withColumn(changed, F.lit(False))
+        step = lambda frame, shared, _: map_batches(frame, lambda b: _cut_batch(b, text_col, shared.value, changed), frame.schema)
+        cut = written(_block_after_block(blocks_of(), flagged, step, "decontamination"), "decontamination")
+        again = not cut.where(F.col(changed)).isEmpty()
+        documents = cut.drop(changed)
+    return documents

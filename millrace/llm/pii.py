@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Bits, bitmap, map_batches, written
-from .textnp import ALNUM, LOWER, blocks, byte_table, rolling, span_hashes, string_bytes, word_spans
+from .textnp import ALNUM, LOWER, blocks, byte_table, hash_spans, string_bytes, word_spans
 
 KINDS = ("email", "ip", "card", "phone", "term")
 SLOT_BITS = 22
@@ -99,7 +99,7 @@ def _terms(low: np.ndarray, own: np.ndarray, least: int = 3) -> tuple[np.ndarray
     keep = (e - s >= least) & _LETTERS[low[s]] if len(s) else np.zeros(0, bool)
     doc = np.repeat(np.arange(len(own) - 1), np.diff(first))[keep]
     s, e = s[keep], e[keep]
-    return s, e, doc, (span_hashes(rolling(low), s, e) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+    return s, e, doc, (hash_spans(low, s, e) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 def _spots(part: np.ndarray, own: np.ndarray, j: int) -> list[tuple[int, int, int]]:
@@ -271,7 +271,7 @@ def _with_terms(frame: DataFrame, text: str, carry: str, terms: DataFrame) -> Da
         words = [np.frombuffer(w, np.uint8) for w in block]
         buf, ends = np.concatenate(words), np.cumsum([len(w) for w in words])
         slots = np.zeros(1 << SLOT_BITS, bool)
-        slots[(span_hashes(rolling(buf), ends - [len(w) for w in words], ends) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = True
+        slots[(hash_spans(buf, ends - [len(w) for w in words], ends) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)] = True
         shared = frame.sparkSession.sparkContext.broadcast((block, slots))
 
         def step(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:

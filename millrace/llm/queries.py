@@ -97,12 +97,12 @@ _JACCARD = f"""WITH RECURSIVE w AS (SELECT doc_id, {_words('[^ \\x09-\\x0D]+')}
   reach AS (SELECT doc_id AS a, doc_id AS b FROM n UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
 SELECT a AS doc_id, any_value(n) AS n_shingles, min(b) AS component_id FROM reach JOIN n ON n.doc_id = a GROUP BY 1"""
 _LEAKS = f"""WITH d AS (SELECT doc_id, {_words('[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')} AS w FROM documents),
-  i AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {_words('[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')} AS w FROM benchmark WHERE item_id IS NOT NULL) WHERE len(w) > 0),
+  i AS (SELECT item_id, w, least(10, len(w)) AS n FROM (SELECT item_id, {_words('[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')} AS w FROM benchmark) WHERE len(w) > 0),
   iw AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS p FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM i)),
   dw AS (SELECT doc_id, k, n, array_to_string(w[k:k + n - 1], ' ') AS p FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM i) WHERE len(w) >= n)),
   m AS (SELECT doc_id, k, dw.n AS n, item_id FROM dw JOIN iw ON dw.p = iw.p AND dw.n = iw.n),
   h AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS x FROM m) GROUP BY 1),
-  t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m) GROUP BY 1)
+  t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM m WHERE item_id IS NOT NULL) GROUP BY 1)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
 _ARCHIVED = """SELECT page_id, strlen(x)::BIGINT AS payload_bytes, CASE WHEN last = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN last <> page_id THEN last END AS refers_to, NULL::VARCHAR AS error,

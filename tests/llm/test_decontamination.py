@@ -27,8 +27,7 @@ def brute(rows, items, width=10):
     out = []
     by = {}
     for i, t in items:
-        if i is not None:
-            by.setdefault(str(i), set()).update(windows(t, width))
+        by.setdefault(None if i is None else str(i), set()).update(windows(t, width))
     for i, t in rows:
         w, hit, seen = words(t), set(), set()
         for name, own in by.items():
@@ -36,7 +35,7 @@ def brute(rows, items, width=10):
                 for k in range(len(w) - size + 1):
                     if tuple(w[k : k + size]) in own:
                         hit |= set(range(k, k + size))
-                        seen.add(name)
+                        seen |= {name} - {None}
         out.append((i is None, i or 0, len(w), len(hit), len(seen), hashlib.sha256(",".join(sorted(seen)).encode()).hexdigest(), bool(hit)))
     return sorted(out)
 
@@ -103,3 +102,24 @@ def test_fm_index_by_brute_force():
         for p, a, b in zip(phrases, low, high):
             want = [k for k in range(len(text) - size + 1) if (text[k : k + size] == p).all()]
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
+
+
+def test_words_that_collide_under_polynomials(spark):
+    for size in (1024, 4096):
+        one = "".join("ab"[bin(i).count("1") % 2] for i in range(size))
+        two = "".join("ba"[bin(i).count("1") % 2] for i in range(size))
+        rows, items = [(1, one), (2, two), (3, f"x {one} y")], [(7, one)]
+        assert got(find_contamination(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string"))) == brute(rows, items)
+
+
+def test_an_item_without_an_id_hits_but_is_not_named(spark):
+    items = spark.createDataFrame([(None, "alpha beta gamma")], "item_id long, text string")
+    row = find_contamination(documents(spark, [(1, "x alpha beta gamma y")]), items).first()
+    assert (row.n_hit, row.n_items, row.contaminated) == (3, 0, True)
+
+
+def test_a_text_of_some_megabytes(spark):
+    passage = prose(random.Random(5), 12, 60)
+    rows = [(1, prose(random.Random(4), 500_000, 5000) + " " + passage), (2, passage)]
+    found = {r.doc_id: (r.n_words, r.n_hit) for r in find_contamination(documents(spark, rows), spark.createDataFrame([(1, passage)], "item_id long, text string")).collect()}
+    assert found == {1: (500_012, 12), 2: (12, 12)}
