@@ -8,7 +8,7 @@ anchor, equal strips as one with a weight, and within each part of the anchors
 the transforms of small shards of strips are built and merged; the intervals
 with common prefixes of ``length`` bytes are the repeats.  Anchors with very
 many strips would be one task's work: their substrings are counted apart, by
-hash, which splits them over all tasks.
+digests of 128 bits, which splits them over all tasks.
 """
 
 from __future__ import annotations
@@ -18,12 +18,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bwt import repeated_starts
-from .shared import Bits, bitmap, map_batches, written
-from .textnp import BLOCK_BYTES, blocks, neighbour_hashes, rolling, span_hashes, string_bytes
+from .shared import Bits, Scratch, bitmap, map_batches
+from .textnp import BLOCK_BYTES, blocks, neighbour_hashes, rolling, string_bytes
 
 #: Bytes of a gram.
 GRAM = 32
@@ -37,12 +38,6 @@ _LOCAL_BYTES = 4 << 20
 HOT = 20_000
 
 
-def _grams(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix hashes of the block, and the hashes of all its grams."""
-    h = rolling(part)
-    return h, neighbour_hashes(h, GRAM)
-
-
 def _frequent(batch: pa.RecordBatch) -> pa.RecordBatch:
     """One gram in four, those that occur often within some MB of text."""
     buf, off = string_bytes(batch.column("text"))
@@ -51,7 +46,7 @@ def _frequent(batch: pa.RecordBatch) -> pa.RecordBatch:
         part = buf[off[a] : off[b]]
         found = []
         for c in range(0, len(part), 1 << 20):  # grams across documents do no harm: this is only an order
-            grams = _grams(part[c : c + (1 << 20) + GRAM - 1])[1]
+            grams = neighbour_hashes(rolling(part[c : c + (1 << 20) + GRAM - 1]), GRAM)
             found.append(grams[grams & np.uint64(3) == 0])
         values = np.sort(np.concatenate(found)) if found else keys[0]
         at = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else counts[0]
@@ -73,7 +68,7 @@ def _least(key: np.ndarray, width: int) -> np.ndarray:
 
 
 def _strips(part: np.ndarray, own: np.ndarray, length: int, frequent: Bits) -> tuple[np.ndarray, ...]:
-    """Strips of a block: document, start, end, anchor and content hash of each.
+    """Strips of a block: document, start, end and anchor of each.
 
     A long document is taken in pieces: a strip may end anywhere, as each
     substring lies in one strip.
@@ -82,13 +77,13 @@ def _strips(part: np.ndarray, own: np.ndarray, length: int, frequent: Bits) -> t
         pieces = []
         for c in range(0, len(part), BLOCK_BYTES):
             piece = part[c : c + BLOCK_BYTES + length - 1]
-            doc, begin, end, anchor, content = _strips(piece, np.array([0, len(piece)]), length, frequent)
-            pieces.append((doc, begin + c, end + c, anchor, content))
+            doc, begin, end, anchor = _strips(piece, np.array([0, len(piece)]), length, frequent)
+            pieces.append((doc, begin + c, end + c, anchor))
         return tuple(np.concatenate(x) for x in zip(*pieces))
-    h, grams = _grams(part)
+    grams = neighbour_hashes(rolling(part), GRAM)
     none = np.zeros(0, np.int64)
     if len(part) < length:
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64)
     # the order: one gram in four before the others, and of those, rare before frequent; then by hash
     order = grams >> np.uint64(2)
     chosen = np.flatnonzero(grams & np.uint64(3) == 0)
@@ -106,19 +101,19 @@ def _strips(part: np.ndarray, own: np.ndarray, length: int, frequent: Bits) -> t
     edge[own[inside + 1] - length + 1] -= 1
     starts = np.flatnonzero(np.cumsum(edge[: len(part) - length + 1], dtype=np.int8))
     if not len(starts):
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
+        return none, none, none, none.view(np.uint64)
     spot = spot[starts].astype(np.int64)
     new = np.append(True, (spot[1:] != spot[:-1]) | (starts[1:] != starts[:-1] + 1))
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(starts)) - 1
     begin, end = starts[first], starts[last] + length
     doc = np.searchsorted(own, begin, "right") - 1
-    return doc, begin - own[doc], end - own[doc], grams[spot[first]], span_hashes(h, begin, end)
+    return doc, begin - own[doc], end - own[doc], grams[spot[first]]
 
 
-def _text_keys(part: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """A hash of each whole text."""
-    return span_hashes(rolling(part), own[:-1], own[1:])
+def _names(part: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of each span: with its anchor or its size, it names a strip or a text."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(part[a:b]) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
 
 
 def _parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -128,13 +123,14 @@ def _parts(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]
 
 
 def _strip_rows(batch: pa.RecordBatch, length: int, frequent: Bits) -> pa.RecordBatch:
-    columns: list[list] = [[], [], [], []]
+    kinds = {"anchor": np.int64, "content": np.int64, "text_key": np.int64, "size": np.int64, "start": np.int32}
+    columns: list[list] = [[np.zeros(0, k)] for k in kinds.values()]
     for _, _, part, own in _parts(batch.column("text")):
-        doc, begin, _, anchor, content = _strips(part, own, length, frequent)
-        for column, x in zip(columns, (anchor.view(np.int64), content.view(np.int64), _text_keys(part, own)[doc].view(np.int64), begin.astype(np.int32))):
+        doc, begin, end, anchor = _strips(part, own, length, frequent)
+        content, keys = _names(part, own[doc] + begin, own[doc] + end), _names(part, own[:-1], own[1:])
+        for column, x in zip(columns, (anchor.view(np.int64), content.view(np.int64), keys[doc].view(np.int64), np.diff(own)[doc], begin.astype(np.int32))):
             column.append(x)
-    kinds = (np.int64, np.int64, np.int64, np.int32)
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c) if c else np.zeros(0, k)) for c, k in zip(columns, kinds)], ["anchor", "content", "text_key", "start"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], list(kinds))
 
 
 def _slots(values: np.ndarray, bits: int) -> np.ndarray:
@@ -149,12 +145,13 @@ def _distinct_strips(batch: pa.RecordBatch, length: int, frequent: Bits, repeate
     """[weight, bytes] of each strip with a repeated anchor, by anchor and content; of hot anchors or of the others."""
     found: dict[tuple[int, int], list] = {}
     for _, _, part, own in _parts(batch.column("text")):
-        for j in np.flatnonzero(involved[_slots(_text_keys(part, own), TEXT_BITS)]).tolist():
+        for j in np.flatnonzero(involved[_slots(_names(part, own[:-1], own[1:]), TEXT_BITS)]).tolist():
             text = part[own[j] : own[j + 1]]
-            _, begin, end, anchor, content = _strips(text, np.array([0, len(text)]), length, frequent)
+            _, begin, end, anchor = _strips(text, np.array([0, len(text)]), length, frequent)
             slot = _slots(anchor, ANCHOR_BITS)
-            for i in np.flatnonzero(repeated[slot] & (hot[slot] == of_hot)).tolist():
-                strip = found.get(name := (int(anchor[i]), int(content[i])))
+            some = np.flatnonzero(repeated[slot] & (hot[slot] == of_hot))
+            for i, content in zip(some.tolist(), _names(text, begin[some], end[some]).tolist()):
+                strip = found.get(name := (int(anchor[i]), content))
                 if strip:
                     strip[0] += 1
                 else:
@@ -171,15 +168,15 @@ def _strip_bytes(batch: pa.RecordBatch, *tables) -> pa.RecordBatch:
 
 
 def _strip_windows(batch: pa.RecordBatch, length: int, *tables) -> pa.RecordBatch:
-    """A row for each substring of ``length`` bytes in the strips of hot anchors: its hash and its place in the strip."""
+    """A row for each substring of ``length`` bytes in the strips of hot anchors: its digest of 128 bits and its place in the strip."""
     found = _distinct_strips(batch, length, *tables, True)
-    hashes = [neighbour_hashes(rolling(np.frombuffer(x[1], np.uint8)), length) for x in found.values()]
-    size = [len(h) for h in hashes]
+    digests = [[xxhash.xxh3_128_digest(x[1][k : k + length]) for k in range(len(x[1]) - length + 1)] for x in found.values()]
+    size = [len(h) for h in digests]
     names = np.repeat(np.array(list(found), np.uint64).reshape(-1, 2).view(np.int64), size, axis=0)
     starts = np.concatenate([np.arange(n, dtype=np.int32) for n in size] or [np.zeros(0, np.int32)])
-    values = np.concatenate(hashes or [np.zeros(0, np.uint64)]).view(np.int64)
+    values = [x for own in digests for x in own]
     weights = np.repeat(np.array([x[0] for x in found.values()], np.int64), size)
-    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(names[:, 0])), pa.array(np.ascontiguousarray(names[:, 1])), pa.array(weights), pa.array(starts), pa.array(values)], ["anchor", "content", "weight", "start", "window"])
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(names[:, 0])), pa.array(np.ascontiguousarray(names[:, 1])), pa.array(weights), pa.array(starts), pa.array(values, pa.binary())], ["anchor", "content", "weight", "start", "window"])
 
 
 _RUNS = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
@@ -278,43 +275,48 @@ def _removed(batch: pa.RecordBatch) -> pa.RecordBatch:
 
 
 def _keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
-    keys = [np.zeros(0, np.uint64)]
+    keys, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for _, _, part, own in _parts(batch.column("text")):
-        keys.append(_text_keys(part, own))
-    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(np.concatenate(keys).view(np.int64))], ["doc_id", "text", "text_key"])
+        keys.append(_names(part, own[:-1], own[1:]))
+        sizes.append(np.diff(own))
+    return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text"), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sizes))], ["doc_id", "text", "text_key", "size"])
 
 
 def repeated_spans(texts: DataFrame, length: int = 200) -> DataFrame:
-    """(text_key, spans): byte ranges of each distinct text that are covered by repeated substrings.
+    """(text_key, size, spans): byte ranges of each distinct text that are covered by repeated substrings.
 
     ``texts`` has the column text.
     """
     spark = texts.sparkSession
     often = map_batches(texts.select("text"), _frequent, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     frequent = spark.sparkContext.broadcast(bitmap(often.select(F.shiftrightunsigned("gram", 64 - FREQUENT_BITS).alias("slot")), "slot", FREQUENT_BITS))
-    strips = map_batches(texts.select("text"), lambda b: _strip_rows(b, length, frequent.value), "anchor long, content long, text_key long, start int")
-    strips = written(strips, "repeats-strips")
-    counts = written(strips.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeats-anchors")
+    strips = map_batches(texts.select("text"), lambda b: _strip_rows(b, length, frequent.value), "anchor long, content long, text_key long, size long, start int")
+    scratch = Scratch(spark, "repeats")
+    strips = scratch.write("strips", strips)
+    counts = scratch.write("anchors", strips.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     twice = counts.select("anchor")
     share = spark.sparkContext.broadcast
     repeated = share(bitmap(twice.select(F.shiftrightunsigned("anchor", 64 - ANCHOR_BITS).alias("slot")), "slot", ANCHOR_BITS))
     hot = share(bitmap(counts.where(F.col("n") > HOT).select(F.shiftrightunsigned("anchor", 64 - ANCHOR_BITS).alias("slot")), "slot", ANCHOR_BITS))
     placed = map_batches(strips, lambda b: _anchored(b, repeated.value), strips.schema).distinct()
-    placed = written(placed.join(twice, "anchor", "left_semi"), "repeats-anchored")
+    placed = scratch.write("anchored", placed.join(twice, "anchor", "left_semi"))
+    scratch.clear("strips")
     involved = share(bitmap(placed.select(F.shiftrightunsigned("text_key", 64 - TEXT_BITS).alias("slot")), "slot", TEXT_BITS))
     tables = lambda: (length, frequent.value, repeated.value, hot.value, involved.value)
     data = map_batches(texts.select("text"), lambda b: _strip_bytes(b, *tables()), "anchor long, content long, weight long, bytes binary")
     ordered = data.repartition("anchor").sortWithinPartitions("anchor", "content")
     merged = ordered.mapInArrow(lambda batches: _merge_parts(batches, length), _MERGED)
     if hot.value.any():
-        windows = map_batches(texts.select("text"), lambda b: _strip_windows(b, *tables()), "anchor long, content long, weight long, start int, window long")
-        windows = written(windows, "repeats-windows")
+        windows = map_batches(texts.select("text"), lambda b: _strip_windows(b, *tables()), "anchor long, content long, weight long, start int, window binary")
+        windows = scratch.write("windows", windows)
         again = windows.groupBy("window").agg(F.sum("weight").alias("n")).where("n > 1").select("window")
         starts = windows.join(again, "window", "left_semi").groupBy("anchor", "content").agg(F.collect_set("start").alias("starts"))
         merged = merged.union(map_batches(starts, lambda b: _window_runs(b, length), _MERGED))
-    merged = written(merged, "repeats-merged")
-    ranges = placed.join(merged, ["anchor", "content"]).select("text_key", F.explode(F.transform("runs", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b")))).alias("r"))
-    return written(ranges.groupBy("text_key").agg(F.collect_list("r").alias("spans")), "repeats-spans")
+    merged = scratch.write("merged", merged)
+    ranges = placed.join(merged, ["anchor", "content"]).select("text_key", "size", F.explode(F.transform("runs", lambda r: F.struct((r["a"] + F.col("start")).alias("a"), (r["b"] + F.col("start")).alias("b")))).alias("r"))
+    spans = scratch.write("spans", ranges.groupBy("text_key", "size").agg(F.collect_list("r").alias("spans")))
+    scratch.clear(*[name for name in scratch.paths if name != "spans"])
+    return spans
 
 
 def remove_repeats(documents: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,7 +327,8 @@ def remove_repeats(documents: DataFrame, length: int = 200, id_col: str = "doc_i
     documents and are judged on the texts as they are.  A null text counts as
     empty; copies of a text of ``length`` bytes or more, repeated rows among
     them, lose all bytes; shorter texts stay; no rows give no rows; other
-    columns are ignored.  Returns doc_id, n_bytes, n_removed, n_spans,
+    columns are ignored, whatever their names.  A very long text is cut into
+    strips piece by piece.  Returns doc_id, n_bytes, n_removed, n_spans,
     kept_sha256.
     """
     texts = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -333,7 +336,7 @@ def remove_repeats(documents: DataFrame, length: int = 200, id_col: str = "doc_i
     spans = repeated_spans(texts, length)
     spark = documents.sparkSession
     flagged = spark.sparkContext.broadcast(bitmap(spans.select(F.shiftrightunsigned("text_key", 64 - TEXT_BITS).alias("slot")), "slot", TEXT_BITS))
-    keyed = f"doc_id {kind}, text string, text_key long"
+    keyed = f"doc_id {kind}, text string, text_key long, size long"
 
     def some(batch: pa.RecordBatch, which: bool) -> pa.RecordBatch:
         keys = _keyed(batch)
@@ -343,5 +346,5 @@ def remove_repeats(documents: DataFrame, length: int = 200, id_col: str = "doc_i
     empty = F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans")
     # only texts with something to remove are moved to their ranges
     clean = map_batches(texts, lambda b: some(b, False), keyed).select("doc_id", "text", empty)
-    rest = map_batches(texts, lambda b: some(b, True), keyed).join(spans, "text_key", "left").select("doc_id", "text", "spans")
+    rest = map_batches(texts, lambda b: some(b, True), keyed).join(spans, ["text_key", "size"], "left").select("doc_id", "text", "spans")
     return map_batches(clean, _removed, result).union(map_batches(rest, _removed, result))

@@ -67,3 +67,21 @@ def test_one_anchor_with_many_strips():
 
 def test_empty_table(spark):
     assert remove_repeats(documents(spark, [])).count() == 0
+
+
+def test_texts_that_collide_under_polynomials(spark):
+    rows = []
+    for i, size in enumerate((1024, 4096)):
+        one = "".join("ab"[bin(k).count("1") % 2] for k in range(size))
+        two = "".join("ba"[bin(k).count("1") % 2] for k in range(size))
+        rows += [(2 * i, f"only one {one}"), (2 * i + 1, f"only two {two}")]
+    for length in (64, 200):
+        assert got(remove_repeats(documents(spark, rows), length)) == brute(rows, length)
+
+
+def test_a_text_that_is_cut_into_pieces(spark):
+    rng = random.Random(7)
+    passage = prose(rng, 60)
+    long = "".join(rng.choice("abcdefghij ") for _ in range(600_000))
+    rows = [(1, long[:262_000] + passage + long[262_000:]), (2, passage), (3, long[500_000:500_300] + "ż"), (4, long[262_100:262_350])]
+    assert got(remove_repeats(documents(spark, rows), 200)) == brute(rows, 200)
