@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -69,32 +71,52 @@ def text_metrics(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
 
 
-def thresholds(measured: DataFrame, min_rows: int = 100, spread: float = 6.0, k: int = 400) -> DataFrame:
-    """Fences of each metric for each language and source, from mergeable KLL sketches.
+#: Ratio of neighbouring bin edges of the quantile sketches: quantiles are right to one per cent.
+GAMMA = 1.02
+_PER_BIN = 1 / math.log(GAMMA)
+_ZERO = -1_000_000
+
+
+def _bin(x: Column) -> Column:
+    return F.when(x > 0, F.ceil(F.log(x) * F.lit(_PER_BIN)).cast("int")).otherwise(F.lit(_ZERO))
+
+
+def _fences(sketch: DataFrame, keys: list[str], spread: float) -> DataFrame:
+    """Per key and metric: n, low and high, from the merged bins."""
+    merged = sketch.groupBy(*keys, "metric", "bin").agg(F.sum("n").alias("n"))
+    own = Window.partitionBy(*keys, "metric")
+    ranked = merged.withColumn("upto", F.sum("n").over(own.orderBy("bin"))).withColumn("total", F.sum("n").over(own))
+    at = lambda q: F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.lit(q) * F.col("total"))), F.col("bin")))
+    value = lambda b: F.when(F.col(b) == _ZERO, 0.0).otherwise(F.pow(F.lit(GAMMA), F.col(b) - 0.5))
+    found = ranked.groupBy(*keys, "metric").agg(F.first("total").alias("n"), at(0.05).alias("q05"), at(0.5).alias("q50"), at(0.95).alias("q95"))
+    least = F.create_map(*[F.lit(x) for m, (wide, _) in METRICS.items() for x in (m, wide)])[F.col("metric")]
+    return found.select(*keys, "metric", "n", (value("q50") - spread * F.greatest(value("q50") - value("q05"), least)).alias("low"), (value("q50") + spread * F.greatest(value("q95") - value("q50"), least)).alias("high"))
 
-    A group with fewer than ``min_rows`` documents takes the fences of its
-    language, and a small language those of all documents; both come from
-    merging the groups' sketches.  A fence lies ``spread`` times the distance
-    from the median to the outer 5 % away from the median.
+
+def thresholds(measured: DataFrame, weight: float = 100.0, spread: float = 6.0) -> DataFrame:
+    """Fences of each metric for each language and source, from mergeable quantile sketches.
+
+    A sketch counts values in bins of equal ratio, so it holds at most some
+    thousand numbers for a group, merges by adding and does not depend on the
+    order or the place of rows.  A fence lies ``spread`` times the distance
+    from the median to the outer 5 % away from the median.  The fences of a
+    group of n documents count n / (n + ``weight``), the rest are those of its
+    language, which lean on those of all documents in the same way.
     """
-    groups = measured.groupBy("lang", "source").agg(*[F.kll_sketch_agg_double(m, F.lit(k)).alias(m) for m in METRICS])
-    groups = written(groups, "quality-sketches")
-    merged = [F.kll_merge_agg_double(m).alias(m) for m in METRICS]
-    langs = groups.groupBy("lang").agg(*merged).select(F.col("lang").alias("of"), F.struct(*METRICS).alias("by_lang"))
-    every = groups.agg(*merged).select(F.lit(1).alias("one"), F.struct(*METRICS).alias("by_all"))
-    level = groups.select("lang", "source", F.struct(*METRICS).alias("by_group"), F.lit(1).alias("one"))
-    level = level.join(langs, F.col("lang").eqNullSafe(F.col("of"))).join(every, "one")
-
-    def fences(m: str) -> list[Column]:
-        counted = lambda s: F.coalesce(F.kll_sketch_get_n_double(s), F.lit(0))
-        sketch = F.when(counted(F.col("by_group")[m]) >= min_rows, F.col("by_group")[m]).when(counted(F.col("by_lang")[m]) >= min_rows, F.col("by_lang")[m]).otherwise(F.col("by_all")[m])
-        at = lambda q: F.when(counted(sketch) > 0, F.kll_sketch_get_quantile_double(sketch, F.lit(q)))
-        least, both = METRICS[m]
-        high = at(0.5) + spread * F.greatest(at(0.95) - at(0.5), F.lit(least))
-        low = at(0.5) - spread * F.greatest(at(0.5) - at(0.05), F.lit(least)) if both else F.lit(None).cast("double")
-        return [low.alias(f"{m}_low"), high.alias(f"{m}_high")]
-
-    return written(level.select("lang", "source", *[c for m in METRICS for c in fences(m)]), "quality-thresholds")
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("x")) for m in METRICS]))
+    bins = measured.select("lang", "source", each.alias("m")).where(F.col("m.x").isNotNull()).select("lang", "source", "m.metric", _bin(F.col("m.x")).alias("bin"))
+    sketch = written(bins.groupBy("lang", "source", "metric", "bin").agg(F.count(F.lit(1)).alias("n")), "quality-sketches")
+    group, lang, every = _fences(sketch, ["lang", "source"], spread).alias("g"), _fences(sketch, ["lang"], spread).alias("l"), _fences(sketch, [], spread).alias("a")
+    joined = group.join(lang, F.col("g.lang").eqNullSafe(F.col("l.lang")) & (F.col("g.metric") == F.col("l.metric"))).join(every, F.col("g.metric") == F.col("a.metric"))
+
+    def shrunk(side: str) -> Column:
+        share = lambda t: F.col(f"{t}.n").cast("double") / (F.col(f"{t}.n") + F.lit(weight))
+        of_lang = share("l") * F.col(f"l.{side}") + (1.0 - share("l")) * F.col(f"a.{side}")
+        return share("g") * F.col(f"g.{side}") + (1.0 - share("g")) * of_lang
+
+    fences = joined.select("g.lang", "g.source", "g.metric", shrunk("low").alias("low"), shrunk("high").alias("high"))
+    wide = fences.groupBy("lang", "source").pivot("metric", list(METRICS)).agg(F.first("low").alias("low"), F.first("high").alias("high"))
+    return written(wide, "quality-thresholds")
 
 
 def quality_verdicts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", **options) -> DataFrame:
@@ -102,9 +124,10 @@ def quality_verdicts(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     The counts are written once, sketched by (language, source) and joined to
     the fences that follow from them.  Only documents that pass the base rule
-    are sketched.  A null language or source is a group like any other; a null
+    are sketched.  The verdict depends on the rows alone, not on their order.  A null language or source is a group like any other; a null
     or empty text has no words and fails the base rule; repeated rows each
-    keep theirs; no rows give no rows; other columns are ignored.
+    keep theirs; no rows give no rows; other columns are ignored,
+    whatever their names; a very long text is one row's arrays of its words.
     """
     counts = text_metrics(documents, id_col, text_col, lang_col, source_col)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
@@ -116,6 +139,8 @@ def quality_verdicts(documents: DataFrame, id_col: str = "doc_id", text_col: str
     fences = thresholds(measured.where(~F.col("base_failed")), **options).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
     inside = F.lit(True)
     for m in METRICS:
-        inside &= F.coalesce(F.col(m) <= F.col(f"{m}_high"), F.lit(True)) & F.coalesce(F.col(m) >= F.col(f"{m}_low"), F.lit(True))
+        inside &= F.coalesce(F.col(m) <= F.col(f"{m}_high"), F.lit(True))
+        if METRICS[m][1]:
+            inside &= F.coalesce(F.col(m) >= F.col(f"{m}_low"), F.lit(True))
     joined = measured.join(fences, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & inside).alias("kept"))

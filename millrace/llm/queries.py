@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import quality
 from .decontamination import find_contamination
 from .quality import quality_verdicts
 from .jaccard import near_duplicates
@@ -109,5 +110,33 @@ _ARCHIVED = """SELECT page_id, strlen(x)::BIGINT AS payload_bytes, CASE WHEN las
   array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (('0x' || substr(h, ((i // 4) * 5 + 1)::INTEGER, 5))::BIGINT >> (15 - 5 * (i % 4))::INTEGER & 31)::INTEGER + 1, 1)), '') AS payload_digest
 FROM (SELECT page_id, coalesce(html, '') AS x, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)"""
 
+
+
+def _quality() -> str:
+    value = lambda b: f"CASE WHEN {b} = {quality._ZERO} THEN 0.0::DOUBLE ELSE pow({quality.GAMMA}::DOUBLE, {b} - 0.5::DOUBLE) END"
+    least = "CASE metric " + " ".join(f"WHEN '{m}' THEN {wide}::DOUBLE" for m, (wide, _) in quality.METRICS.items()) + " END"
+
+    def fences(keys: str) -> str:
+        own = f"PARTITION BY {keys} metric"
+        at = lambda q: f"min(bin) FILTER (WHERE upto >= greatest(1, ceil({q}::DOUBLE * total)))"
+        return f"""SELECT {keys} metric, n, {value('q50')} - 6.0::DOUBLE * greatest({value('q50')} - {value('q05')}, {least}) AS low, {value('q50')} + 6.0::DOUBLE * greatest({value('q95')} - {value('q50')}, {least}) AS high
+    FROM (SELECT {keys} metric, any_value(total) AS n, {at(0.05)} AS q05, {at(0.5)} AS q50, {at(0.95)} AS q95 FROM (SELECT *, sum(n) OVER ({own} ORDER BY bin) AS upto, sum(n) OVER ({own}) AS total FROM (SELECT {keys} metric, bin, sum(n) AS n FROM sketch GROUP BY ALL)) GROUP BY ALL)"""
+
+    share = lambda t: f"({t}.n::DOUBLE / ({t}.n + 100.0::DOUBLE))"
+    shrunk = lambda side: f"{share('g')} * g.{side} + (1.0::DOUBLE - {share('g')}) * ({share('l')} * l.{side} + (1.0::DOUBLE - {share('l')}) * a.{side}) AS {side}"
+    both = " OR ".join(f"metric = '{m}'" for m, (_, low) in quality.METRICS.items() if low)
+    return f"""WITH d AS (SELECT doc_id, lang, source, row_number() OVER () AS k, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\x09-\\x0D]')) AS lines FROM documents),
+  win AS (SELECT k, i, array_to_string(w[i:i + 7], ' ') AS p FROM (SELECT k, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+  rep AS (SELECT k, count(DISTINCT x) AS n FROM (SELECT k, unnest(range(i, i + 8)) AS x FROM (SELECT k, i, count(*) OVER (PARTITION BY k, p) AS often FROM win) WHERE often > 1) GROUP BY 1),
+  c AS (SELECT d.k, doc_id, lang, source, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN rep USING (k)),
+  f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM c),
+  m AS (SELECT k, lang, source, base_failed, unnest([{', '.join(f"'{m}'" for m in quality.METRICS)}]) AS metric, unnest([n_symbols::DOUBLE / nullif(word_chars, 0), n_dup_lines::DOUBLE / nullif(n_lines, 0), n_repeat_words::DOUBLE / nullif(n_words, 0), word_chars::DOUBLE / nullif(n_words, 0)]) AS x FROM f),
+  sketch AS (SELECT lang, source, metric, CASE WHEN x > 0 THEN ceil(ln(x) * {quality._PER_BIN!r}::DOUBLE)::INTEGER ELSE {quality._ZERO} END AS bin, count(*) AS n FROM m WHERE NOT base_failed AND x IS NOT NULL GROUP BY ALL),
+  g AS ({fences('lang, source,')}), l AS ({fences('lang,')}), a AS ({fences('')}),
+  t AS (SELECT g.lang, g.source, g.metric, {shrunk('low')}, {shrunk('high')} FROM g JOIN l ON g.lang IS NOT DISTINCT FROM l.lang AND g.metric = l.metric JOIN a ON g.metric = a.metric),
+  odd AS (SELECT DISTINCT k FROM m JOIN t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source AND m.metric = t.metric WHERE x > high OR (({both.replace('metric', 'm.metric')}) AND x < low))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND odd.k IS NULL AS kept FROM f LEFT JOIN odd USING (k)"""
+
+
 #: The other operators learn, sketch, hash or tokenise in ways that DuckDB has no function for; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op3_ngram_jaccard": _JACCARD, "op7_warc": _ARCHIVED, "op9_decontamination": _LEAKS}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": _quality(), "op3_ngram_jaccard": _JACCARD, "op7_warc": _ARCHIVED, "op9_decontamination": _LEAKS}

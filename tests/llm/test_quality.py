@@ -1,8 +1,9 @@
+import math
 import random
 import re
 from collections import Counter
 
-from millrace.llm.quality import quality_verdicts
+from millrace.llm.quality import quality_verdicts, thresholds
 
 from .edge import awkward, documents, prose
 
@@ -39,3 +40,19 @@ def test_odd_documents_of_a_group_go_and_clean_ones_stay(spark):
 
 def test_empty_table(spark):
     assert quality_verdicts(documents(spark, [])).count() == 0
+
+
+def test_the_verdict_does_not_depend_on_partitions(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    runs = [sorted((r.doc_id, r.kept) for r in quality_verdicts(table.repartition(n)).collect()) for n in (1, 7)]
+    assert runs[0] == runs[1]
+
+
+def test_quantiles_are_right_to_a_hundredth(spark):
+    rng = random.Random(6)
+    values = [rng.lognormvariate(0, 2) for _ in range(500)]
+    frame = spark.createDataFrame([("en", "web", x, x, x, x) for x in values], "lang string, source string, symbol_ratio double, dup_line_ratio double, repeat_ratio double, mean_word double")
+    row = thresholds(frame, weight=0.0).first()
+    q = lambda p: sorted(values)[math.ceil(p * len(values)) - 1]
+    low, high = q(0.5) - 6 * max(q(0.5) - q(0.05), 0.25), q(0.5) + 6 * max(q(0.95) - q(0.5), 0.25)
+    assert abs(row.mean_word_high - high) < 0.01 * (q(0.5) + 6 * (q(0.95) + q(0.5))) and abs(row.mean_word_low - low) < 0.01 * (q(0.5) + 12 * q(0.5))
