@@ -8,10 +8,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import map_batches, new_path
+from .shared import map_batches, shared_dir
 from .textnp import blocks, string_bytes
 
 _SCHEMA = "content string, tokenizer string, n_tokens long"
@@ -50,16 +51,23 @@ def _encode(batch: pa.RecordBatch, path: str, version: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("content"), pa.array([version] * n, pa.string()), pa.array(out)], ["content", "tokenizer", "n_tokens"])
 
 
-def _exists(spark, path: str) -> bool:
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there)
+def _known(spark, cache_dir: str, version: str) -> DataFrame | None:
+    """Counts of a tokenizer's version in the cache; none where there is no cache yet."""
+    try:
+        table = spark.read.schema(_SCHEMA).parquet(cache_dir)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return table.where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
 
 
 def count_tokens(documents: DataFrame, tokenizer: str, cache_dir: str | None = None, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokens of each whole text; texts that the cache knows are not encoded again.
 
     ``cache_dir`` holds a Parquet table (content, tokenizer, n_tokens), by
-    default a new one in the shared folder.  Content is named by the SHA-256
+    default one in the shared folder, of this tokenizer's version, that later
+    runs find again.  Content is named by the SHA-256
     of its bytes: tokenizers normalise in ways of their own, so any other
     normalisation could change a count.  One row of each content that is
     missing under this tokenizer's version is encoded, its count appended, and
@@ -72,20 +80,15 @@ def count_tokens(documents: DataFrame, tokenizer: str, cache_dir: str | None = N
     """
     spark = documents.sparkSession
     version = tokenizer_version(tokenizer)
-    cache_dir = cache_dir or new_path(spark, "token-cache")
+    cache_dir = cache_dir or f"{shared_dir(spark)}/millrace/token-cache/{version[:16]}"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     named = documents.select(F.col(id_col).alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("content"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
 
-    def known() -> DataFrame:
-        table = spark.read.schema(_SCHEMA).parquet(cache_dir)
-        return table.where(F.col("tokenizer") == version).groupBy("content").agg(F.max("n_tokens").alias("n_tokens"))
-
-    missing = named
-    if _exists(spark, cache_dir):
-        missing = named.join(known(), "content", "left_anti")
+    known = _known(spark, cache_dir, version)
+    missing = named if known is None else named.join(known, "content", "left_anti")
     # one row of each content; copies are combined before the shuffle
     first = missing.groupBy("content").agg(F.first("text").alias("text"))
     encoded = map_batches(first, lambda b: _encode(b, tokenizer, version), _SCHEMA)
     encoded.write.mode("append").parquet(cache_dir)
-    counted = named.drop("text").join(known(), "content")
+    counted = named.drop("text").join(_known(spark, cache_dir, version), "content")
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

@@ -3,7 +3,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from millrace.llm.tokencount import count_tokens
+from millrace.llm.tokencount import count_tokens, tokenizer_version
 
 from .edge import awkward, documents
 
@@ -47,6 +47,17 @@ def test_only_misses_are_encoded_and_appended(spark, tmp_path):
     assert sorted(map(str, again.collect())) == sorted(map(str, count_tokens(documents(spark, more), MODEL, cache).collect()))
 
 
+def test_a_second_run_of_the_query_encodes_nothing(spark, sf_dir):
+    from millrace.llm.queries import op6_token_counts
+    from millrace.llm.shared import shared_dir
+
+    path = f"{shared_dir(spark)}/millrace/token-cache/{tokenizer_version(MODEL)[:16]}"
+    first = sorted(map(tuple, op6_token_counts(spark, sf_dir).collect()))
+    encoded = spark.read.parquet(path).count()
+    assert sorted(map(tuple, op6_token_counts(spark, sf_dir).collect())) == first
+    assert spark.read.parquet(path).count() == encoded > 0
+
+
 def test_empty_table(spark):
     assert count_tokens(documents(spark, []), MODEL).count() == 0
 
