@@ -33,11 +33,13 @@ from .textnp import blocks, digests, mix, shingle_sets, string_bytes
 #: Groups of one list that meet in one task; longer lists are met block by block.
 BLOCK = 512
 #: Sizes of the tables that tasks hold, as powers of two in bits, whatever the input.
-FREQUENT_BITS, WANTED_BITS, LISTED_BITS = 25, 25, 27
+FREQUENT_BITS, WANTED_BITS = 25, 25
 #: Occurrences from which a shingle may count as frequent; the least power of two that leaves ``MOST_FREQUENT`` of them.
 FREQUENT, MOST_FREQUENT = 8, 1 << 22
-#: Shingles are counted by the first bits of their hashes, in passes that each take a part of them and bound the disk.
-COUNT_BITS, COUNT_PASSES = 40, 2
+#: Bits of a shingle's hash by which it is counted.
+COUNT_BITS = 40
+#: Counts and index are made in passes that each take a part of the shingles, which bounds the disk.
+PASSES = 2
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -53,7 +55,7 @@ def _slots(values: np.ndarray, bits: int) -> np.ndarray:
 
 def _counted(batch: pa.RecordBatch, width: int, part: int) -> pa.RecordBatch:
     """The shingles of a batch that belong to a pass, and in how many of its documents each is."""
-    found = [(v >> np.uint64(64 - COUNT_BITS))[v % np.uint64(COUNT_PASSES) == part] for _, v, _ in _sets(batch.column("text"), width)]
+    found = [(v >> np.uint64(64 - COUNT_BITS))[v % np.uint64(PASSES) == part] for _, v, _ in _sets(batch.column("text"), width)]
     values, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(count.astype(np.int32))], ["shingle", "n"])
 
@@ -65,7 +67,7 @@ def _frequent(texts: DataFrame, scratch: Scratch, width: int) -> Bits:
     taken, the most frequent, so the table never fills.
     """
     counts = []
-    for part in range(COUNT_PASSES):
+    for part in range(PASSES):
         seen = map_batches(texts.select("text"), lambda b, part=part: _counted(b, width, part), "shingle long, n int")
         counts.append(scratch.write(f"frequent-{part}", seen.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)))
     often = reduce(DataFrame.union, counts)
@@ -77,7 +79,6 @@ def _frequent(texts: DataFrame, scratch: Scratch, width: int) -> Bits:
             least = 2 << k
             break
     found = bitmap(often.where(F.col("n") >= least).select(F.shiftrightunsigned("shingle", COUNT_BITS - FREQUENT_BITS).alias("slot")), "slot", FREQUENT_BITS)
-    scratch.clear(*[f"frequent-{part}" for part in range(COUNT_PASSES)])
     return found
 
 
@@ -142,22 +143,15 @@ def _describe(batch: pa.RecordBatch, width: int, percent: int, frequent: Bits) -
     return pa.RecordBatch.from_arrays(arrays, ["doc_id", "slot", "text_key", "n", "cid", "gid", "bits", "prefix"])
 
 
-def _list_slots(batch: pa.RecordBatch, wanted: Bits) -> pa.RecordBatch:
-    """The slot of each shingle in the prefixes of wanted documents; mixed, as prefixes hold the least hashes."""
-    batch = batch.filter(pa.array(wanted[batch.column("slot").to_numpy()]))
-    values = batch.column("prefix").flatten().to_numpy().view(np.uint64)
-    return pa.RecordBatch.from_arrays([pa.array(_slots(mix(values), LISTED_BITS).astype(np.int32))], ["list"])
-
-
-def _entries(batch: pa.RecordBatch, wanted: Bits, listed: Bits) -> pa.RecordBatch:
-    """(shingle, group, size, place in the prefix) of wanted documents, without shingles that stand alone in their slot."""
+def _entries(batch: pa.RecordBatch, wanted: Bits, part: int) -> pa.RecordBatch:
+    """(shingle, group, size, place in the prefix) of wanted documents, for the shingles of a pass."""
     batch = batch.filter(pa.array(wanted[batch.column("slot").to_numpy()]))
     lists = batch.column("prefix")
     cut = lists.offsets.to_numpy()
     length = np.diff(cut)
     values = lists.flatten().to_numpy()
     place = np.arange(len(values)) - np.repeat(cut[:-1] - cut[0], length)
-    keep = listed[_slots(mix(values.view(np.uint64)), LISTED_BITS)]
+    keep = values.view(np.uint64) % np.uint64(PASSES) == part
     each = lambda c, kind: np.repeat(batch.column(c).to_numpy(), length)[keep].astype(kind)
     return pa.RecordBatch.from_arrays([pa.array(values[keep]), pa.array(each("gid", np.int64)), pa.array(each("n", np.int32)), pa.array(place[keep].astype(np.int32))], ["s", "gid", "n", "at"])
 
@@ -221,12 +215,14 @@ def _verified(texts: DataFrame, described: DataFrame, classes: DataFrame, pairs:
     parities = map_batches(described.select("slot", "cid", "n", "bits"), of_one, "cid binary, n long, bits binary")
     parities = scratch.write(f"{name}-parities", parities.join(known.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]))
     left = scratch.write(f"{name}-left", map_batches(joined(pairs, parities, ("n", "n", "o"), ("bits", "x", "y")), lambda b: _possible(b, percent), "a binary, b binary"))
-    scratch.clear(f"{name}-pairs", f"{name}-known", f"{name}-parities")
+    one.destroy()
+    scratch.clear(f"{name}-parities")
     known, two = involved(left, "compared")
     whole = map_batches(texts, lambda b: _wanted_texts(b, width, two.value), "cid binary, text string")
     whole = scratch.write(f"{name}-texts", whole.join(known.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]))
     links = scratch.write(f"{name}-links", map_batches(joined(left, whole, ("text", "x", "y")), lambda b: _verify(b, width, percent), "a binary, b binary"))
-    scratch.clear(f"{name}-left", f"{name}-compared", f"{name}-texts")
+    two.destroy()
+    scratch.clear(f"{name}-texts")
     return links
 
 
@@ -246,15 +242,18 @@ def _roots(texts: DataFrame, described: DataFrame, classes: DataFrame, scratch:
     share = texts.sparkSession.sparkContext.broadcast
     groups = scratch.write("groups", classes.groupBy("gid").agg(F.min("cid").alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("k")))
     chosen = share(bitmap(classes, "slot", WANTED_BITS))
-    # the index: only shingles in the prefixes of two groups or more; most others are known by their slot before they move
+    # the index: only shingles in the prefixes of two groups or more
     prefixed = described.select("slot", "gid", "n", "prefix")
-    lists = map_batches(prefixed, lambda b: _list_slots(b, chosen.value), "list int").groupBy("list").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
-    listed = share(bitmap(lists, "list", LISTED_BITS))
-    raw = map_batches(prefixed, lambda b: _entries(b, chosen.value, listed.value), "s long, gid long, n int, at int")
-    raw = scratch.write("index", raw.groupBy("s", "gid", "n").agg(F.min("at").alias("at")))
-    lists = raw.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("at", "gid", "n")).alias("hub")).where("m > 1")
-    entries = scratch.write("entries", raw.join(lists, "s"))
-    scratch.clear("index")
+    parts = []
+    for part in range(PASSES):
+        raw = scratch.write(f"index-{part}", map_batches(prefixed, lambda b, part=part: _entries(b, chosen.value, part), "s long, gid long, n int, at int"))
+        twice = raw.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("s")
+        parts.append(scratch.write(f"shared-{part}", raw.join(twice, "s", "left_semi")))
+        scratch.clear(f"index-{part}")
+    each = reduce(DataFrame.union, parts).groupBy("s", "gid", "n").agg(F.min("at").alias("at"))
+    lists = each.groupBy("s").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("at", "gid", "n")).alias("hub")).where("m > 1")
+    entries = scratch.write("entries", each.join(lists, "s"))
+    chosen.destroy()
     members = classes.select("gid", "cid")
 
     # first round: each list's hub with the others, of it one class with all of theirs
@@ -301,7 +300,7 @@ def _roots(texts: DataFrame, described: DataFrame, classes: DataFrame, scratch:
     joined = tied.join(upper, F.col("root") == F.col("up"), "left").select("node", F.coalesce("top", "root").alias("root"))
     alone = upper.join(tied, F.col("up") == F.col("node"), "left_anti").select(F.col("up").alias("node"), F.col("top").alias("root"))
     roots = scratch.write("components", joined.union(alone))
-    scratch.clear("groups", "star", "first-links", "tied", "rooted", "group-roots", "mixed", "second-links", "between", "upper")
+    scratch.clear("mixed", *[f"shared-{part}" for part in range(PASSES)])
     return roots
 
 
@@ -317,7 +316,8 @@ def _components(documents: DataFrame, scratch: Scratch, width: int, percent: int
     roots = _roots(texts, described, classes, scratch, width, percent)
     sizes = scratch.write("sizes", described.select("doc_id", "text_key", "n", "cid"))
     named = scratch.write("named", classes.select("cid").join(roots, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root")))
-    scratch.clear("sets", "classes", "components")
+    frequent.destroy()
+    scratch.clear("sets")
     return sizes, named
 
 
