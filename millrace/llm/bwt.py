@@ -27,8 +27,8 @@ class Shard:
     last: np.ndarray
 
 
-def _refine(place: np.ndarray, block: np.ndarray, new: np.ndarray, deep: int, step: int) -> None:
-    """Blocks of suffixes with ``deep`` common symbols become blocks with ``deep + step``, in place.
+def _refine(place: np.ndarray, block: np.ndarray, new: np.ndarray, step: int) -> None:
+    """Blocks of suffixes with some common symbols become blocks with ``step`` more, in place.
 
     ``block`` has for each text position the start of its suffix's block.  Only
     blocks of two suffixes or more are touched: there, the suffixes are put in
@@ -39,13 +39,15 @@ def _refine(place: np.ndarray, block: np.ndarray, new: np.ndarray, deep: int, st
     if not len(at):
         return
     x = place[at]
-    key = block[x] << np.int64(32) | block[x + step]
-    order = np.argsort(key, kind="stable")
+    key = np.cumsum(new[at], dtype=np.int64)
+    key <<= np.int64(32)
+    key |= block[x + step]
+    order = np.argsort(key, kind="stable")  # runs by block, so nearly sorted
     x, key = x[order], key[order]
     place[at] = x
     fresh = np.append(True, key[1:] != key[:-1])
     new[at[fresh]] = True
-    block[x] = at[np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))]
+    block[x] = np.maximum.accumulate(np.where(fresh, at, 0))
 
 
 def make_shard(strings: list[np.ndarray]) -> Shard:
@@ -62,15 +64,17 @@ def make_shard(strings: list[np.ndarray]) -> Shard:
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key |= np.where(left > k, text[k : n + k], 0).astype(np.uint64) << np.uint64(56 - 8 * k)
-    place = np.argsort(key, kind="stable")
+    place = np.argsort(key)
     key, ended = key[place], left[place] <= 8
+    short = np.flatnonzero(ended)  # equal ones stand in the order of their strings; others are told apart below
+    place[short] = place[short][np.lexsort((place[short], key[short]))]
     new = np.append(True, key[1:] != key[:-1]) | ended
     new[1:] |= ended[:-1]
-    block = np.empty(n, np.int64)
-    block[place] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    block = np.empty(n, np.int32)
+    block[place] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
     deep = 8
     while not new.all():
-        _refine(place, block, new, deep, deep)
+        _refine(place, block, new, deep)
         deep *= 2
     before = np.arange(n) - 1
     before[begins] = ends - 1
@@ -118,11 +122,11 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     for k, s in enumerate(shards):
         place[which == k] = s.place + base
         base += len(s.place)
-    block = np.empty(n, np.int64)
-    block[place] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    block = np.empty(n, np.int32)
+    block[place] = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
     while deep < depth and not new.all():
         step = max(1, min(deep, depth - deep))
-        _refine(place, block, new, deep, step)
+        _refine(place, block, new, step)
         deep += step
     return place, new
 
