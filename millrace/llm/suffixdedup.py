@@ -145,17 +145,22 @@ def _distinct_strips(batch: pa.RecordBatch, length: int, frequent: Bits, repeate
     """[weight, bytes] of each strip with a repeated anchor, by anchor and content; of hot anchors or of the others."""
     found: dict[tuple[int, int], list] = {}
     for _, _, part, own in _parts(batch.column("text")):
-        for j in np.flatnonzero(involved[_slots(_names(part, own[:-1], own[1:]), TEXT_BITS)]).tolist():
-            text = part[own[j] : own[j + 1]]
-            _, begin, end, anchor = _strips(text, np.array([0, len(text)]), length, frequent)
-            slot = _slots(anchor, ANCHOR_BITS)
-            some = np.flatnonzero(repeated[slot] & (hot[slot] == of_hot))
-            for i, content in zip(some.tolist(), _names(text, begin[some], end[some]).tolist()):
-                strip = found.get(name := (int(anchor[i]), content))
-                if strip:
-                    strip[0] += 1
-                else:
-                    found[name] = [1, text[begin[i] : end[i]].tobytes()]
+        kept = np.flatnonzero(involved[_slots(_names(part, own[:-1], own[1:]), TEXT_BITS)])
+        if not len(kept):
+            continue
+        if len(kept) < len(own) - 1:
+            part = np.concatenate([part[own[j] : own[j + 1]] for j in kept.tolist()])
+            own = np.append(0, np.cumsum(np.diff(own)[kept]))
+        doc, begin, end, anchor = _strips(part, own, length, frequent)
+        slot = _slots(anchor, ANCHOR_BITS)
+        some = np.flatnonzero(repeated[slot] & (hot[slot] == of_hot))
+        begin, end = (own[doc] + begin)[some], (own[doc] + end)[some]
+        for a, b, *name in zip(begin.tolist(), end.tolist(), anchor[some].tolist(), _names(part, begin, end).tolist()):
+            strip = found.get(name := tuple(name))
+            if strip:
+                strip[0] += 1
+            else:
+                found[name] = [1, part[a:b].tobytes()]
     return found
 
 
