@@ -6,7 +6,8 @@ frequent.  Neighbouring substrings with one anchor form a strip.  Strips whose
 anchor occurs once hold nothing that repeats.  The others are gathered by
 anchor, equal strips as one with a weight, and within each part of the anchors
 the transforms of small shards of strips are built and merged; the intervals
-with common prefixes of ``length`` bytes are the repeats.  Anchors with very
+with common prefixes of ``length`` bytes are the repeats.  An anchor whose
+strips all have copies needs no merge: each strip repeats as a whole.  Anchors with very
 many strips would be one task's work: their substrings are counted apart, by
 digests of 128 bits, which splits them over all tasks.
 """
@@ -225,8 +226,16 @@ def _merge_parts(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
     size = 0
 
     def done(rows: list) -> pa.RecordBatch:
-        groups = np.cumsum([0] + [int(a[0] != b[0]) for a, b in zip(rows, rows[1:])]).tolist()
-        runs = [_runs(x, length) for x in _repeats([r[3] for r in rows], [r[2] for r in rows], groups, length)]
+        groups = np.cumsum([0] + [int(a[0] != b[0]) for a, b in zip(rows, rows[1:])])
+        weights = np.array([r[2] for r in rows], np.int64)
+        # where each strip of an anchor has a copy, all of them repeat as a whole, whatever else they share
+        least = np.minimum.reduceat(weights, np.searchsorted(groups, np.arange(groups[-1] + 1)))
+        runs = [[(0, len(r[3]))] for r in rows]
+        merging = np.flatnonzero(least[groups] < 2).tolist()
+        if merging:
+            starts = _repeats([rows[k][3] for k in merging], weights[merging].tolist(), groups[merging].tolist(), length)
+            for k, x in zip(merging, starts):
+                runs[k] = _runs(x, length)
         some = [k for k, x in enumerate(runs) if x]
         return pa.RecordBatch.from_arrays(
             [pa.array([rows[k][0] for k in some], pa.int64()), pa.array([rows[k][1] for k in some], pa.int64()), pa.array([[{"a": x, "b": y} for x, y in runs[k]] for k in some], _RUNS)], ["anchor", "content", "runs"]
