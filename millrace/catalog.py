@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import finance, forecast, quality, reporting, scenario, utilisation, views
+from .plans import checks, finance, forecast, quality, reporting, scenario, utilisation, views
 
-_PARTS = (utilisation, quality, forecast, finance, scenario, views, reporting)
+_PARTS = (utilisation, quality, forecast, finance, scenario, views, reporting, checks)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

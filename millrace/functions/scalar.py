@@ -90,3 +90,14 @@ def benefit_ramp(year: Column, delay: Column, years: Column) -> Column:
 def direction_holds(name: Column, value: Column, limit: Column) -> Column:
     """Limits named ``minimum_*`` hold from below, all others from above."""
     return F.when(name.startswith("minimum_"), value >= limit).otherwise(value <= limit)
+
+
+def strict_cast(x: Column, kind: str) -> Column:
+    """A cast that stops the query at a value which is not of that kind; null stays null."""
+    value = x.try_cast(kind)
+    return F.when(x.isNotNull() & value.isNull(), F.raise_error(F.concat(F.lit(f"not a {kind}: "), x.cast("string"))).cast(kind)).otherwise(value)
+
+
+def ordinal(x: Column, names: list[str]) -> Column:
+    """The place of a name in an ordered list, from 1; null for a name that isn't there."""
+    return F.nullif(F.array_position(F.array(*map(F.lit, names)), x).cast("int"), F.lit(0))

@@ -217,3 +217,11 @@ def coverage(pairs: DataFrame, widths: DataFrame, by: list[str]) -> DataFrame:
     joined = pairs.join(widths, by)
     inside = (F.col("actual") >= F.greatest(F.lit(0.0), F.col("forecast") - F.col("width"))) & (F.col("actual") <= F.col("forecast") + F.col("width"))
     return joined.groupBy(*by, "level").agg(round_half_away(F.avg(F.when(inside, 1.0).otherwise(0.0))).alias("coverage"))
+
+
+def scaled_errors(pairs: DataFrame, scales: DataFrame, by: list[str], series: str = "series_id") -> DataFrame:
+    """Signed bias as a share of what was, and the mean absolute error by the series' mean step (MASE); null over 0."""
+    exact = (F.col("forecast") - F.col("actual")).cast("decimal(20,4)")
+    total = F.sum("actual")
+    sums = pairs.groupBy(*by).agg(round_half_away(F.when(total != 0, F.sum(exact).cast("double") / total)).alias("bias_share"), round_half_away(F.sum(F.abs(exact)).cast("double") / F.count(F.lit(1))).alias("mae"))
+    return sums.join(scales.select(series, "scale"), series, "left").select(*by, "bias_share", "mae", "scale", round_half_away(F.when(F.col("scale") > 0, F.col("mae") / F.col("scale"))).alias("mase"))

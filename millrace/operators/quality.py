@@ -117,3 +117,22 @@ def worst(frame: DataFrame, by: list[str], status: str) -> DataFrame:
 
 def share(top: Column, bottom: Column) -> Column:
     return round_half_away(100 * safe_ratio(top, bottom), 2)
+
+
+def reference_counts(name: str, child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
+    """One row: how many rows of ``child`` there are, how many refer to nothing in ``parent``, and how many have no key.
+
+    Rows are counted by key before they meet the parents, so a key with very
+    many rows moves as one.  No rows count as 0.
+    """
+    keys = child.groupBy(F.col(child_key).alias("child_key")).agg(F.count(F.lit(1)).alias("n"))
+    known = parent.select(F.col(parent_key).alias("parent_key")).distinct()
+    joined = keys.join(known, F.col("child_key") == F.col("parent_key"), "left")
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0))
+    lost = F.when(F.col("parent_key").isNull() & F.col("child_key").isNotNull(), F.col("n"))
+    return joined.agg(total(F.col("n")).alias("n_rows"), total(lost).alias("orphans"), total(F.when(F.col("child_key").isNull(), F.col("n"))).alias("unset")).select(F.lit(name).alias("spec"), "n_rows", "orphans", "unset")
+
+
+def verdicts(results: DataFrame, by: list[str], failed: Column) -> DataFrame:
+    """Whether all rows of a group pass and whether any fails; an unknown outcome is neither."""
+    return results.groupBy(*by).agg(F.count(F.lit(1)).alias("checks"), F.min(F.coalesce(~failed, F.lit(False))).alias("all_pass"), F.max(F.coalesce(failed, F.lit(False))).alias("any_fail"))
