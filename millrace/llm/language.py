@@ -152,21 +152,27 @@ def fit(samples: dict[str, list[str]], clusters: int = 4, share: float = 0.4) ->
 def sample(documents: DataFrame, usable: Column, per_language: int, id_col: str, text_col: str, lang_col: str, least_chars: int = 50, most_chars: int = 50_000, most_languages: int = 1000) -> dict[str, list[str]]:
     """At most ``per_language`` texts of each label, those with the smallest hashes of their ids.
 
-    Only texts of ``least_chars`` to ``most_chars`` are learnt from, which
-    bounds the sample in bytes too.
+    Texts of ``least_chars`` to ``most_chars`` come first.  A label that has
+    too few of them is filled up with shorter ones and with passages of
+    ``most_chars`` of longer ones, which start where the hash says, so that no
+    label with a text is lost and the sample is bounded in bytes too.
     """
-    rows = documents.where(usable & F.col(lang_col).isNotNull() & F.char_length(F.col(text_col)).between(least_chars, most_chars)).select(
-        F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"), (F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")), 11) / F.lit(float(1 << 53))).alias("u")
+    text, size = F.col(text_col).cast("string"), F.char_length(F.col(text_col).cast("string"))
+    u = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")), 11) / F.lit(float(1 << 53))
+    start = F.greatest(F.lit(0), F.floor(u * (size - most_chars + 1))).cast("int") + 1
+    rows = documents.where(usable & F.col(lang_col).isNotNull() & (size > 0)).select(
+        F.col(lang_col).cast("string").alias("lang"), F.when(size > most_chars, F.substring(text, start, F.lit(most_chars))).otherwise(text).alias("text"), u.alias("u"), (~size.between(least_chars, most_chars)).cast("int").alias("outside")
     )
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(most_languages + 1).collect()}
-    if len(counts) > most_languages:
+    counts = {(r.lang, r.outside): r.n for r in rows.groupBy("lang", "outside").agg(F.count(F.lit(1)).alias("n")).limit(2 * most_languages + 1).collect()}
+    if len({lang for lang, _ in counts}) > most_languages:
         raise ValueError(f"more than {most_languages} labels")
     if not counts:
         return {}
     # thinned to about twice the bound where the rows are read, before anything is moved
-    number = F.create_map(*[F.lit(x) for pair in counts.items() for x in pair])
-    thin = rows.where(F.col("u") * number[F.col("lang")] < 2.0 * per_language + 50)
-    order = Window.partitionBy("lang").orderBy("u", "text")
+    wanted = {(lang, k): n for (lang, k), n in counts.items() if not k or counts.get((lang, 0), 0) < per_language}
+    number = F.create_map(*[x for (lang, k), n in wanted.items() for x in (F.struct(F.lit(lang).alias("lang"), F.lit(k).alias("outside")), F.lit(n))])
+    thin = rows.where(F.col("u") * number[F.struct("lang", "outside")] < 2.0 * per_language + 50)
+    order = Window.partitionBy("lang").orderBy("outside", "u", "text")
     got = thin.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("lang", "text")
     out: dict[str, list[str]] = {}
     for r in got.toLocalIterator():
