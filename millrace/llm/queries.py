@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import quality
 from .decontamination import find_contamination
 from .quality import quality_verdicts
+from .interactions import audit_filters
 from .jaccard import near_duplicates
 from .language import fit_documents, identify
 from .pii import find_pii
@@ -68,6 +69,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), length=200)
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op3_ngram_jaccard": op3_ngram_jaccard,
@@ -79,6 +84,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -111,6 +117,21 @@ _ARCHIVED = """SELECT page_id, strlen(x)::BIGINT AS payload_bytes, CASE WHEN las
 FROM (SELECT page_id, coalesce(html, '') AS x, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last FROM pages)"""
 
 
+_AUDIT = """WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+') AS w FROM documents),
+  m AS (SELECT doc_id AS of_id, bool_or(coalesce(quality, 0) = 1) AS good, bool_or(coalesce(toxic, 0) = 1) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY 1),
+  f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) THEN 'C' ELSE '' END
+      || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM d LEFT JOIN m ON doc_id = of_id),
+  g AS (SELECT part, good, toxic, fails, count(*) AS n FROM f GROUP BY ALL),
+  x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+  o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+  r AS (SELECT part, good, toxic, fails, n, filter_order, CASE WHEN fails = '' THEN 9 ELSE list_min(list_transform(string_split(fails, ''), lambda c: instr(filter_order, c))) END AS first FROM g, o),
+  s AS (SELECT *, substr(filter_order, step, 1) AS letter FROM (SELECT *, unnest(range(1, 6))::INTEGER AS step FROM r)),
+  c AS (SELECT part, filter_order, step, any_value(letter) AS letter, coalesce(sum(n) FILTER (WHERE first > step), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE first = step), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE contains(fails, letter) AND first < step), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE fails = letter), 0)::BIGINT AS unique_fails,
+    coalesce(sum(n) FILTER (WHERE first = step AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (WHERE first = step AND toxic), 0)::BIGINT AS toxic_lost FROM s GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM c"""
+
 
 def _quality() -> str:
     value = lambda b: f"CASE WHEN {b} = {quality._ZERO} THEN 0.0::DOUBLE ELSE pow({quality.GAMMA}::DOUBLE, {b} - 0.5::DOUBLE) END"
@@ -139,4 +160,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 #: The other operators learn, sketch, hash or tokenise in ways that DuckDB has no function for; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": _quality(), "op3_ngram_jaccard": _JACCARD, "op7_warc": _ARCHIVED, "op9_decontamination": _LEAKS}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": _quality(), "op3_ngram_jaccard": _JACCARD, "op7_warc": _ARCHIVED, "op9_decontamination": _LEAKS, "op13_filter_audit": _AUDIT}
