@@ -21,8 +21,8 @@ def document_flags(documents: DataFrame, labels: DataFrame, id_col: str = "doc_i
     the code points are A to Z; D: a sign of ``#$%&*|``; E: the text of a
     smaller id, wherever that stands.  Texts are equal where their SHA-256
     are; the smallest id of each text is found with map-side combining, so the
-    copies of a text never meet, and goes back to the documents by a join that
-    Spark splits where a text is common.
+    copies of a text never meet; it is written, so that the join that takes it
+    back to the documents is one that Spark splits where a text is common.
 
     A null text is an empty one, a null language the part ''.  A null id is
     neither smaller nor larger than any other and has no label.  Repeated ids
@@ -46,7 +46,8 @@ def document_flags(documents: DataFrame, labels: DataFrame, id_col: str = "doc_i
         ),
         "audit-flags",
     )
-    first = flagged.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where(F.col("first") < F.col("last")).select("digest", "first")
+    ends = flagged.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    first = written(ends.where(F.col("first") < F.col("last")).select("digest", "first"), "audit-first")
     marks = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     return (
         flagged.join(first, "digest", "left")
