@@ -11,6 +11,7 @@ from .quality import quality_verdicts
 from .interactions import audit_filters
 from .jaccard import near_duplicates
 from .language import fit_documents, identify
+from .mixing import ROUNDS, mix, taken_words
 from .pii import find_pii
 from .sentencepieces import encode
 from .sharding import assign_shards
@@ -69,6 +70,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), length=200)
 
 
+def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return taken_words(mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -84,6 +89,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op12_mixing": op12_mixing,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -133,6 +139,35 @@ _AUDIT = """WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text,
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM c"""
 
 
+def _mixing() -> str:
+    bits = lambda *parts: f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15))::BIGINT"
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+
+    def permuted(x: str, n: str, key: str, *names: str) -> str:
+        other = f"((({key} % {n} - a) % {n} + {n}) % {n})"
+        return f"list_reduce(range(0, {ROUNDS}), lambda a, r: CASE WHEN md5(concat_ws('|', 'coin', {', '.join(names)}, r, greatest(a, {other}))) >= '8' THEN {other} ELSE a END, {x})"
+
+    return f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, source, sha256(coalesce(text, '')) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+  s AS (SELECT *, 3 * source_size AS cap, 3 * source_size * (10 // weight) AS stops FROM (SELECT *, [5, 2, 1][rank % 3 + 1] AS weight FROM (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM d GROUP BY source))),
+  l AS (SELECT *, sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY stops, rank {before}), 0) AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY stops, rank {before}), 0) AS share FROM s),
+  lv AS (SELECT rest AS lr, share AS ls FROM l WHERE cap * share >= rest * weight ORDER BY stops, rank LIMIT 1),
+  t AS (SELECT *, (source_size + 127) // 128 AS blocks, CASE WHEN source_size > 0 THEN round(target * ((source_size + 127) // 128) / source_size)::BIGINT ELSE 0 END AS wanted FROM (SELECT source, rank, source_size, least(cap::DOUBLE, coalesce((lr * weight)::DOUBLE / ls::DOUBLE, cap::DOUBLE)) AS target FROM l LEFT JOIN lv ON true)),
+  q AS (SELECT *, coalesce(sum(wanted) OVER (ORDER BY rank {before}), 0)::BIGINT AS first FROM t),
+  u AS (SELECT id // 1024 AS shard, {bits("'draw'", '1', 'id')} % total AS u FROM (SELECT unnest(range(0, total)) AS id, total FROM (SELECT coalesce(sum(wanted), 0)::BIGINT AS total FROM q))),
+  c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY rank ORDER BY shard {before}), 0)::BIGINT AS before FROM (SELECT shard, rank, count(*) AS n FROM u JOIN q ON u >= first AND u < first + wanted GROUP BY ALL)),
+  w AS (SELECT rank, blocks, wanted, coalesce(drawn, 0)::BIGINT AS drawn, greatest(0, coalesce(drawn, 0) - wanted)::BIGINT AS surplus FROM q LEFT JOIN (SELECT rank, sum(n) AS drawn FROM c GROUP BY 1) USING (rank) WHERE wanted > 0),
+  kept AS (SELECT shard, rank, n, before - before * surplus // drawn AS low, before + n - (before + n) * surplus // drawn AS high FROM c JOIN w USING (rank)),
+  seats AS (SELECT shard, unnest(range(pos::BIGINT, (pos + free)::BIGINT)) AS seat FROM (SELECT shard, free, coalesce(sum(free) OVER (ORDER BY shard {before}), 0) AS pos FROM (SELECT shard, sum(n - high + low) AS free FROM kept GROUP BY 1))),
+  short AS (SELECT rank, drawn, lack, coalesce(sum(lack) OVER (ORDER BY rank {before}), 0)::BIGINT AS pos, (sum(lack) OVER ())::BIGINT AS every FROM (SELECT *, wanted - drawn AS lack FROM w WHERE wanted > drawn)),
+  needs AS (SELECT rank, drawn + i AS index, {permuted('pos + i', 'every', bits("'seat'", '1', 'r'), "'seat'", '1')} AS seat FROM (SELECT *, unnest(range(0, lack)) AS i FROM short)),
+  slots AS (SELECT rank, unnest(range(low, high)) AS index FROM kept UNION ALL SELECT rank, index FROM seats JOIN needs USING (seat)),
+  x AS (SELECT rank, block, count(*) AS times FROM (SELECT rank, {permuted('index % blocks', 'blocks', bits("'key'", '1', 'rank', 'index // blocks', 'r'), '1', 'rank', 'index // blocks')} AS block FROM slots JOIN w USING (rank)) GROUP BY ALL),
+  p AS (SELECT d.*, rank, source_size, target, coalesce(sum(size) OVER (PARTITION BY rank ORDER BY md5(coalesce(doc_id::VARCHAR, '') || '|' || digest), doc_id, k {before}), 0)::BIGINT AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+  b AS (SELECT k, rank, block, least((block + 1) * 128, start + size) - greatest(block * 128, start) AS n_words FROM (SELECT k, rank, start, size, unnest(range(start // 128, (start + size - 1) // 128 + 1)) AS block FROM p WHERE size > 0)),
+  g AS (SELECT k, sum(n_words * times) AS taken FROM b JOIN x USING (rank, block) GROUP BY 1)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM p LEFT JOIN g USING (k)"""
+
+
 def _quality() -> str:
     value = lambda b: f"CASE WHEN {b} = {quality._ZERO} THEN 0.0::DOUBLE ELSE pow({quality.GAMMA}::DOUBLE, {b} - 0.5::DOUBLE) END"
     least = "CASE metric " + " ".join(f"WHEN '{m}' THEN {wide}::DOUBLE" for m, (wide, _) in quality.METRICS.items()) + " END"
@@ -160,4 +195,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 #: The other operators learn, sketch, hash or tokenise in ways that DuckDB has no function for; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": _quality(), "op3_ngram_jaccard": _JACCARD, "op7_warc": _ARCHIVED, "op9_decontamination": _LEAKS, "op13_filter_audit": _AUDIT}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": _quality(), "op3_ngram_jaccard": _JACCARD, "op7_warc": _ARCHIVED, "op9_decontamination": _LEAKS, "op12_mixing": _mixing(), "op13_filter_audit": _AUDIT}
