@@ -20,6 +20,8 @@ ROUNDS = 24
 CELLS = 1024
 #: Shards, or copies of a row, that are worked on as one.
 CHUNK = 4096
+#: Slots whose blocks one task finds: the counts that they come from are so small that Spark would give them all to one.
+SLOTS_PER_TASK = 50_000
 
 
 @dataclass
@@ -107,7 +109,7 @@ def _drawn(spark, sources: DataFrame, slots: int, shard_slots: int, seed: int) -
     return draws.join(table, "cell").where("u >= first AND u < end").groupBy("shard", "rank").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _settled(counts: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
+def _settled(counts: DataFrame, sources: DataFrame, slots: int, seed: int) -> DataFrame:
     """Slots of the shards as (shard, rank, index): each source has as many as it wants in all.
 
     A source drawn too often gives up its surplus at even steps, so that every
@@ -120,7 +122,8 @@ def _settled(counts: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     all_of = written(all_of.withColumn("surplus", F.greatest(F.lit(0).cast("long"), F.col("drawn") - F.col("wanted"))), "mix-drawn")
     ends = counts.join(all_of, "rank").withColumn("upto", F.col("before") + F.col("n"))
     kept = ends.withColumn("index", F.expr("before - before * surplus div drawn")).withColumn("kept", F.expr("upto - upto * surplus div drawn") - F.col("index"))
-    regular = _exploded(kept, F.col("kept"), "k").select("shard", "rank", (F.col("index") + F.col("k")).alias("index"))
+    tasks = max(kept.sparkSession.sparkContext.defaultParallelism, slots // SLOTS_PER_TASK + 1)
+    regular = _exploded(kept.repartition(tasks, "shard", "rank"), F.col("kept"), "k").select("shard", "rank", (F.col("index") + F.col("k")).alias("index"))
     over = kept.groupBy("shard").agg(F.sum(F.col("n") - F.col("kept")).alias("free")).where("free > 0").withColumn("part", F.expr(f"shard div {CHUNK}"))
     seats = _exploded(running_totals(over, [], ["shard"], {"at": F.col("free")}, part="part"), F.col("free"), "k").select("shard", (F.col("at") + F.col("k")).alias("seat"))
     whole, early = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
@@ -172,7 +175,7 @@ def mix(documents: DataFrame, weights: Sequence[int] = (5, 2, 1), most: int = 3,
     order = ["place", "doc_id", "digest"]
     ordered = written(running_totals(placed, ["rank"], order, {"start": F.col("size") * F.col("copies")}, part="part").drop("part", "place"), "mix-documents")
 
-    settled = _settled(_drawn(spark, sources, total, shard_slots, seed), sources, seed)
+    settled = _settled(_drawn(spark, sources, total, shard_slots, seed), sources, total, seed)
     keys = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: F.transform(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), lambda r: _bits("key", seed, F.col("rank"), e, r) % F.col("blocks")))
     keyed = settled.join(written(sources.where("wanted > 0").select("rank", "blocks", keys.alias("keys")), "mix-keys"), "rank").withColumn("repeat", F.expr("index div blocks").cast("int"))
     block = _permuted(F.col("index") % F.col("blocks"), F.col("blocks"), F.get("keys", F.col("repeat")), seed, F.col("rank"), F.col("repeat"))
