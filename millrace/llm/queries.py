@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import quality
 from .decontamination import find_contamination
@@ -12,6 +13,7 @@ from .interactions import audit_filters
 from .jaccard import near_duplicates
 from .language import fit_documents, identify
 from .mixing import ROUNDS, mix, taken_words
+from .negatives import hard_negatives
 from .pii import find_pii
 from .sentencepieces import encode
 from .sharding import assign_shards
@@ -70,6 +72,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), length=200)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long")))
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=10, low_percent=30, high_percent=90)
+
+
 def op12_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return taken_words(mix(_table(spark, sf_dir, "documents"), weights=(5, 2, 1), most=3))
 
@@ -89,6 +97,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op9_decontamination": op9_decontamination,
     "op10_sharding": op10_sharding,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_mixing": op12_mixing,
     "op13_filter_audit": op13_filter_audit,
 }
@@ -138,6 +147,13 @@ _AUDIT = """WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text,
     coalesce(sum(n) FILTER (WHERE first = step AND good), 0)::BIGINT AS good_lost, coalesce(sum(n) FILTER (WHERE first = step AND toxic), 0)::BIGINT AS toxic_lost FROM s GROUP BY part, filter_order, step)
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM c"""
 
+_NEGATIVES = """WITH e AS (SELECT row_number() OVER () AS k, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label::BIGINT + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+  s AS (SELECT a.k, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.q, c.q)::BIGINT AS score FROM e a, e c WHERE a.vec_id % 100 = 0 AND a.k <> c.k),
+  p AS (SELECT k, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY k ORDER BY score DESC, vec_id) AS place FROM s WHERE same QUALIFY place <= 5)
+SELECT p.anchor_id, positive_id, (row_number() OVER (PARTITION BY p.k, place ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s ON p.k = s.k AND NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score QUALIFY rank <= 10"""
+
 
 def _mixing() -> str:
     bits = lambda *parts: f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 15))::BIGINT"
@@ -195,4 +211,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 #: The other operators learn, sketch, hash or tokenise in ways that DuckDB has no function for; tests hold them against brute force.
-ORACLE_SQL: dict[str, str] = {"op4_quality_rules": _quality(), "op3_ngram_jaccard": _JACCARD, "op7_warc": _ARCHIVED, "op9_decontamination": _LEAKS, "op12_mixing": _mixing(), "op13_filter_audit": _AUDIT}
+ORACLE_SQL: dict[str, str] = {"op4_quality_rules": _quality(), "op3_ngram_jaccard": _JACCARD, "op7_warc": _ARCHIVED, "op9_decontamination": _LEAKS, "op11_hard_negatives": _NEGATIVES, "op12_mixing": _mixing(), "op13_filter_audit": _AUDIT}
