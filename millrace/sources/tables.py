@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .contract import read_lenient
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,16 +19,10 @@ def read_contract_csv(spark: SparkSession, path: str, schema: T.StructType, run_
     """A CSV file whose header must be the schema's, with where each row came from.
 
     Row numbers start at 2, after the header, in the order of each file; all
-    values are trimmed, and empty ones are null.
+    values are trimmed; empty ones, and those that are not of their type, are
+    null (``contract.read_contract`` tells such rows apart).
     """
-    header = spark.read.text(path).limit(1).first()
-    if header is None or header[0].split(",") != schema.names:
-        raise ValueError(f"header of {path} is not {schema.names}")
-    raw = spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in schema.names])).csv(path, header=True, enforceSchema=False)
-    clean = [F.nullif(F.trim(F.col(f"`{f.name}`")), F.lit("")).try_cast(f.dataType).alias(f.name) for f in schema.fields]
-    numbered = raw.select(*clean, F.col("_metadata.file_name").alias("source_file_name"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
-    row = F.row_number().over(Window.partitionBy("source_file_name").orderBy("_b", "_i")) + 1
-    return numbered.withColumn("source_row_number", row).withColumn("ingestion_run_id", F.lit(run_id)).drop("_b", "_i")
+    return read_lenient(spark, path, schema, run_id)
 
 
 def write_once(df: DataFrame, path: str, rebuild: bool = False) -> None:
