@@ -70,3 +70,21 @@ def running_totals(rows: DataFrame, keys: Sequence[str], order: Sequence[str], t
 def numbered_rows(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, rows_per_part: int = 100_000) -> DataFrame:
     """``rows`` with their number, from 1, in the order of their key (of the whole table without keys)."""
     return running_totals(rows, keys, order, {name: F.lit(1).cast("long")}, rows_per_part=rows_per_part).withColumn(name, F.col(name) + 1)
+
+
+def carried_forward(rows: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], rows_per_part: int = 100_000) -> DataFrame:
+    """``rows`` with each null of ``columns`` replaced by the last value before it in the order of the key.
+
+    In two levels as ``running_totals``: the last value of each part, carried over
+    the parts of the key, and rows ordered inside their part only.
+    """
+    part = free_name("part", rows)
+    rows = in_parts(rows, keys, order, part, rows_per_part)
+    place = F.struct(*[F.col(c) for c in order])
+    names = {c: free_name(f"{c}_last", rows) for c in columns}
+    lasts = rows.groupBy(*keys, part).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), place)).alias(n) for c, n in names.items()])
+    earlier = Window.partitionBy(*keys or [F.lit(0)]).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = lasts.select(*keys, part, *[F.last(n, ignorenulls=True).over(earlier).alias(n) for n in names.values()])
+    inside = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = _joined(rows, offsets, [*keys, part], "inner")
+    return out.withColumns({c: F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(n)) for c, n in names.items()}).drop(part, *names.values())

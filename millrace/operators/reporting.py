@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import key_digest, round_half_away, safe_ratio
+from .prefix import numbered_rows
 
 
 def classify(frame: DataFrame, rejects: list[tuple[str, Column]], warns: list[tuple[str, Column]]) -> DataFrame:
@@ -42,8 +43,8 @@ def feasibility(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def numbered(frame: DataFrame, order: list[str], pattern: str, name: str) -> DataFrame:
-    """Stable ids by place, for report tables of some hundred rows at most."""
-    return frame.withColumn(name, F.format_string(pattern, F.row_number().over(Window.orderBy(*order))))
+    """Stable ids by place in the whole table, numbered in two levels."""
+    return numbered_rows(frame, [], order, name).withColumn(name, F.format_string(pattern, F.col(name)))
 
 
 def first_rows_only(frame: DataFrame, by: list[str], order: list[str], columns: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clamp01, round_half_away, safe_ratio
+from .prefix import carried_forward, running_totals
 
 
 def first_failing(rules: list[tuple[str, Column]], fine: str = "compatible") -> Column:
@@ -60,24 +61,47 @@ def constraint_slack(coefficients: DataFrame, values: DataFrame, bounds: DataFra
     return bounds.join(active, "constraint", "left").select("constraint", round_half_away(F.coalesce("a", F.lit(0.0))).alias("activity"), "upper", round_half_away(slack).alias("slack"), (F.abs(slack) <= tolerance).alias("binding"))
 
 
-def allocate(demand: DataFrame, supply: DataFrame, group: str, need: str, demand_order: list[str], offer: str, supply_order: list[str]) -> DataFrame:
+#: Amounts on the axis of an allocation are exact to six places, so that no order of sums moves a cut.
+_AXIS = "decimal(28,6)"
+
+
+def allocate(demand: DataFrame, supply: DataFrame, group: str, need: str, demand_order: list[str], offer: str, supply_order: list[str], rows_per_part: int = 100_000) -> DataFrame:
     """Demand served in order from supply in order within each group: both become ranges of one axis, and overlap is the allocation.
 
     For one resource per group and cost increasing with the order this is the
-    least-cost allocation.  Overlaps are found by merging the cut points with a
-    window, not by comparing all pairs.
+    least-cost allocation.  Where a range begins is a running sum in two levels,
+    and the range that a cut falls into is carried forward in two levels, so a
+    group of any size is the work of many tasks; no pairs are compared.
+    Orders end with a column that tells rows apart.
     """
 
     def ranges(df: DataFrame, amount: str, order: list[str], side: str) -> DataFrame:
-        w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        end = F.sum(amount).over(w)
-        return df.withColumn("_end", end).select(group, (F.col("_end") - F.col(amount)).alias("at"), "_end", F.struct(*[F.col(c) for c in order]).alias(side))
+        kept = df.select(group, *order, F.col(amount).cast(_AXIS).alias("size")).where("size > 0")
+        begun = running_totals(kept, [group], order, {"begin": F.col("size")}, rows_per_part=rows_per_part)
+        return begun.select(group, F.col("begin").cast(_AXIS).alias("at"), F.struct(F.struct(*order).alias("of"), (F.col("begin") + F.col("size")).cast(_AXIS).alias("end")).alias(side))
 
     d, s = ranges(demand, need, demand_order, "d"), ranges(supply, offer, supply_order, "s")
-    cuts = d.select(group, "at", F.col("d"), F.col("_end").alias("d_end"), F.lit(None).cast(s.schema["s"].dataType).alias("s"), F.lit(None).cast("double").alias("s_end"))
-    cuts = cuts.unionByName(s.select(group, "at", F.lit(None).cast(d.schema["d"].dataType).alias("d"), F.lit(None).cast("double").alias("d_end"), "s", F.col("_end").alias("s_end")))
-    merged = cuts.groupBy(group, "at").agg(F.max("d").alias("d"), F.max("d_end").alias("d_end"), F.max("s").alias("s"), F.max("s_end").alias("s_end"))
-    w = Window.partitionBy(group).orderBy("at")
-    filled = merged.select(group, "at", *[F.last(c, ignorenulls=True).over(w).alias(c) for c in ("d", "d_end", "s", "s_end")], F.lead("at").over(w).alias("next"))
-    stop = F.least("d_end", "s_end", F.coalesce("next", F.col("d_end")))
-    return filled.where(F.col("d").isNotNull() & F.col("s").isNotNull()).withColumn("amount", round_half_away(stop - F.col("at"))).where(F.col("amount") > 0).select(group, "d", "s", "amount")
+    cuts = d.select(group, "at", "d", F.lit(None).cast(s.schema["s"].dataType).alias("s")).unionByName(s.select(group, "at", F.lit(None).cast(d.schema["d"].dataType).alias("d"), "s"))
+    merged = cuts.groupBy(group, "at").agg(F.max("d").alias("d"), F.max("s").alias("s"))
+    filled = carried_forward(merged, [group], ["at"], ["d", "s"], rows_per_part)
+    # ranges of a side follow each other, so the next cut is where the shorter of the two ends
+    overlap = filled.where("d IS NOT NULL AND s IS NOT NULL").withColumn("amount", round_half_away((F.least("d.end", "s.end") - F.col("at")).cast("double")))
+    return overlap.where("amount > 0").select(group, F.col("d.of").alias("d"), F.col("s.of").alias("s"), "amount")
+
+
+def with_unmet(rows: DataFrame, demand: DataFrame, group: str, need: str, order: list[str]) -> DataFrame:
+    """Allocated rows as (group, order, s, amount, unmet): what is left of a demand stands on its first row only, and a demand that got nothing has one row without a supply."""
+    flat = rows.select(F.col(group).alias("of_group"), *[F.col(f"d.{c}").alias(f"of_{c}") for c in order], "s", "amount")
+    whole = Window.partitionBy("of_group", *[f"of_{c}" for c in order])
+    flat = flat.withColumn("served", F.sum(F.col("amount").cast(_AXIS)).over(whole)).withColumn("first", F.row_number().over(whole.orderBy("s")) == 1)
+    cond = F.col(group).eqNullSafe(F.col("of_group"))
+    for c in order:
+        cond &= F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    left = round_half_away(F.col(need).cast("double") - F.coalesce(F.col("served").cast("double"), F.lit(0.0)))
+    return demand.join(flat, cond, "left").select(group, *order, "s", F.coalesce("amount", F.lit(0.0)).alias("amount"), F.when(F.coalesce("first", F.lit(True)), left).otherwise(0.0).alias("unmet"))
+
+
+def moves(rows: DataFrame, by: list[str], source: str, target: str, amount: str) -> DataFrame:
+    """What goes from each place to each other place, and whether that is a move at all."""
+    away = rows.where(~F.col(source).eqNullSafe(F.col(target))).groupBy(*by, source, target).agg(F.sum(F.col(amount).cast(_AXIS)).cast("double").alias("moved"))
+    return away.withColumn("moved", round_half_away(F.col("moved"))).withColumn("status", F.when(F.col("moved") > 1e-6, "candidate_move").otherwise("not_moved"))

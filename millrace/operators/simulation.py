@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import exact_mean, round_half_away, safe_ratio
+from .prefix import numbered_rows
 
 #: Times are exact to four places, so that no order of sums moves them.
 _MINUTES = "decimal(18,4)"
@@ -66,6 +67,5 @@ def resilience(measures: DataFrame, by: list[str], column: str, limit: float, z:
 
 
 def admit(events: DataFrame, by: list[str], order: list[str], capacity: int) -> DataFrame:
-    """First-come admission: contacts beyond the capacity of their group are blocked."""
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    return events.withColumn("place", place).withColumn("blocked", F.col("place") > capacity)
+    """First-come admission: contacts beyond the capacity of their group are blocked; a group of any size is numbered by many tasks."""
+    return numbered_rows(events, by, order, "place").withColumn("place", F.col("place").cast("int")).withColumn("blocked", F.col("place") > capacity)
