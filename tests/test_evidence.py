@@ -77,3 +77,9 @@ def test_bands(spark):
     assert {r.minute: r.band for r in band_join(late, F.col("minute"), bands, strict=False).collect()}[1380] is None
     with pytest.raises(Exception, match="no band covers 1380"):
         band_join(late.where("minute IS NOT NULL"), F.col("minute"), bands).count()
+
+
+def test_top_units_are_cut_before_they_move(spark, sf_dir):
+    from millrace.plans.evidence import top_units_by_service
+
+    assert "WindowGroupLimit" in top_units_by_service(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
