@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .fmindex import FMIndex
 from .shared import free_name, map_batches, written
-from .textnp import ALNUM, LOWER, blocks, hash_spans, string_bytes, word_spans
+from .textnp import ALNUM, LOWER, blocks, equal_spans, hash_spans, new_key, string_bytes, word_spans
 
 #: Bytes of benchmark text in one block of test phrases; each block is a pass over the documents.
 PHRASE_BLOCK_BYTES = 16 << 20
@@ -31,6 +31,8 @@ class Phrases:
     by_length: dict[int, np.ndarray] = field(default_factory=dict)  # distinct phrases, a row each
     items: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)  # offsets by phrase, item places
     names: list[str] = field(default_factory=list)
+    key: int = 0  # of the word hashes
+    spelling: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.uint8), np.zeros(1, np.int64))  # bytes of the words, and where each begins
 
     def symbols(self, hashes: np.ndarray) -> np.ndarray:
         out = np.zeros(len(hashes), np.int64)
@@ -40,22 +42,25 @@ class Phrases:
         return out
 
 
-def _hashed(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    buf, off = string_bytes(texts)
-    low = LOWER[buf]
-    s, e, first = word_spans(low, off, ALNUM)
-    return hash_spans(low, s, e), s, e, first
-
-
 def make_phrases(ids: list, texts: list, width: int) -> Phrases | None:
     """Windows of ``width`` words of each item, or the whole of a shorter one; an item without an id has no name."""
-    hashes, _, _, first = _hashed(pa.array(texts, pa.string()))
-    if not len(hashes):
+    buf, off = string_bytes(pa.array(texts, pa.string()))
+    low = LOWER[buf]
+    s, e, first = word_spans(low, off, ALNUM)
+    if not len(s):
         return None
-    words = np.unique(hashes)
+    while True:  # with another key, should two words of the block have one hash
+        key = new_key()
+        hashes = hash_spans(low, s, e, key)
+        words, one, which = np.unique(hashes, return_index=True, return_inverse=True)
+        if equal_spans(low, s, e, low, s[one][which], e[one][which]).all():
+            break
+    sizes = (e - s)[one]
+    begin = np.concatenate([[0], np.cumsum(sizes)])
+    letters = low[np.repeat(s[one] - begin[:-1], sizes) + np.arange(begin[-1])]
     sieve = np.zeros(1 << 16, bool)
     sieve[(words & np.uint64(0xFFFF)).astype(np.int64)] = True
-    symbols = np.searchsorted(words, hashes) + 1
+    symbols = which.reshape(-1) + 1
     names = sorted({i for i in ids if i is not None})
     place = {None: -1} | {x: k for k, x in enumerate(names)}
     found: dict[int, tuple[list, list]] = {}
@@ -70,7 +75,7 @@ def make_phrases(ids: list, texts: list, width: int) -> Phrases | None:
         found.setdefault(size, ([], []))
         found[size][0].append(rows)
         found[size][1].append(np.full(len(rows), place[i]))
-    out = Phrases(words, sieve, np.unique(np.concatenate(pairs)), names=names)
+    out = Phrases(words, sieve, np.unique(np.concatenate(pairs)), names=names, key=key, spelling=(letters, begin))
     for size, (rows, items) in found.items():
         distinct, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
         links = np.unique(np.stack([which.reshape(-1), np.concatenate(items)]), axis=1)
@@ -80,16 +85,19 @@ def make_phrases(ids: list, texts: list, width: int) -> Phrases | None:
     return out
 
 
-def search_shard(hashes: np.ndarray, first: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words that are hit, and distinct (document, item) pairs, of one shard.
+def search_shard(letters: np.ndarray, s: np.ndarray, e: np.ndarray, first: np.ndarray, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words that are hit, and distinct (document, item) pairs, of one shard, whose words are the spans s to e of the bytes ``letters``.
+
+    What the index locates is a hit where the bytes of all its words are the phrase's.
 
     Only stretches in which each word and each pair of neighbours stands in
     some phrase can hold one; the FM-index is built over those stretches.
     """
-    n = len(hashes)
+    n = len(s)
     none = np.zeros(0, np.int64)
     hit = np.zeros(n, bool)
-    symbols = phrases.symbols(hashes)
+    symbols = phrases.symbols(hash_spans(letters, s, e, phrases.key))
+    spelling, spelt = phrases.spelling
     joined = np.zeros(n + 1, bool)  # word i continues the stretch of word i - 1
     left = np.flatnonzero((symbols[:-1] > 0) & (symbols[1:] > 0)) if n else none
     if len(left) and len(phrases.pairs):
@@ -125,6 +133,17 @@ def search_shard(hashes: np.ndarray, first: np.ndarray, phrases: Phrases) -> tup
             continue
         line = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(len(which))
         at = origin[index.locate(line)]
+        covered = np.zeros(n + 1, np.int64)
+        np.add.at(covered, at, 1)
+        np.add.at(covered, at + length, -1)
+        touched = np.flatnonzero(np.cumsum(covered[:-1]) > 0)
+        word = symbols[touched] - 1
+        wrong = np.zeros(n + 1, np.int64)
+        wrong[touched + 1] = ~equal_spans(letters, s[touched], e[touched], spelling, spelt[word], spelt[word + 1])
+        if wrong.any():
+            wrong = np.cumsum(wrong)
+            real = wrong[at + length] == wrong[at]
+            at, which = at[real], which[real]
         np.add.at(marks, at, 1)
         np.add.at(marks, at + length, -1)
         seen = np.unique(np.stack([np.searchsorted(first, at, "right") - 1, which]), axis=1)
@@ -143,7 +162,7 @@ def _search_batch(batch: pa.RecordBatch, text: str, phrases: Phrases):
         part, own = buf[off[a] : off[b]], off[a : b + 1] - off[a]
         low = LOWER[part]
         s, e, first = word_spans(low, own, ALNUM)
-        hit, docs, items = search_shard(hash_spans(low, s, e), first, phrases)
+        hit, docs, items = search_shard(low, s, e, first, phrases)
         yield a, part, own, s, e, first, hit, docs, items
 
 
@@ -178,7 +197,7 @@ def find_contamination(documents: DataFrame, benchmark: DataFrame, width: int =
 
     A phrase is ``width`` consecutive words of an item, or all words of a
     shorter one; words are runs of letters and digits, A-Z in lower case, and
-    the same where their hashes of 64 bits are.  The benchmark is taken in
+    the same where their bytes are.  The benchmark is taken in
     blocks of bounded size, each one pass over the documents without a
     shuffle; at most two blocks are in the driver.  Each shard of documents is
     indexed and searched where it is read; a very long text is a shard of its

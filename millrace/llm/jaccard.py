@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .graph import components
 from .shared import Bits, Scratch, bitmap, free_name, map_batches
-from .textnp import blocks, digests, mix, shingle_sets, string_bytes
+from .textnp import blocks, digests, mix, new_key, shingle_sets, string_bytes
 
 #: Groups of one list that meet in one task; longer lists are met block by block.
 BLOCK = 512
@@ -42,10 +43,17 @@ COUNT_BITS = 40
 PASSES = 2
 
 
-def _sets(column: pa.Array, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+class Words(NamedTuple):
+    """Words of a shingle, and the key that this run hashes them with."""
+
+    width: int
+    key: int
+
+
+def _sets(column: pa.Array, words: Words) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     buf, off = string_bytes(column)
     for a, b in blocks(off):
-        values, cut = shingle_sets(buf[off[a] : off[b]], off[a : b + 1] - off[a], width)
+        values, cut = shingle_sets(buf[off[a] : off[b]], off[a : b + 1] - off[a], words.width, words.key)
         yield a, values, cut
 
 
@@ -53,14 +61,14 @@ def _slots(values: np.ndarray, bits: int) -> np.ndarray:
     return (values >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def _counted(batch: pa.RecordBatch, width: int, part: int) -> pa.RecordBatch:
+def _counted(batch: pa.RecordBatch, words: Words, part: int) -> pa.RecordBatch:
     """The shingles of a batch that belong to a pass, and in how many of its documents each is."""
-    found = [(v >> np.uint64(64 - COUNT_BITS))[v % np.uint64(PASSES) == part] for _, v, _ in _sets(batch.column("text"), width)]
+    found = [(v >> np.uint64(64 - COUNT_BITS))[v % np.uint64(PASSES) == part] for _, v, _ in _sets(batch.column("text"), words)]
     values, count = np.unique(np.concatenate(found) if found else np.zeros(0, np.uint64), return_counts=True)
     return pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(count.astype(np.int32))], ["shingle", "n"])
 
 
-def _frequent(texts: DataFrame, scratch: Scratch, width: int) -> Bits:
+def _frequent(texts: DataFrame, scratch: Scratch, words: Words) -> Bits:
     """Slots of frequent shingles.
 
     Every shingle of every document is counted.  At most ``MOST_FREQUENT`` are
@@ -68,7 +76,7 @@ def _frequent(texts: DataFrame, scratch: Scratch, width: int) -> Bits:
     """
     counts = []
     for part in range(PASSES):
-        seen = map_batches(texts.select("text"), lambda b, part=part: _counted(b, width, part), "shingle long, n int")
+        seen = map_batches(texts.select("text"), lambda b, part=part: _counted(b, words, part), "shingle long, n int")
         counts.append(scratch.write(f"frequent-{part}", seen.groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)))
     often = reduce(DataFrame.union, counts)
     sizes = {r.k: r.n for r in often.groupBy(F.floor(F.log2("n")).alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each power of two
@@ -110,7 +118,7 @@ def _differing(x: bytes, y: bytes) -> int:
     return int(np.bitwise_count(one ^ two).sum())
 
 
-def _describe(batch: pa.RecordBatch, width: int, percent: int, frequent: Bits) -> pa.RecordBatch:
+def _describe(batch: pa.RecordBatch, words: Words, percent: int, frequent: Bits) -> pa.RecordBatch:
     """Text digest, size, class, group, parities and prefix of each document's set.
 
     The order of shingles: rare before frequent ones, each by hash.
@@ -119,7 +127,7 @@ def _describe(batch: pa.RecordBatch, width: int, percent: int, frequent: Bits) -
     buf, off = string_bytes(batch.column("text"))
     for a, b in blocks(off):
         part, inner = buf[off[a] : off[b]], off[a : b + 1] - off[a]
-        values, cut = shingle_sets(part, inner, width)
+        values, cut = shingle_sets(part, inner, words.width, words.key)
         texts += digests(part, inner)
         n = np.diff(cut)
         rare = ~frequent[_slots(values, FREQUENT_BITS)]
@@ -156,33 +164,33 @@ def _entries(batch: pa.RecordBatch, wanted: Bits, part: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(values[keep]), pa.array(each("gid", np.int64)), pa.array(each("n", np.int32)), pa.array(place[keep].astype(np.int32))], ["s", "gid", "n", "at"])
 
 
-def _wanted_texts(batch: pa.RecordBatch, width: int, wanted: Bits) -> pa.RecordBatch:
+def _wanted_texts(batch: pa.RecordBatch, words: Words, wanted: Bits) -> pa.RecordBatch:
     """Class and text of each wanted document."""
     batch = batch.filter(pa.array(wanted[batch.column("slot").to_numpy()]))
-    names = [name for _, values, cut in _sets(batch.column("text"), width) for name in _class_names(values, cut)]
+    names = [name for _, values, cut in _sets(batch.column("text"), words) for name in _class_names(values, cut)]
     return pa.RecordBatch.from_arrays([pa.array(names, _NAME), batch.column("text")], ["cid", "text"])
 
 
-def _shingles(text: str, width: int) -> set[bytes]:
-    words = text.encode().lower().split()
-    return {b" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))}
+def _shingles(text: str, words: Words) -> set[bytes]:
+    all_of, width = text.encode().lower().split(), words.width
+    return {b" ".join(all_of[i : i + width]) for i in range(max(1, len(all_of) - width + 1))}
 
 
-def _verify(batch: pa.RecordBatch, width: int, percent: int) -> pa.RecordBatch:
+def _verify(batch: pa.RecordBatch, words: Words, percent: int) -> pa.RecordBatch:
     """The pairs that link: counted by hash first, then confirmed on the bytes of their shingles."""
     keep = np.zeros(batch.num_rows, bool)
     last: tuple[str, set[bytes]] = ("", set())
-    for first, left, left_cut in _sets(batch.column("x"), width):
+    for first, left, left_cut in _sets(batch.column("x"), words):
         n = len(left_cut) - 1
-        for at, right, cut in _sets(batch.column("y").slice(first, n), width):
+        for at, right, cut in _sets(batch.column("y").slice(first, n), words):
             for i in range(len(cut) - 1):
                 row = first + at + i
                 a, b = left[left_cut[at + i] : left_cut[at + i + 1]], right[cut[i] : cut[i + 1]]
                 same = len(np.intersect1d(a, b, assume_unique=True))
                 if 100 * same >= percent * (len(a) + len(b) - same):
-                    x, y = batch.column("x")[row].as_py(), _shingles(batch.column("y")[row].as_py(), width)
+                    x, y = batch.column("x")[row].as_py(), _shingles(batch.column("y")[row].as_py(), words)
                     if x != last[0]:
-                        last = (x, _shingles(x, width))
+                        last = (x, _shingles(x, words))
                     same = len(last[1] & y)
                     keep[row] = 100 * same >= percent * (len(last[1]) + len(y) - same)
     return batch.select(["a", "b"]).filter(pa.array(keep))
@@ -196,7 +204,7 @@ def _possible(batch: pa.RecordBatch, percent: int) -> pa.RecordBatch:
     return batch.select(["a", "b"]).filter(pa.array((100 + percent) * (both - differ) >= 2 * percent * both))
 
 
-def _verified(texts: DataFrame, described: DataFrame, classes: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, width: int, percent: int) -> DataFrame:
+def _verified(texts: DataFrame, described: DataFrame, classes: DataFrame, pairs: DataFrame, scratch: Scratch, name: str, words: Words, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link: parities rule most others out before texts are moved."""
     share = texts.sparkSession.sparkContext.broadcast
 
@@ -218,9 +226,9 @@ def _verified(texts: DataFrame, described: DataFrame, classes: DataFrame, pairs:
     one.destroy()
     scratch.clear(f"{name}-parities")
     known, two = involved(left, "compared")
-    whole = map_batches(texts, lambda b: _wanted_texts(b, width, two.value), "cid binary, text string")
+    whole = map_batches(texts, lambda b: _wanted_texts(b, words, two.value), "cid binary, text string")
     whole = scratch.write(f"{name}-texts", whole.join(known.select("cid"), "cid", "left_semi").dropDuplicates(["cid"]))
-    links = scratch.write(f"{name}-links", map_batches(joined(left, whole, ("text", "x", "y")), lambda b: _verify(b, width, percent), "a binary, b binary"))
+    links = scratch.write(f"{name}-links", map_batches(joined(left, whole, ("text", "x", "y")), lambda b: _verify(b, words, percent), "a binary, b binary"))
     two.destroy()
     scratch.clear(f"{name}-texts")
     return links
@@ -234,7 +242,7 @@ def _enough(overlap: Column, n: Column, o: Column, percent: int) -> Column:
     return (100 + percent) * overlap >= percent * (n + o)
 
 
-def _roots(texts: DataFrame, described: DataFrame, classes: DataFrame, scratch: Scratch, width: int, percent: int) -> DataFrame:
+def _roots(texts: DataFrame, described: DataFrame, classes: DataFrame, scratch: Scratch, words: Words, percent: int) -> DataFrame:
     """(node, root) for the classes that link with others.
 
     ``classes`` has gid, cid, n, and the slot of one document of each.
@@ -263,7 +271,7 @@ def _roots(texts: DataFrame, described: DataFrame, classes: DataFrame, scratch:
     within = groups.where("k > 1").select(F.col("gid").alias("g"), F.col("gid").alias("h"))
     of_first = groups.select(F.col("gid").alias("g"), F.col("first").alias("a"))
     pairs = star.union(within).join(of_first, "g").join(members.select(F.col("gid").alias("h"), F.col("cid").alias("b")), "h").where("a <> b").select("a", "b")
-    links = _verified(texts, described, classes, pairs, scratch, "first", width, percent)
+    links = _verified(texts, described, classes, pairs, scratch, "first", words, percent)
     tied = scratch.write("tied", components(links))
 
     # second round: groups of one list whose components differ; a group of several components (no root) differs from all
@@ -291,7 +299,7 @@ def _roots(texts: DataFrame, described: DataFrame, classes: DataFrame, scratch:
     several = of_group.where(F.col("root").isNull()).select(F.col("gid").alias("g"), F.col("gid").alias("h"))
     one, two = rooted.select(F.col("gid").alias("g"), F.col("cid").alias("a"), F.col("root").alias("r")), rooted.select(F.col("gid").alias("h"), F.col("cid").alias("b"), F.col("root").alias("q"))
     pairs = met.union(several).join(one, "g").join(two, "h").where("r <> q and (g <> h or a < b)").select("a", "b")
-    more = _verified(texts, described, classes, pairs, scratch, "second", width, percent)
+    more = _verified(texts, described, classes, pairs, scratch, "second", words, percent)
     named = tied.select(F.col("node").alias("cid"), F.col("root").alias("up"))
     of = lambda c: more.join(named, F.col(c) == F.col("cid"), "left").withColumn(c, F.coalesce("up", c)).select("a", "b")
     more = of("a")
@@ -304,16 +312,16 @@ def _roots(texts: DataFrame, described: DataFrame, classes: DataFrame, scratch:
     return roots
 
 
-def _components(documents: DataFrame, scratch: Scratch, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+def _components(documents: DataFrame, scratch: Scratch, words: Words, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_key, n, cid) of every document, and (cid, root) of every class."""
     slot = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string")), 64 - WANTED_BITS)
     texts = documents.select(F.col(id_col).alias("doc_id"), slot.alias("slot"), F.col(text_col).cast("string").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    frequent = documents.sparkSession.sparkContext.broadcast(_frequent(texts, scratch, width))
-    described = map_batches(texts, lambda b: _describe(b, width, percent, frequent.value), f"doc_id {kind}, slot long, text_key binary, n long, cid binary, gid long, bits binary, prefix array<long>")
+    frequent = documents.sparkSession.sparkContext.broadcast(_frequent(texts, scratch, words))
+    described = map_batches(texts, lambda b: _describe(b, words, percent, frequent.value), f"doc_id {kind}, slot long, text_key binary, n long, cid binary, gid long, bits binary, prefix array<long>")
     described = scratch.write("sets", described)
     classes = scratch.write("classes", described.where("n > 0").groupBy("gid", "cid").agg(F.first("n").cast("int").alias("n"), F.min("slot").alias("slot")))
-    roots = _roots(texts, described, classes, scratch, width, percent)
+    roots = _roots(texts, described, classes, scratch, words, percent)
     sizes = scratch.write("sizes", described.select("doc_id", "text_key", "n", "cid"))
     named = scratch.write("named", classes.select("cid").join(roots, F.col("cid") == F.col("node"), "left").select("cid", F.coalesce("root", "cid").alias("root")))
     frequent.destroy()
@@ -330,7 +338,9 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_
     the first round leaves in different components meets in the second.  Equal
     sets are one class and are never expanded into pairs.  Candidates are found
     by 64-bit hashes and confirmed on the bytes of their shingles; classes are
-    named by 128-bit digests.
+    named by 128-bit digests of their hashes.  Words are hashed with a key that
+    each run draws, so no texts can be made whose words agree: two given
+    ones do with a chance of 2 ** -64.
 
     A text that is null, empty or without words has an empty set and links
     with nothing: its component is its own id.  Rows that repeat an id and
@@ -340,7 +350,7 @@ def near_duplicates(documents: DataFrame, width: int = 5, percent: int = 80, id_
     their names.  Returns doc_id, n_shingles, component_id.
     """
     scratch = Scratch(documents.sparkSession, "jaccard")
-    sizes, named = _components(documents, scratch, width, percent, id_col, text_col)
+    sizes, named = _components(documents, scratch, Words(width, new_key()), percent, id_col, text_col)
     joined = sizes.where("n > 0").join(named, "cid")
     least = joined.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     some = joined.join(least, "root").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
@@ -362,7 +372,7 @@ def keep_one(documents: DataFrame, width: int = 5, percent: int = 80, id_col: st
     two or more are moved, by the digest of their text.
     """
     scratch = Scratch(documents.sparkSession, "jaccard")
-    sizes, named = _components(documents, scratch, width, percent, id_col, text_col)
+    sizes, named = _components(documents, scratch, Words(width, new_key()), percent, id_col, text_col)
     joined = sizes.where("n > 0").join(named, "cid")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
     best = joined.groupBy("root").agg(F.count(F.lit(1)).alias("k"), F.min(order).alias("one")).where("k > 1").select("root", "one")

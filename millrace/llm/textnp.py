@@ -8,6 +8,7 @@ these helpers inside ``mapInArrow`` tasks on blocks of bounded size.
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -130,14 +131,20 @@ def neighbour_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans, eight bytes a round, each mixed in by a step that is not linear.
+def new_key() -> int:
+    """A key for :func:`hash_spans` that no text can have been made for."""
+    return secrets.randbits(63)
 
-    Unlike a polynomial modulo 2 ** 64, no pattern of a text cancels out.
-    Spans of over 512 bytes are hashed one by one.
+
+def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0) -> np.ndarray:
+    """64-bit hashes of byte spans, eight bytes a round, each mixed into a state that begins with the key.
+
+    For any one key, known beforehand, spans can be made that collide; where
+    equal hashes stand for equal bytes, each run draws its own key, so that two given spans
+    collide with a chance of 2 ** -64.  Spans of over 512 bytes are hashed one by one.
     """
     size = ends - starts
-    out = (size.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE)
+    out = mix((size.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE) ^ np.uint64(key)) if key else (size.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE)
     wide = np.concatenate([buf, np.zeros(8, np.uint8)])
     eights = np.ndarray((len(buf) + 1,), "<u8", wide, strides=(1,))
     live = np.flatnonzero(size <= 512)
@@ -149,7 +156,24 @@ def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         out[live] = mix(mix(out[live] ^ chunk) + np.uint64(_BASE))
         done += 8
     for i in np.flatnonzero(size > 512).tolist():
-        out[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]])
+        out[i] = xxhash.xxh3_64_intdigest(buf[starts[i] : ends[i]], seed=key)
+    return out
+
+
+def equal_spans(one: np.ndarray, starts: np.ndarray, ends: np.ndarray, two: np.ndarray, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Where the bytes of paired spans of two buffers are the same."""
+    size = ends - starts
+    out = size == stops - begins
+    eights = [np.ndarray((len(b) + 1,), "<u8", np.concatenate([b, np.zeros(8, np.uint8)]), strides=(1,)) for b in (one, two)]
+    live, done = np.flatnonzero(out & (size <= 512)), 0
+    while len(live):
+        live = live[size[live] > done]
+        mask = _FIRST[np.minimum(size[live] - done, 8)]
+        same = (eights[0][starts[live] + done] & mask) == (eights[1][begins[live] + done] & mask)
+        out[live[~same]] = False
+        live, done = live[same], done + 8
+    for i in np.flatnonzero(out & (size > 512)).tolist():
+        out[i] = bool(np.array_equal(one[starts[i] : ends[i]], two[begins[i] : stops[i]]))
     return out
 
 
@@ -171,7 +195,7 @@ def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
-def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int, key: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Each document's distinct word shingles: sorted hashes and their offsets by document.
 
     Words are lower-cased and split at white space.  A document with fewer
@@ -180,7 +204,7 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, width: int) -> tuple[np.ndarr
     """
     low = LOWER[buf]
     s, e, first = word_spans(low, off, NOT_SPACE)
-    words = hash_spans(low, s, e)
+    words = hash_spans(low, s, e, key)
     n = np.diff(first)
     every = window_hashes(words, width)
     count = np.where(n >= width, n - width + 1, 0)
