@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import checks, definitions, evidence, finance, forecast, quality, reporting, scenario, utilisation, views
+from .plans import checks, costs, definitions, evidence, finance, forecast, quality, reporting, scenario, utilisation, views
 
-_PARTS = (utilisation, quality, forecast, finance, scenario, views, reporting, checks, evidence, definitions)
+_PARTS = (utilisation, quality, forecast, finance, scenario, views, reporting, checks, evidence, definitions, costs)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
