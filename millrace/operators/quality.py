@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.names import free_name
 from ..functions.scalar import band, key_digest, round_half_away, safe_ratio
 
 #: Floors of the score bands.
@@ -43,10 +44,10 @@ def issue_rows(frame: DataFrame, key: Column, rules: list[Rule]) -> DataFrame:
 
 def duplicate_members(frame: DataFrame, keys: list[Column], order: Column) -> DataFrame:
     """Every row of a group of two or more, with its place; null keys are no group."""
-    named = frame
+    named, cols = frame, []
     for k, c in enumerate(keys):
-        named = named.withColumn(f"_k{k}", c)
-    cols = [f"_k{k}" for k in range(len(keys))]
+        cols.append(free_name(f"key_{k}", named))
+        named = named.withColumn(cols[-1], c)
     for c in cols:
         named = named.where(F.col(c).isNotNull())
     w = Window.partitionBy(*cols)
