@@ -51,16 +51,23 @@ def conform(lines: DataFrame, schema: T.StructType, line: str = "line", sep: str
     and ``<column>:<type>`` for a value that is not of the type; such a value is null in the record.
     """
     texts = T.StructType([*[T.StructField(f"v{k}", T.StringType()) for k in range(len(schema.fields))], T.StructField("broken", T.StringType())])
-    parsed = lines.withColumn("parsed", F.from_csv(line, texts.simpleString()[7:-1].replace(":", " "), {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}))
-    value = lambda k: F.nullif(F.trim(F.col(f"parsed.v{k}")), F.lit(""))
-    reasons: list[Column] = [F.when(F.length(F.regexp_replace(line, '[^"]', "")) % 2 == 1, F.lit("open_quote")), F.when(F.col("parsed.broken").isNotNull(), F.lit("width"))]
-    for k, f in enumerate(schema.fields):
-        kind = f.dataType.simpleString()
-        reasons.append(F.when(value(k).isNotNull() & value(k).try_cast(f.dataType).isNull(), F.lit(f"{f.name}:{kind}")))
-        if not f.nullable:
-            reasons.append(F.when(value(k).isNull(), F.lit(f"{f.name}:missing")))
-    record = F.struct(*[value(k).try_cast(f.dataType).alias(f.name) for k, f in enumerate(schema.fields)])
-    return parsed.withColumn("record", record).withColumn("problems", F.array_compact(F.array(*reasons))).drop("parsed")
+    parsed = F.from_csv(line, texts.simpleString()[7:-1].replace(":", " "), {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    open_quote = F.length(F.regexp_replace(line, '[^"]', "")) % 2 == 1
+
+    def judged(p: Column) -> Column:
+        reasons: list[Column] = [F.when(open_quote, F.lit("open_quote")), F.when(p["broken"].isNotNull(), F.lit("width"))]
+        values = []
+        for k, f in enumerate(schema.fields):
+            text = F.nullif(F.trim(p[f"v{k}"]), F.lit(""))
+            value = text.try_cast(f.dataType)
+            reasons.append(F.when(text.isNotNull() & value.isNull(), F.lit(f"{f.name}:{f.dataType.simpleString()}")))
+            if not f.nullable:
+                reasons.append(F.when(text.isNull(), F.lit(f"{f.name}:missing")))
+            values.append(value.alias(f.name))
+        return F.struct(F.struct(*values).alias("record"), F.array_compact(F.array(*reasons)).alias("problems"))
+
+    # a generator of one row, so that a line is parsed once however often its parts are used
+    return lines.select("*", F.inline(F.transform(F.array(parsed), judged)))
 
 
 def _body(spark: SparkSession, path: str, schema: T.StructType, sep: str) -> DataFrame:
