@@ -150,20 +150,23 @@ def fit(samples: dict[str, list[str]], clusters: int = 4, share: float = 0.4) ->
 
 
 def sample(documents: DataFrame, usable: Column, per_language: int, id_col: str, text_col: str, lang_col: str, least_chars: int = 50, most_chars: int = 50_000, most_languages: int = 1000) -> dict[str, list[str]]:
-    """At most ``per_language`` texts of each label, those with the smallest hashes of their ids.
+    """At most ``per_language`` texts of each label, those with the smallest hashes of id and text.
 
     Texts of ``least_chars`` to ``most_chars`` come first.  A label that has
     too few of them is filled up with shorter ones and with passages of
     ``most_chars`` of longer ones, which start where the hash says, so that no
-    label with a text is lost and the sample is bounded in bytes too.
+    label with a text is lost and the sample is bounded in bytes too.  Rows
+    that share an id spread by their texts; rows with the same id and text
+    count once, however many there are.  More than ``most_languages`` labels
+    are an error.
     """
     text, size = F.col(text_col).cast("string"), F.char_length(F.col(text_col).cast("string"))
-    u = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")), 11) / F.lit(float(1 << 53))
+    u = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("string"), text, F.lit("language")), 11) / F.lit(float(1 << 53))
     start = F.greatest(F.lit(0), F.floor(u * (size - most_chars + 1))).cast("int") + 1
     rows = documents.where(usable & F.col(lang_col).isNotNull() & (size > 0)).select(
         F.col(lang_col).cast("string").alias("lang"), F.when(size > most_chars, F.substring(text, start, F.lit(most_chars))).otherwise(text).alias("text"), u.alias("u"), (~size.between(least_chars, most_chars)).cast("int").alias("outside")
     )
-    counts = {(r.lang, r.outside): r.n for r in rows.groupBy("lang", "outside").agg(F.count(F.lit(1)).alias("n")).limit(2 * most_languages + 1).collect()}
+    counts = {(r.lang, r.outside): r.n for r in rows.groupBy("lang", "outside").agg(F.approx_count_distinct("u", 0.02).alias("n")).limit(2 * most_languages + 1).collect()}
     if len({lang for lang, _ in counts}) > most_languages:
         raise ValueError(f"more than {most_languages} labels")
     if not counts:
@@ -171,7 +174,7 @@ def sample(documents: DataFrame, usable: Column, per_language: int, id_col: str,
     # thinned to about twice the bound where the rows are read, before anything is moved
     wanted = {(lang, k): n for (lang, k), n in counts.items() if not k or counts.get((lang, 0), 0) < per_language}
     number = F.create_map(*[x for (lang, k), n in wanted.items() for x in (F.struct(F.lit(lang).alias("lang"), F.lit(k).alias("outside")), F.lit(n))])
-    thin = rows.where(F.col("u") * number[F.struct("lang", "outside")] < 2.0 * per_language + 50)
+    thin = rows.where(F.col("u") * number[F.struct("lang", "outside")] < 2.0 * per_language + 100).dropDuplicates(["lang", "outside", "u"])
     order = Window.partitionBy("lang").orderBy("outside", "u", "text")
     got = thin.withColumn("k", F.row_number().over(order)).where(F.col("k") <= per_language).select("lang", "text")
     out: dict[str, list[str]] = {}
@@ -226,8 +229,10 @@ def identify(documents: DataFrame, model: Centroids, id_col: str = "doc_id", tex
     ``lang_pred`` is ``und`` with score 0 where the text is null, empty or has
     no letter, and everywhere where nothing was learnt.  ``rejected`` marks
     texts that are farther from the nearest centroid than it reaches, and all
-    ``und``.  Repeated rows each keep theirs; other columns are ignored.
-    Returns doc_id, held_out, lang_pred, score, rejected.
+    ``und``.  Of centroids at the same cosine the first counts, by label.  A
+    very long text is one vector, like any other.  Repeated rows each keep
+    theirs; an empty table gives an empty one; other columns are ignored,
+    whatever their names.  Returns doc_id, held_out, lang_pred, score, rejected.
     """
     shared = documents.sparkSession.sparkContext.broadcast(model)
     frame = documents.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
@@ -241,7 +246,13 @@ def identify(documents: DataFrame, model: Centroids, id_col: str = "doc_id", tex
 
 
 def keep_identified(documents: DataFrame, model: Centroids, text_col: str = "text") -> DataFrame:
-    """The documents that are not rejected, as they are."""
+    """The documents that are not rejected, as they are.
+
+    Null and empty texts and those without letters are rejected, and all where
+    nothing was learnt.  Repeated rows stay or go together, very long texts
+    are judged whole, an empty table stays empty.  Columns are neither added
+    nor read but for the text, so no name can clash.
+    """
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
