@@ -24,6 +24,9 @@ DATA_FRAME = 0xFD2FB528
 DICTIONARY = 0xEC30A437
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+#: Record types of the format.  Those beside response and revisit have a block of any content.
+RECORD_TYPES = ("warcinfo", "response", "resource", "request", "metadata", "revisit", "conversion", "continuation")
+
 _ID = re.compile(r"<urn:page:(-?[0-9]+)>\Z")
 
 
@@ -92,13 +95,17 @@ def frames(data: memoryview) -> Iterator[tuple[int, bytes]]:
 
 @dataclass
 class Record:
+    """``page_id`` and ``refers_to`` are the numbers of ids that :func:`record_bytes` gives, ``record_id`` and ``refers_to_id`` any ids as they stand."""
+
     kind: str
     page_id: int | None
     url: str | None
     size: int
-    digest: str
+    digest: str | None
     refers_to: int | None
     payload: bytes
+    record_id: str
+    refers_to_id: str | None
 
 
 def _headers(lines: list[str]) -> dict[str, str]:
@@ -118,34 +125,66 @@ def _number(headers: dict[str, str], name: str) -> int:
     return int(value)
 
 
+def _http_payload(block: bytes) -> tuple[bytes, int | None]:
+    """Payload of an HTTP message, and the length its header tells."""
+    http, gap, payload = block.partition(b"\r\n\r\n")
+    if not gap or not http.startswith(b"HTTP/"):
+        raise ValueError("no HTTP header")
+    headers = _headers(http.decode("latin-1").split("\r\n")[1:])
+    return payload, _number(headers, "content-length") if "content-length" in headers else None
+
+
 def parse_record(data: bytes) -> Record:
-    """A record whose headers, lengths and digest hold, or ValueError."""
+    """A record of any type whose headers, lengths and digests hold, or ValueError.
+
+    A response, and a revisit, has an HTTP message where its content type says
+    so (or says nothing), else a plain payload; records of other types have
+    their whole block as payload.  Where no payload digest is given, that of
+    the payload counts; a revisit without one has none.
+    """
     head, gap, rest = data.partition(b"\r\n\r\n")
     lines = head.decode("utf-8").split("\r\n")
     if not gap or lines[0] not in ("WARC/1.0", "WARC/1.1"):
         raise ValueError("no WARC header")
     warc = _headers(lines[1:])
-    for name in ("warc-type", "warc-record-id", "warc-date", "warc-payload-digest"):
+    for name in ("warc-type", "warc-record-id", "warc-date"):
         if name not in warc:
             raise ValueError(f"no {name}")
+    kind = warc["warc-type"]
+    if kind not in RECORD_TYPES:
+        raise ValueError(f"unknown type {kind[:20]}")
     length = _number(warc, "content-length")
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise ValueError("content-length does not hold")
-    http, gap, payload = rest[:length].partition(b"\r\n\r\n")
-    if not gap or not http.startswith(b"HTTP/"):
-        raise ValueError("no HTTP header")
-    size = _number(_headers(http.decode("utf-8").split("\r\n")[1:]), "content-length")
-    kind, (method, _, digest) = warc["warc-type"], warc["warc-payload-digest"].partition(":")
-    ids = [int(m[1]) if (m := _ID.match(warc.get(x, ""))) else None for x in ("warc-record-id", "warc-refers-to")]
-    if method != "sha1" or not re.fullmatch("[A-Z2-7]{32}", digest):
-        raise ValueError("bad digest")
-    if kind == "response" and (len(payload) != size or payload_digest(payload) != digest):
+    payload, told = rest[:length], None
+    if kind in ("response", "revisit") and warc.get("content-type", "application/http").lower().startswith("application/http"):
+        payload, told = _http_payload(payload)
+    digest = None
+    if "warc-payload-digest" in warc:
+        method, _, digest = warc["warc-payload-digest"].partition(":")
+        if method != "sha1" or not re.fullmatch("[A-Z2-7]{32}", digest):
+            raise ValueError("bad digest")
+    if kind == "revisit":
+        if payload or not any(f"warc-refers-to{x}" in warc for x in ("", "-target-uri")):
+            raise ValueError("a revisit has a payload or refers to nothing")
+    elif (told is not None and len(payload) != told) or (kind == "response" and digest not in (None, payload_digest(payload))):
         raise ValueError("payload does not match its length and digest")
-    if kind == "revisit" and (payload or ids[1] is None):
-        raise ValueError("a revisit has a payload or refers to nothing")
-    if kind not in ("response", "revisit"):
-        raise ValueError(f"unknown type {kind[:20]}")
-    return Record(kind, ids[0], warc.get("warc-target-uri"), size, digest, ids[1], payload)
+    else:
+        digest = digest or payload_digest(payload)
+    size = told if told is not None else len(payload)
+    ids = [int(m[1]) if (m := _ID.match(warc.get(x, ""))) else None for x in ("warc-record-id", "warc-refers-to")]
+    return Record(kind, ids[0], warc.get("warc-target-uri"), size, digest, ids[1], payload, warc["warc-record-id"], warc.get("warc-refers-to"))
+
+
+def qualified(spark: SparkSession, folder: str) -> str:
+    """``folder`` with the scheme that Spark would read it by, so that a path without one is not taken for a machine's own disk."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def _opened(folder: str) -> tuple[pa.fs.FileSystem, str]:
+    local = re.fullmatch("file:/*(/.*)", folder)
+    return (pa.fs.LocalFileSystem(), local[1]) if local else pa.fs.FileSystem.from_uri(folder)
 
 
 class _Archives:
@@ -155,7 +194,7 @@ class _Archives:
         import zstandard
 
         self.zstd, self.most, self.sample = zstandard, most, sample
-        self.fs, self.root = pa.fs.FileSystem.from_uri(folder) if ":" in folder else (pa.fs.LocalFileSystem(), folder)
+        self.fs, self.root = _opened(folder)
         context = TaskContext.get()
         self.part, self.attempt = context.partitionId(), context.taskAttemptId()
         self.waiting: list[bytes] = []
@@ -219,9 +258,14 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, archive_by
     Of the pages with equal payloads of at least ``min_bytes``, the one with
     the largest id is a response and the others revisit it; all smaller ones
     are responses.  A null payload is empty.  Pages without an id are always
-    responses, and so are all rows that share the largest id.  A task that is
-    repeated writes the same files again and renames them when they are whole.
+    responses, and so are all rows that share the largest id.  Repeated rows
+    have a record each, an empty table makes no archive, other columns are not
+    written, whatever their names.  A very long payload is one record, held
+    whole by its task.  A task that is repeated writes the same files again
+    and renames them when they are whole.  A folder without a scheme lies in
+    the cluster's default file system.
     """
+    folder = qualified(pages.sparkSession, folder)
     page = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).cast("binary").alias("payload"))
     page = page.withColumns({"size": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload")})
     newest = page.where(F.col("size") >= min_bytes).groupBy("sha1").agg(F.max("page_id").alias("newest"))
@@ -246,13 +290,17 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> D
 
     A record whose headers, lengths or digest don't hold has an ``error`` and
     nothing else; so has the rest of an archive whose frames are broken.
-    Returns archive, position, page_id, url, record_type, payload_bytes,
-    payload_digest, refers_to, error, and payload if asked for.
+    Records of all types are read; ``record_id`` and ``refers_to_id`` are the
+    ids as they stand, page_id and refers_to the numbers in those that
+    :func:`write_archives` gives, else null.  A folder without archives gives
+    no rows.  Returns archive, position, page_id, url, record_type,
+    payload_bytes, payload_digest, refers_to, record_id, refers_to_id, error,
+    and payload if asked for.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content")
-    names = ["archive", "position", "page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "error"] + ["payload"] * payloads
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()] + [pa.binary()] * payloads
-    schema = "archive string, position long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, error string" + ", payload binary" * payloads
+    names = ["archive", "position", "page_id", "url", "record_type", "payload_bytes", "payload_digest", "refers_to", "record_id", "refers_to_id", "error"] + ["payload"] * payloads
+    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()] + [pa.binary()] * payloads
+    schema = "archive string, position long, page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, record_id string, refers_to_id string, error string" + ", payload binary" * payloads
 
     def records(path: str, data: memoryview) -> Iterator[tuple]:
         at = 0
@@ -260,12 +308,12 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = False) -> D
             for at, raw in frames(data):
                 try:
                     r = parse_record(raw)
-                    row = (path, at, r.page_id, r.url, r.kind, r.size, r.digest, r.refers_to, None, r.payload)
+                    row = (path, at, r.page_id, r.url, r.kind, r.size, r.digest, r.refers_to, r.record_id, r.refers_to_id, None, r.payload)
                 except ValueError as e:
-                    row = (path, at, *[None] * 6, str(e), None)
+                    row = (path, at, *[None] * 8, str(e), None)
                 yield row[: len(names)]
         except Exception as e:  # broken frames: struct.error, ZstdError, ValueError
-            yield (path, at, *[None] * 6, f"{type(e).__name__}: {e}", None)[: len(names)]
+            yield (path, at, *[None] * 8, f"{type(e).__name__}: {e}", None)[: len(names)]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -288,7 +336,12 @@ def _batch(rows: list[tuple], names: list[str], kinds: list) -> pa.RecordBatch:
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, **options) -> DataFrame:
-    """Writes the pages to archives, in the shared folder by default, and reads them back."""
+    """Writes the pages to archives, in the shared folder by default, and reads them back.
+
+    A row for each page: nulls, ties, repeated rows, very long payloads and
+    columns of any names as in :func:`write_archives`; an empty table gives an
+    empty one.
+    """
     spark = pages.sparkSession
     folder = folder or new_path(spark, "warc")
     made = write_archives(pages, folder, **options)

@@ -70,5 +70,37 @@ def test_bad_records(old, new):
         parse_record(good.replace(old, new, 1))
 
 
+def record(kind, block, *headers, version="WARC/1.0"):
+    head = [version, f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1-2>", "WARC-Date: 2020-01-01T00:00:00Z", *headers, f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def test_other_record_types():
+    sha = lambda x: base64.b32encode(hashlib.sha1(x).digest()).decode()
+    info = parse_record(record("warcinfo", b"software: x\r\n\r\nmore", "Content-Type: application/warc-fields"))
+    assert (info.kind, info.page_id, info.record_id, info.size, info.digest) == ("warcinfo", None, "<urn:uuid:1-2>", 19, sha(b"software: x\r\n\r\nmore"))
+    asked = parse_record(record("request", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http; msgtype=request"))
+    assert asked.kind == "request" and asked.size == 18
+    # no payload digest and no length in the HTTP header
+    got = parse_record(record("response", b"HTTP/1.1 200 OK\r\nX: \xe9\r\n\r\nbody", "Content-Type: application/http"))
+    assert (got.payload, got.size, got.digest) == (b"body", 4, sha(b"body"))
+    assert parse_record(record("response", b"1.2.3.4", "Content-Type: text/dns")).payload == b"1.2.3.4"
+    again = parse_record(record("revisit", b"HTTP/1.1 200 OK\r\n\r\n", "WARC-Refers-To-Target-URI: http://a", "WARC-Refers-To: <urn:uuid:9>"))
+    assert (again.refers_to, again.refers_to_id, again.digest) == (None, "<urn:uuid:9>", None)
+    with pytest.raises(ValueError):
+        parse_record(record("revisit", b"HTTP/1.1 200 OK\r\n\r\n"))
+
+
+def test_archive_of_another_writer(spark, tmp_path):
+    """An archive that begins with a warcinfo record and has no dictionary."""
+    import zstandard
+
+    made = [record("warcinfo", b"software: x\r\n"), record("request", b"GET / HTTP/1.1\r\n\r\n"), record("metadata", b"fetchTimeMs: 3\r\n"), record("odd", b"")]
+    (tmp_path / "a.warc.zst").write_bytes(b"".join(zstandard.ZstdCompressor().compress(r) for r in made))
+    got = read_archives(spark, str(tmp_path)).orderBy("position").collect()
+    assert [(r.record_type, r.record_id, r.payload_bytes) for r in got[:3]] == [("warcinfo", "<urn:uuid:1-2>", 13), ("request", "<urn:uuid:1-2>", 18), ("metadata", "<urn:uuid:1-2>", 16)]
+    assert [r.error for r in got] == [None, None, None, "unknown type odd"]
+
+
 def test_empty_table(spark):
     assert round_trip(table(spark, [])).count() == 0
