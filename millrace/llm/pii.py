@@ -289,8 +289,11 @@ def _with_terms(frame: DataFrame, text: str, carry: str, terms: DataFrame) -> Da
 def find_pii(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Spans of personal data in each document, base patterns first, terms by disclosure added.
 
-    A null or empty text has no spans; repeated rows each keep theirs; an
-    empty table gives none; other columns are ignored.  Returns doc_id,
+    A null or empty text has no spans; a very long one is searched whole, in
+    time linear in its length; repeated rows each keep theirs and count each
+    as a document; spans that start together stand in the order of KINDS; an
+    empty table gives none; other columns are ignored, whatever their names.
+    Returns doc_id,
     n_email, n_ip, n_card, n_phone, base_sha256, spans, n_term.
     """
     frame = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -319,7 +322,8 @@ def remove_pii(documents: DataFrame, text_col: str = "text", **options) -> DataF
     A base match becomes its kind in angle brackets, a term is removed or
     becomes ``<TERM>``; overlapping spans are replaced together, by the first.
     Every row and column stays; a text without spans is left as it is, null
-    too.
+    and empty too.  Very long texts are rewritten whole, repeated rows alike,
+    an empty table stays empty, and no column's name can clash.
     """
     carry = "_pii_carry"
     while carry in documents.columns:

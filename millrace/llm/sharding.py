@@ -44,8 +44,10 @@ def assign_shards(documents: DataFrame, shards: int = 24, buckets: int = 64, id_
     sizes of those before, so that no shard is sorted by one task.  The shifts
     are a table of ``shards * buckets`` rows at most.
 
-    A null text has no bytes (size 8, CRC of nothing); a null id is a key like
-    any other; repeated rows get slots of their own; other columns are ignored.
+    A null text has no bytes (size 8, CRC of nothing); a very long one counts
+    whole; a null id is a key like any other; repeated rows get slots of their
+    own; an empty table gives an empty one; other columns are ignored,
+    whatever their names.
     Returns doc_id, size, text_crc32, law, shard, slot, grown_shard.
     """
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))

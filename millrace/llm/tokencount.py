@@ -74,8 +74,10 @@ def count_tokens(documents: DataFrame, tokenizer: str, cache_dir: str | None = N
     all counts are then read from the table; if a job is repeated, the worst
     that happens is a pair that is there twice, and reads take each pair once.
 
-    A null text counts as empty and has no tokens; copies share one encoding;
-    an empty table appends nothing; other columns are ignored.  Returns
+    A null text counts as empty and has no tokens; a very long one is encoded
+    whole; copies share one encoding, and repeated rows each have their row;
+    an empty table appends nothing; other columns are ignored, whatever their
+    names.  Returns
     doc_id, n_bytes, n_tokens, over_limit (n_tokens > limit).
     """
     spark = documents.sparkSession
