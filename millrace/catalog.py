@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import checks, costs, definitions, evidence, finance, forecast, quality, reporting, rules, scenario, utilisation, views
+from .plans import assurance, checks, costs, definitions, evidence, finance, forecast, quality, reporting, rules, scenario, utilisation, views
 
-_PARTS = (utilisation, quality, forecast, finance, scenario, views, reporting, checks, evidence, definitions, costs, rules)
+_PARTS = (utilisation, quality, forecast, finance, scenario, views, reporting, checks, evidence, definitions, costs, rules, assurance)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

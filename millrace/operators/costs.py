@@ -94,3 +94,21 @@ def objective_parts(terms: DataFrame, weights: dict[str, tuple[float, float]]) -
     rows = rows.withColumn("value", round_half_away(F.col("weight") * F.col("coefficient") * F.col("quantity")))
     total = F.sum(F.col("value").cast("decimal(28,4)")).over(Window.partitionBy(F.lit(0))).cast("double")
     return rows.select("component", "quantity", "value", round_half_away(F.when(total != 0, F.col("value") / total).otherwise(0.0)).alias("share"))
+
+
+def recurring_components(parents: DataFrame, released: str, classes: dict[str, str]) -> DataFrame:
+    """What each component of recurring cost is in all, and without the released parents; one row for each of ``classes``.
+
+    ``classes`` name the columns of ``parents`` that are components, and how
+    each behaves: a ``variable`` one stays while nothing is released, of a
+    ``semi_variable`` one a floor stays with the parents that are kept.  Null
+    amounts count 0, a null mark is not released; without parents all is 0.
+    """
+    money = lambda x: F.coalesce(F.sum(x.cast("decimal(24,4)")), F.lit(0)).cast("double")
+    gone = F.coalesce(F.col(released).cast("boolean"), F.lit(False))
+    sums = parents.agg(F.coalesce(F.max(gone), F.lit(False)).alias("some"), *[money(x).alias(f"{part}_{i}") for i, k in enumerate(classes) for part, x in (("all", F.col(k)), ("gone", F.when(gone, F.col(k))))])
+    each = [F.struct(F.lit(k).alias("component"), F.lit(kind).alias("classification"), F.col(f"all_{i}").alias("base"), F.col(f"gone_{i}").alias("removed")) for i, (k, kind) in enumerate(classes.items())]
+    rows = sums.select("some", F.inline(F.array(*each)))
+    kind = F.col("classification")
+    treatment = F.when((kind == "variable") & ~F.col("some"), "kept_without_release").when((kind == "semi_variable") & F.col("some"), "removed_with_floor").when(F.col("removed") != 0, "removed").otherwise("retained")
+    return rows.select("component", "classification", round_half_away(F.col("base")).alias("baseline"), round_half_away(F.col("base") - F.col("removed")).alias("case_amount"), round_half_away(F.col("removed")).alias("difference"), treatment.alias("treatment"))
