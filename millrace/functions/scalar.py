@@ -17,9 +17,14 @@ def clamp01(x: Column) -> Column:
 
 
 def round_half_away(x: Column, digits: int = 4) -> Column:
-    """Half away from zero on the binary value, which other engines reproduce with floor alone."""
+    """Half away from zero on the binary value, which other engines reproduce with floor alone.
+
+    Spark's floor is a long and ends at 2^63; ``y - 1`` is the larger only
+    beyond that, where every double is whole and equal to its ``y - 1``.
+    """
     scale = float(10**digits)
-    return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
+    y = F.abs(x) * scale + 0.5
+    return F.signum(x) * F.greatest(F.floor(y).cast("double"), y - 1) / scale
 
 
 def exact_mean(x: Column, digits: int = 4) -> Column:

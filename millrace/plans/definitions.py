@@ -30,19 +30,23 @@ def _facts(spark: SparkSession, d: str, name: str) -> DataFrame:
     return table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
 
 
-def defined_series(spark: SparkSession, d: str) -> DataFrame:
-    """Twelve targets of four fact tables, each table in one pass; months without rows are told."""
+def _months(spark: SparkSession, d: str) -> DataFrame:
     parts = []
     for name, stamp, targets in TARGETS:
         definitions = [Definition(n, F.expr(e), F.expr(m), None if w is None else F.expr(w)) for n, e, m, w in targets]
         parts.append(dense(observed(_facts(spark, d, name), stamp, definitions)))
-    rows = reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts)
+
+
+def defined_series(spark: SparkSession, d: str) -> DataFrame:
+    """Twelve targets of four fact tables, each table in one pass; months without rows are told."""
+    rows = _months(spark, d)
     return rows.select("target", "entity", F.date_format("period", "yyyy-MM").alias("period"), (F.col("cents").cast("double") / 100.0).alias("value"), "imputation_flag")
 
 
 def defined_eligibility(spark: SparkSession, d: str) -> DataFrame:
-    rows = defined_series(spark, d)
-    return assessed(rows.select("target", "entity", F.to_date(F.concat("period", F.lit("-01"))).alias("period"), F.round(F.col("value") * 100).cast("decimal(38,0)").alias("cents"), "imputation_flag"))
+    """States and diagnostics of the same series, from their whole cents."""
+    return assessed(_months(spark, d))
 
 
 def scenario_composite(spark: SparkSession, d: str) -> DataFrame:
