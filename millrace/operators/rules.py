@@ -8,10 +8,15 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .quality import Rule, check_rows
 
 
+#: Tasks that count keys; up to 200, Spark's default for ``spark.shuffle.sort.bypassMergeThreshold``, rows that move are not sorted in memory.
+PARTS = 200
+
+
 def _listed(values: Iterable[str]) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
@@ -84,24 +89,37 @@ class Reference:
 def reference_keys(tables: Callable[[str], DataFrame], references: Sequence[Reference]) -> DataFrame:
     """spec, key, n, known: for each reference, every key of the child with how many rows have it, and whether the parent has it.
 
-    Each child is read once, all its keys as tagged rows that are counted
-    before they move; a key that very many rows share moves as one.
+    Keys of both sides are tagged rows of one aggregation, no join; whole
+    numbers are compared as such, others as text; only the columns of keys are read.
+    They are counted twice, first by the task that read them: a key that very
+    many rows share is so counted by as many tasks as read it, and no task
+    that reads a table holds its keys.  What a task of either count holds is
+    the share ``PARTS`` of the keys.
     """
-    of = lambda child: [x for x in references if x.child == child]
-    tagged = [tables(t).select(F.inline(F.array(*[F.struct(F.lit(x.name).alias("spec"), F.col(x.key).cast("string").alias("key")) for x in of(t)]))) for t in dict.fromkeys(x.child for x in references)]
-    keys = reduce(DataFrame.unionByName, tagged).groupBy("spec", "key").agg(F.count(F.lit(1)).alias("n"))
-    sides = dict.fromkeys((x.parent, x.parent_key) for x in references)
-    parents = [tables(t).select(F.col(k).cast("string").alias("parent_of")).distinct().select("parent_of", F.explode(F.array(*[F.lit(x.name) for x in references if (x.parent, x.parent_key) == (t, k)])).alias("spec_of")) for t, k in sides]
-    known = reduce(DataFrame.unionByName, parents)
-    return keys.join(known, (F.col("spec") == F.col("spec_of")) & (F.col("key") == F.col("parent_of")), "left").select("spec", "key", "n", F.col("spec_of").isNotNull().alias("known"))
+    frames = {t: tables(t) for t in dict.fromkeys(t for x in references for t in (x.child, x.parent))}
+    whole = lambda x: all(isinstance(frames[t].schema[k].dataType, T.IntegralType) for t, k in ((x.child, x.key), (x.parent, x.parent_key)))
+    names = F.array(*[F.lit(x.name) for x in references])
+    counted = []
+    for kind in ("long", "string"):
+        sides = []
+        for at, x in enumerate(references):
+            if whole(x) == (kind == "long"):
+                side = lambda t, k, n: frames[t].select(F.lit(at).alias("at"), F.col(k).cast(kind).alias("key"), F.lit(n).cast("long").alias("n"), F.lit(n == 0).alias("known"), F.spark_partition_id().alias("reader"))  # noqa: B023, E731
+                sides += [side(x.child, x.key, 1), side(x.parent, x.parent_key, 0).where("key IS NOT NULL")]
+        if sides:
+            keys = reduce(DataFrame.unionByName, sides)
+            for by in (["at", "key", "reader"], ["at", "key"]):
+                keys = keys.repartition(PARTS, *by).groupBy(*by).agg(F.sum("n").alias("n"), F.max("known").alias("known"))
+            counted.append(keys.where("n > 0").select(F.get(names, F.col("at")).alias("spec"), F.col("key").cast("string").alias("key"), "n", "known"))
+    return reduce(DataFrame.unionByName, counted)
 
 
 def reference_totals(keys: DataFrame, references: Sequence[Reference]) -> DataFrame:
-    """spec, n_rows, orphans, unset: a row for each reference, 0 where its child has no rows."""
+    """spec, n_rows, orphans, unset: a row for each reference, 0 where its child has no rows.  Keys are summed before they meet the names."""
     names = keys.sparkSession.createDataFrame([(x.name,) for x in references], "name string")
-    total = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
-    joined = names.join(keys, F.col("name") == F.col("spec"), "left").groupBy(F.col("name").alias("spec"))
-    return joined.agg(total(F.lit(True)).alias("n_rows"), total(F.col("key").isNotNull() & ~F.col("known")).alias("orphans"), total(F.col("key").isNull() & F.col("n").isNotNull()).alias("unset"))
+    total = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
+    sums = keys.groupBy("spec").agg(F.sum("n").alias("n_rows"), total(F.col("key").isNotNull() & ~F.col("known")).alias("orphans"), total(F.col("key").isNull()).alias("unset"))
+    return names.join(sums, F.col("name") == F.col("spec"), "left").select(F.col("name").alias("spec"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_rows", "orphans", "unset")])
 
 
 def orphan_keys(keys: DataFrame) -> DataFrame:
