@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import rules
 from millrace.operators.rules import Reference, orphan_keys, reference_keys, reference_totals
+from millrace.plans import assurance
 
 
 def test_keys_are_shared_by_many_tasks_and_joined_with_nothing(spark):
@@ -29,3 +30,8 @@ def test_odd_keys(spark):
     assert {tuple(r) for r in reference_totals(keys, specs[:5]).collect()} == {("c.a", 403, 2, 1), ("c.b", 403, 1, 1), ("c.s", 403, 2, 1), ("c.d", 403, 0, 2), ("c.up", 403, 401, 1)}
     assert {tuple(r) for r in orphan_keys(keys).collect()} == {("c.a", "2", 1), ("c.a", "-1", 1), ("c.b", "3", 1), ("c.s", "x", 1), ("c.s", " 1", 1), ("c.up", "5", 400), ("c.up", "9", 1)}
     assert {tuple(r) for r in reference_totals(reference_keys(tables.__getitem__, specs[5:]), specs[5:]).collect()} == {("c.b", 403, 402, 1), ("none.a", 0, 0, 0)}
+
+
+def test_assurance_counts_keys_in_shares(spark, sf_dir):
+    plan = assurance.assurance_results(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f", {rules.PARTS}), REPARTITION_BY_NUM") == 2
