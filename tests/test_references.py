@@ -35,3 +35,8 @@ def test_odd_keys(spark):
 def test_assurance_counts_keys_in_shares(spark, sf_dir):
     plan = assurance.assurance_results(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count(f", {rules.PARTS}), REPARTITION_BY_NUM") == 2
+
+
+def test_verdict_counts_keys_in_shares(spark, sf_dir):
+    plan = assurance.assurance_verdict(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(f", {rules.PARTS}), REPARTITION_BY_NUM") == 2
